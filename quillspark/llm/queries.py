@@ -52,7 +52,7 @@ RULES_SQL = rf"""
     WITH texts AS (SELECT *, COALESCE(text, '') AS t FROM documents),
     worded AS (
         SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-               list_filter(string_split(t, E'\n'), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+               list_filter(string_split(t, E'\n'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
         FROM texts),
     windows AS (
         SELECT doc_id, i, (ws[i], ws[i + 1], ws[i + 2]) AS w
