@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, packing, rules
+from quillspark.llm import jaccard, mixing, packing, pii, rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +18,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copy class, near-duplicate class and number of links of every document."""
+    return jaccard.near_duplicates(_documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes of each document."""
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: pattern counts, their digest, and all spans."""
+    found = pii.find_pii(_documents(spark, sf_dir))
+    count = lambda kind: F.regexp_count("base_spans", F.lit(rf"\b{kind}:")).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the threshold table for every document."""
     out = rules.apply_rules(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -31,7 +43,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_mixing": op4_mixing,
+    "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
 }
 
