@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -34,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def staged(df: DataFrame, name: str, *partition_free: str) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     This cuts the lineage: what follows is recomputed from the written table when
@@ -49,9 +50,14 @@ def staged(df: DataFrame, name: str, *partition_free: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def set_owner(owner: str) -> None:
-    """Tables staged from now on belong to `owner`."""
-    _owner[0] = owner
+@contextlib.contextmanager
+def owned(owner: str):
+    """Tables staged inside belong to `owner`, and release(spark, owner) deletes them."""
+    before, _owner[0] = _owner[0], owner
+    try:
+        yield
+    finally:
+        _owner[0] = before
 
 
 def release(spark: SparkSession, owner: str | None = None) -> None:

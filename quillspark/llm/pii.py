@@ -12,14 +12,14 @@ check and touch no pattern span are added to the pattern spans.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import text_slices
@@ -326,10 +326,19 @@ def labelled_samples(count: int = 3000, seed: int = 5) -> list[tuple[str, list[S
     return samples
 
 
-@lru_cache(maxsize=1)
-def default_model() -> Model:
-    """The model of the default samples; fitted once in a process."""
-    return train(labelled_samples())
+_fitted: list[Model] = []
+
+
+def default_model(spark: SparkSession) -> Model:
+    """The model of the default samples; fitted once in a process, in one Spark task, where numpy keeps to one core."""
+    if not _fitted:
+
+        def fit(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(train(labelled_samples())))], pa.binary())], ["weights"])
+
+        row = spark.range(1, numPartitions=1).mapInArrow(fit, "weights binary").collect()[0]
+        _fitted.append(Model(*pickle.loads(row["weights"])))
+    return _fitted[0]
 
 
 # --- decoding ----------------------------------------------------------------
@@ -470,9 +479,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     """
     pairs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = pairs.schema["doc_id"].dataType.simpleString()
-    return pairs.mapInArrow(_find(model or default_model()), f"doc_id {kind}, base_spans string, spans string, redacted string")
+    return pairs.mapInArrow(_find(model or default_model(docs.sparkSession)), f"doc_id {kind}, base_spans string, spans string, redacted string")
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
     """`docs` with the personal data in `text_col` replaced by [EMAIL], [IP], [CARD] or [PHONE]; all rows and columns stay."""
-    return docs.mapInArrow(_redact(model or default_model(), text_col), docs.schema)
+    return docs.mapInArrow(_redact(model or default_model(docs.sparkSession), text_col), docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import jaccard, mixing, packing, pii, rules
+from quillspark.llm import audio, htmltext, jaccard, langid, mixing, packing, pii, quality, rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of held-out rows are not learned from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(_documents(spark, sf_dir), labels)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copy class, near-duplicate class and number of links of every document."""
     return jaccard.near_duplicates(_documents(spark, sf_dir))
@@ -28,6 +34,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; languages of held-out rows are not learned from."""
+    return langid.classify(_documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: pattern counts, their digest, and all spans."""
     found = pii.find_pii(_documents(spark, sf_dir))
@@ -41,12 +52,26 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document stored as 8-bit audio, and its features."""
+    return audio.sonify(_documents(spark, sf_dir), with_media=False)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_mixing": op4_mixing,
+    "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_extraction": op8_html_extraction,
+    "op10_media_columns": op10_media_columns,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for ws in rules.STOP_WORDS.values() for w in ws}))

@@ -107,13 +107,16 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.col("_wide").isNotNull(), pairs(F.col("_wide"), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(none))
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(marked), lambda i: F.array(i, i + 1, i + 2)))))
+    # A filter on a count would be pushed below the arrays and compute them anew for
+    # every use; a row number, always 0 or more, in the dearest count keeps it above.
+    barrier = F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)
     return (
         keyed.withColumn("n_words", F.col("_n").cast("long"))
         .withColumn("word_chars", F.length(F.translate(t, SPACE_CHARS, "")).cast("long"))
         .withColumn("n_symbols", _chars(t, SYMBOLS))
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+        .withColumn("n_repeat_words", (F.coalesce(covered, F.lit(0)) + barrier).cast("long"))
         .withColumn("n_exclamations", _chars(t, "!"))
         .withColumn("n_capitals", F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"))
         .withColumn("n_stop_words", F.size(F.array_intersect("_words", stops)).cast("long"))
