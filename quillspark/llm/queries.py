@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import audio, htmltext, jaccard, langid, mixing, packing, pii, quality, rules
+from quillspark.llm import audio, htmltext, jaccard, langid, mixing, packing, pii, quality, quotes, rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without quotes, with what they reply to and the root of their thread."""
+    return quotes.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document stored as 8-bit audio, and its features."""
     return audio.sonify(_documents(spark, sf_dir), with_media=False)
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_media_columns": op10_media_columns,
 }
 
@@ -110,7 +116,41 @@ RULES_SQL = rf"""
         FROM worded LEFT JOIN covered USING (doc_id)),
     judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)"""
 
+QUOTES_SQL = r"""
+    WITH RECURSIVE own AS (SELECT conv_id, turn, role, COALESCE(text, '') AS text FROM conversations),
+    split AS (
+        SELECT conv_id, turn, pos, ls[pos] AS line, regexp_extract(ls[pos], '^([ \t]*>)+[ \t]?') AS marks
+        FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT *, string_split(text, chr(10)) AS ls FROM own))),
+    parsed AS (
+        SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, length(marks) + 1) AS content,
+               lower(trim(regexp_replace(substr(line, length(marks) + 1), '\s+', ' ', 'g'))) AS normal
+        FROM split),
+    quoted AS (SELECT * FROM parsed WHERE level > 0 AND normal <> ''),
+    writers AS (SELECT conv_id, normal, MIN(turn) AS writer FROM parsed WHERE level = 0 AND normal <> '' GROUP BY ALL),
+    votes AS (
+        SELECT conv_id, q.turn, level, writer, SUM(length(normal)) AS votes
+        FROM quoted q JOIN writers USING (conv_id, normal) WHERE writer < q.turn GROUP BY ALL),
+    parents AS (
+        SELECT conv_id, turn, writer AS parent
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, votes DESC, writer DESC) AS n FROM votes) WHERE n = 1),
+    up AS (
+        SELECT conv_id, turn, parent AS root, 1 AS depth FROM parents
+        UNION ALL SELECT up.conv_id, up.turn, p.parent, depth + 1 FROM up JOIN parents p ON p.conv_id = up.conv_id AND p.turn = up.root),
+    roots AS (SELECT conv_id, turn, MIN(root) AS root, MAX(depth) AS depth FROM up GROUP BY ALL),
+    counted AS (SELECT conv_id, turn, COUNT(*) AS n FROM quoted GROUP BY ALL),
+    bare AS (
+        SELECT conv_id, turn, trim(string_agg(content, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT (regexp_matches(line,
+               '^[ \t]*(On\b.*\bwrote|Am\b.*\bschrieb.*|Le\b.*\ba écrit|El\b.*\bescribió)[ \t]*:[ \t]*$') AND next > 0)), E' \t\r\n') AS text
+        FROM (SELECT *, COALESCE(LEAD(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS next FROM parsed)
+        GROUP BY ALL HAVING MAX(level) > 0)
+    SELECT o.conv_id, o.turn, o.role, COALESCE(b.text, o.text) AS text, p.parent AS parent_turn, COALESCE(r.root, o.turn) AS root_turn,
+           COALESCE(r.depth, 0) AS depth, COALESCE(c.n, 0) AS n_quoted_lines,
+           '<|' || COALESCE(o.role, 'user') || '|>' || chr(10) || COALESCE(b.text, o.text) AS formatted
+    FROM own o LEFT JOIN bare b USING (conv_id, turn) LEFT JOIN parents p USING (conv_id, turn)
+    LEFT JOIN roots r USING (conv_id, turn) LEFT JOIN counted c USING (conv_id, turn)"""
+
 ORACLES = {
+    "op9_chat_formatting": QUOTES_SQL,
     "op7_quality_rules": f"""{RULES_SQL}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND {" AND ".join(_rule_sql(r) for r in rules.RULES)} AS kept
