@@ -111,7 +111,7 @@ def name_from_file(path: Column, use_tail: bool = True) -> Column:
     marked = F.nullif(F.regexp_extract(base, r"수기[_\- ]*([가-힣]{2,4})[_\- ]", 1), F.lit(""))
     tail = F.trim(F.substring_index(base, " - ", -1))
     tailed = F.when(F.contains(base, F.lit(" - ")) & tail.rlike(r"^[가-힣]{2,4}$"), tail)
-    parts = F.filter(F.transform(F.split(base, r"[_\-]"), F.trim), lambda p: p.rlike(r"^[가-힣]{2,4}$"))
+    parts = F.filter(F.transform(F.split(base, r"[_\-]"), lambda p: F.trim(p)), lambda p: p.rlike(r"^[가-힣]{2,4}$"))
     return F.coalesce(marked, tailed if use_tail else F.lit(None).cast("string"), F.get(parts, F.lit(0)), F.lit(""))
 
 

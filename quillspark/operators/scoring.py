@@ -37,7 +37,8 @@ def reply_json(reply: Column) -> Column:
 def clamped(v: Column, low: int = 0, high: int = 5) -> Column:
     """Text of a JSON value as an integer in [low, high]: true and false are 1 and 0, numbers go half to even; else null."""
     number = F.when(v == "true", F.lit(1.0)).when(v == "false", F.lit(0.0)).when(F.lower(v).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), v.try_cast("double"))
-    return F.least(F.greatest(F.bround(number), F.lit(float(low))), F.lit(float(high))).cast("int")
+    # greatest and least skip nulls, so an unreadable value is kept out of them.
+    return F.when(number.isNotNull(), F.least(F.greatest(F.bround(number), F.lit(float(low))), F.lit(float(high))).cast("int"))
 
 
 def status_of(score: Column) -> Column:

@@ -1,13 +1,24 @@
-"""Dashboard, list and detail queries."""
+"""Dashboard, list and detail queries.
+
+Over the shared tables a customer stands for an author (its nation for the
+cohort, its segment for the type), an order for a submission, a line item for an
+answer, a part for a question, a document with labels for an evaluation.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.dedup import best_by
 from quillspark.sources.tables import table
 
 
+def cents(column: str) -> Column:
+    """Money as whole hundredths, so that sums do not depend on the order of rows."""
+    return F.round(F.col(column) * 100).cast("long")
+
+
 def cohort_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors, answers and evaluations per cohort.
 
@@ -40,16 +51,225 @@ def cohort_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"cohort_counts": cohort_counts}
+def cohort_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fee total and number of paid authors per cohort."""
+    return (
+        table(spark, sf_dir, "customer")
+        .groupBy(F.col("c_nationkey").alias("cohort"))
+        .agg(F.coalesce(F.sum(cents("c_acctbal")), F.lit(0).cast("long")).alias("fee"), F.count(F.when(F.col("c_acctbal") > 0, 1)).alias("n_paid"))
+        .orderBy("cohort")
+    )
+
+
+def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions per status, most frequent first."""
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status")
+
+
+def notnull_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per quality mark, without those that have none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    marked = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").filter("quality IS NOT NULL")
+    return marked.groupBy("quality").agg(F.count("*").alias("n"))
+
+
+def totals_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row with the sizes of five tables: five counts appended, then pivoted by one aggregate."""
+    names = {"authors": "customer", "submissions": "orders", "answers": "lineitem", "evaluations": "labels", "articles": "pages"}
+    counts = None
+    for name, source in names.items():
+        one = table(spark, sf_dir, source).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(*[F.coalesce(F.max(F.when(F.col("name") == k, F.col("n"))), F.lit(0)).cast("long").alias(k) for k in names])
+
+
+def dashboard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohort counts with their fees and the sum of all fees in every row.
+
+    The window spans one row per cohort, never the authors.
+    """
+    counts = cohort_counts(spark, sf_dir)
+    fees = cohort_fees(spark, sf_dir).select("cohort", "fee")
+    return counts.join(fees, "cohort", "left").select(
+        "cohort", "n_authors", "n_answers", F.coalesce("fee", F.lit(0).cast("long")).alias("fee"), F.sum("fee").over(Window.partitionBy()).alias("fee_of_all")
+    )
+
+
+def filtered_authors(
+    authors: DataFrame, cohort: int | None = None, kind: str | None = None, university: str | None = None, name: str | None = None
+) -> DataFrame:
+    """Authors for whom every filter that is given holds; `%` and `_` in texts are wildcards, case does not count."""
+    if cohort is not None:
+        authors = authors.filter(F.col("cohort") == cohort)
+    if kind:
+        authors = authors.filter(F.col("student_type") == kind)
+    if university:
+        authors = authors.filter(F.col("final_university").ilike(f"%{university}%"))
+    if name:
+        authors = authors.filter(F.col("name").ilike(f"%{name}%"))
+    return authors
+
+
+def essays(authors: DataFrame, submissions: DataFrame, answers: DataFrame, min_score: float | None = None, most: int = 300, **filters) -> DataFrame:
+    """One row per author with the largest status and score of the submissions and the number of answers, best first.
+
+    `submissions` has author_id, submission_id, status, score; `answers` has
+    submission_id and answer_id. Children are reduced to one row per author before
+    they are joined; a minimum score drops authors without a score.
+    """
+    per_submission = answers.select("submission_id", "answer_id").distinct().groupBy("submission_id").agg(F.count("*").alias("n"))
+    per_author = (
+        submissions.join(per_submission, "submission_id", "left")
+        .groupBy("author_id")
+        .agg(F.max("status").alias("status"), F.max("score").alias("score"), F.sum(F.coalesce("n", F.lit(0))).alias("n_answers"))
+    )
+    listed = filtered_authors(authors, **filters).join(per_author, "author_id", "left")
+    if min_score is not None:
+        listed = listed.filter(F.col("score") >= min_score)
+    return listed.withColumn("n_answers", F.coalesce("n_answers", F.lit(0)).cast("long")).orderBy(F.col("score").desc_nulls_last(), "author_id").limit(most)
+
+
+def essays_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 300 best authors of one type whose best score reaches a minimum."""
+    authors = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("cohort"), F.col("c_mktsegment").alias("student_type")
+    )
+    submissions = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("author_id"), F.col("o_orderkey").alias("submission_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score")
+    )
+    answers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").alias("answer_id"))
+    return essays(authors, submissions, answers, min_score=100_000, kind="BUILDING", name="customer#")
+
+
+def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct cohorts and types for the filter bar."""
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("cohort"), F.col("c_mktsegment").alias("student_type")).distinct().orderBy("cohort", "student_type")
+
+
+def evaluations_list(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """The 500 best evaluations with their documents, of one language if it is given."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = docs.filter(F.col("lang") == lang) if lang else docs
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id").orderBy(F.desc("quality"), F.desc("n_chars"), "doc_id").limit(500)
+
+
+def author_qna(spark: SparkSession, sf_dir: str, author: int | None = None) -> DataFrame:
+    """Answers with their questions; the filter on an author reaches the scan of the submissions."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = orders.filter(F.col("o_custkey") == author) if author is not None else orders
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    return (
+        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .select("o_custkey", "l_orderkey", "l_linenumber", F.col("p_name").alias("question"), F.col("p_type").alias("category"), F.col("l_quantity").alias("answer"))
+    )
+
+
+def articles(existing: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The articles if there are any, else the candidates; decided inside the plan, by an anti join with one row at most."""
+    any_ = F.broadcast(existing.select(F.lit(1).alias("_any")).limit(1))
+    return existing.unionByName(candidates.join(any_, F.col("_any").isNotNull(), "left_anti"))
+
+
+def _articles(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
+    authors = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    orders = table(spark, sf_dir, "orders")
+    written = orders.filter((F.col("o_orderstatus") == status) & (F.col("o_totalprice") >= 450_000))
+    existing = written.join(authors, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("id"), F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), F.lit("editing").alias("article_status"), cents("o_totalprice").alias("score")
+    )
+    best = orders.filter("o_totalprice >= 400000").groupBy("o_custkey").agg(F.max(cents("o_totalprice")).alias("score"))
+    fallback = (
+        authors.join(best, F.col("o_custkey") == F.col("c_custkey"))
+        .select(F.lit(None).cast("long").alias("id"), F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), F.lit("draft").alias("article_status"), "score")
+    )
+    return articles(existing, fallback).orderBy(F.desc("score"), "author_id", "id").limit(100)
+
+
+def articles_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 best articles."""
+    return _articles(spark, sf_dir, "F")
+
+
+def articles_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No article has this status, so the 100 best authors above the threshold stand in."""
+    return _articles(spark, sf_dir, "X")
+
+
+def latest_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest submission of every author: partial maxima instead of a sort per author."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    newest = best_by(orders, ["o_custkey"], F.col("o_orderdate"), -F.col("o_orderkey"))
+    return newest.select("o_custkey", "o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+QUERIES = {
+    "cohort_counts": cohort_counts,
+    "cohort_fees": cohort_fees,
+    "status_rollup": status_rollup,
+    "notnull_rollup": notnull_rollup,
+    "totals_row": totals_row,
+    "dashboard_join": dashboard_join,
+    "essays_list": essays_list,
+    "filter_options": filter_options,
+    "evaluations_list": evaluations_list,
+    "author_qna": author_qna,
+    "articles_existing": articles_existing,
+    "articles_fallback": articles_fallback,
+    "latest_per_author": latest_article,
+}
+
+_COHORTS = """
+    SELECT c_nationkey AS cohort,
+           COUNT(DISTINCT c_custkey) AS n_authors,
+           COUNT(DISTINCT o_orderkey) AS n_submissions,
+           COUNT(DISTINCT l_orderkey * 10 + l_linenumber) AS n_answers
+    FROM customer
+    LEFT JOIN orders ON o_custkey = c_custkey
+    LEFT JOIN lineitem ON l_orderkey = o_orderkey
+    GROUP BY c_nationkey"""
+_FEES = """
+    SELECT c_nationkey AS cohort, CAST(COALESCE(SUM(CAST(round(c_acctbal * 100) AS BIGINT)), 0) AS BIGINT) AS fee,
+           COUNT(CASE WHEN c_acctbal > 0 THEN 1 END) AS n_paid
+    FROM customer GROUP BY c_nationkey"""
+_CANDIDATES = """
+    SELECT CAST(NULL AS BIGINT) AS id, c_custkey AS author_id, c_name AS name, 'draft' AS article_status,
+           MAX(CAST(round(o_totalprice * 100) AS BIGINT)) AS score
+    FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice >= 400000
+    GROUP BY c_custkey, c_name ORDER BY score DESC, author_id LIMIT 100"""
 
 ORACLES = {
-    "cohort_counts": """
-        SELECT c_nationkey AS cohort,
-               COUNT(DISTINCT c_custkey) AS n_authors,
-               COUNT(DISTINCT o_orderkey) AS n_submissions,
-               COUNT(DISTINCT l_orderkey * 10 + l_linenumber) AS n_answers
-        FROM customer
-        LEFT JOIN orders ON o_custkey = c_custkey
-        LEFT JOIN lineitem ON l_orderkey = o_orderkey
-        GROUP BY c_nationkey ORDER BY c_nationkey NULLS FIRST""",
+    "cohort_counts": f"{_COHORTS} ORDER BY c_nationkey NULLS FIRST",
+    "cohort_fees": f"{_FEES} ORDER BY c_nationkey NULLS FIRST",
+    "status_rollup": "SELECT o_orderstatus AS status, COUNT(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, status",
+    "notnull_rollup": "SELECT quality, COUNT(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY quality",
+    "totals_row": """
+        SELECT (SELECT COUNT(*) FROM customer) AS authors, (SELECT COUNT(*) FROM orders) AS submissions,
+               (SELECT COUNT(*) FROM lineitem) AS answers, (SELECT COUNT(*) FROM labels) AS evaluations,
+               (SELECT COUNT(*) FROM pages) AS articles""",
+    "dashboard_join": f"""
+        SELECT cohort, n_authors, n_answers, COALESCE(fee, 0) AS fee, CAST(SUM(fee) OVER () AS BIGINT) AS fee_of_all
+        FROM ({_COHORTS}) c LEFT JOIN ({_FEES}) f USING (cohort)""",
+    "essays_list": """
+        SELECT c_custkey AS author_id, c_name AS name, c_nationkey AS cohort, c_mktsegment AS student_type, MAX(o_orderstatus) AS status,
+               MAX(o_totalprice) AS score, COUNT(DISTINCT l_orderkey * 10 + l_linenumber) AS n_answers
+        FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey
+        WHERE c_mktsegment = 'BUILDING' AND c_name ILIKE '%customer#%'
+        GROUP BY ALL HAVING MAX(o_totalprice) >= 100000 ORDER BY score DESC NULLS LAST, author_id LIMIT 300""",
+    "filter_options": "SELECT DISTINCT c_nationkey AS cohort, c_mktsegment AS student_type FROM customer ORDER BY ALL",
+    "evaluations_list": """
+        SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)
+        ORDER BY quality DESC NULLS LAST, n_chars DESC NULLS LAST, doc_id LIMIT 500""",
+    "author_qna": """
+        SELECT o_custkey, l_orderkey, l_linenumber, p_name AS question, p_type AS category, l_quantity AS answer
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey""",
+    "articles_existing": """
+        SELECT o_orderkey AS id, c_custkey AS author_id, c_name AS name, 'editing' AS article_status, CAST(round(o_totalprice * 100) AS BIGINT) AS score
+        FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND o_totalprice >= 450000
+        ORDER BY score DESC, author_id, id LIMIT 100""",
+    "articles_fallback": _CANDIDATES,
+    "latest_per_author": """
+        SELECT o_custkey, o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day
+        FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1""",
 }
