@@ -46,9 +46,9 @@ def status_of(score: Column) -> Column:
 
 
 def weighted(scores: dict[str, Column]) -> Column:
-    """Weighted mean of the sub-scores, half to even, in 0-5."""
+    """Weighted mean of the sub-scores, half to even, in 0-5; null if one is null."""
     total = sum(scores[k] * F.lit(w) for k, w in WEIGHTS.items())
-    return F.least(F.greatest(F.bround(total, 0), F.lit(0.0)), F.lit(5.0)).cast("int")
+    return F.when(total.isNotNull(), F.least(F.greatest(F.bround(total, 0), F.lit(0.0)), F.lit(5.0)).cast("int"))
 
 
 def parsed(replies: DataFrame, reply: str = "reply") -> DataFrame:
