@@ -183,7 +183,8 @@ def pack(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "start")
     ranked = (
         salted.withColumn("nth", F.row_number().over(inside) - 1)
-        .join(bases.drop("count"), ["length", "salt"])
+        # The window has dealt and sorted the pieces by these keys, so a merge moves them no further; the bases grow with the salts and are not broadcast.
+        .join(bases.drop("count").hint("merge"), ["length", "salt"])
         .withColumn("rank", F.col("rank_base") + F.col("nth"))
     )
     fits = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
