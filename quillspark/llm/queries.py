@@ -139,8 +139,8 @@ QUOTES_SQL = r"""
     roots AS (SELECT conv_id, turn, MIN(root) AS root, MAX(depth) AS depth FROM up GROUP BY ALL),
     counted AS (SELECT conv_id, turn, COUNT(*) AS n FROM quoted GROUP BY ALL),
     bare AS (
-        SELECT conv_id, turn, trim(string_agg(content, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT (regexp_matches(line,
-               '^[ \t]*(On\b.*\bwrote|Am\b.*\bschrieb.*|Le\b.*\ba écrit|El\b.*\bescribió)[ \t]*:[ \t]*$') AND next > 0)), E' \t\r\n') AS text
+        SELECT conv_id, turn, COALESCE(trim(string_agg(content, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT (regexp_matches(line,
+               '^[ \t]*(On\b.*\bwrote|Am\b.*\bschrieb.*|Le\b.*\ba écrit|El\b.*\bescribió)[ \t]*:[ \t]*$') AND next > 0)), E' \t\r\n'), '') AS text
         FROM (SELECT *, COALESCE(LEAD(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS next FROM parsed)
         GROUP BY ALL HAVING MAX(level) > 0)
     SELECT o.conv_id, o.turn, o.role, COALESCE(b.text, o.text) AS text, p.parent AS parent_turn, COALESCE(r.root, o.turn) AS root_turn,
