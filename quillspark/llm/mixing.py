@@ -20,6 +20,33 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def order_hash(doc_id: Column, text: Column, seed: int) -> Column:
+    """Place of a document in the seeded order; equal for rows of equal id and text."""
+    return F.xxhash64(F.lit(seed), doc_id, text)
+
+
+def repeated(docs: DataFrame, seed: int = 17, **columns) -> DataFrame:
+    """`docs` as often as the mix takes each: whole passes, and one more copy if the partial pass takes half of it or more.
+
+    Rows of equal id, text and source repeat by their mean, rounded. Null ids match by their text. All columns stay.
+    """
+    mixed = mix(docs, seed=seed, **columns)
+    times = F.col("passes") + F.when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0)
+    copies = (
+        mixed.withColumn("times", F.when(F.col("size") > 0, times).otherwise(0))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("order_hash").alias("_hash"))
+        .agg(F.round(F.avg("times")).cast("int").alias("_times"))
+        .filter("_times > 0")
+    )
+    doc_id, text, source = (columns.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    same = (
+        (order_hash(docs[doc_id], docs[text], seed) == F.col("_hash"))
+        & docs[doc_id].eqNullSafe(F.col("_id"))
+        & docs[source].cast("string").eqNullSafe(F.col("_source"))
+    )
+    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+
+
 def capped_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
     """Add `target` to rows (source, source_size, weight).
 
@@ -97,8 +124,8 @@ def mix(
     """Words that the mix takes of each document.
 
     Columns: doc_id, source, size, source_size, target, taken, shard, passes
-    (whole repeats) and part (words of the last, partial pass). Sources go by code
-    point, null last, with `weights` repeated along them.
+    (whole repeats), part (words of the last, partial pass) and order_hash (of id
+    and text). Sources go by code point, null last, with `weights` repeated along them.
 
     Summaries: one row per source and at most `most_shards` + one row per source
     for shards, so windows over them stay small; documents only meet inside their
@@ -111,7 +138,7 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             words(F.col(text_col)).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("order_hash"),
+            order_hash(F.col(id_col), F.col(text_col), seed).alias("order_hash"),
         ),
         "mix-sizes",
     )
@@ -160,5 +187,5 @@ def mix(
     return placed.withColumn("part", part).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken"),
-        "shard", F.col("passes").cast("long").alias("passes"), "part",
+        "shard", F.col("passes").cast("long").alias("passes"), "part", "order_hash",
     )

@@ -5,7 +5,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from conftest import DATA
-from edge import ROWS, edge, empty
+from edge import ROWS, edge
 from test_jaccard import brute as jaccard_brute
 from test_packing import _whole
 from test_pii import brute as pii_brute
@@ -45,9 +45,29 @@ def test_stages_on_their_own_input(spark, tmp_path):
             assert {r.doc_id for r in after} == set(texts) and len(once) <= len(after)
 
 
-def test_run_and_edges(spark):
+def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
-    for docs in (edge(spark).select("doc_id", "text", "lang", "source", "n_chars"), empty(spark).select("doc_id", "text", "lang", "source", "n_chars")):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, DATA)
-            assert out.count() <= len(ROWS) * 200
+
+
+def test_edges_in_every_stage(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = edge(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    got = {name: stage(spark, docs, DATA).collect() for name, stage in stages.items()}
+    assert {r.doc_id for r in got["quality_rules"]} <= {4}
+    assert sorted(str(r.doc_id) for r in got["ngram_jaccard_join"]) == sorted({str(r[0]) for r in ROWS})
+    assert len(got["pii"]) == len(ROWS)
+    assert {r.doc_id for r in got["mixing"]} <= {None, 4, 5, 6, 7, 8} and {r.source for r in got["mixing"]} >= {"a", "b"}
+    assert {r.doc_id for r in got["packing"]} == {r[0] for r in ROWS}
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_mixing_repeats_follow_the_taken_words(spark):
+    from quillspark.llm import mixing
+
+    docs = spark.createDataFrame([(i % 90 or None, f"{'w ' * (20 + i % 30)}{i % 90}", None, f"s{i % 3}", 1) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = mixing.mix(docs).groupBy("source").agg({"taken": "sum"}).collect()
+    got = mixing.mix(mixing.repeated(docs)).groupBy("source").agg({"size": "sum"}).collect()
+    got = {r.source: r["sum(size)"] for r in got}
+    assert mixing.repeated(docs).filter("doc_id IS NULL").count() > 0
+    assert all(abs(got[r.source] - r["sum(taken)"]) < 0.15 * r["sum(taken)"] + 100 for r in taken)
