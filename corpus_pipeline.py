@@ -35,9 +35,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the lowest id of each near-duplicate class."""
-    classes = jaccard.near_duplicates(docs)
-    return docs.join(classes.filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document with the lowest id of each near-duplicate class; rows that repeat an id and a text count as copies too."""
+    classes = common.staged(jaccard.near_duplicates(docs).select("doc_id", "class_id"), "pipeline-classes")
+    kept = docs.join(classes.filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    shared = classes.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    once = kept.join(shared, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(shared, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 @_stage
@@ -48,12 +51,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it: whole passes, and one more copy if a partial pass takes half of it or more."""
-    mixed = mixing.mix(docs)
-    times = F.col("passes") + F.when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0)
-    copies = mixed.select("doc_id", times.cast("int").alias("times")).filter("times > 0")
-    repeated = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(*docs.columns)
+    """Repeat each document as often as the mix takes it."""
+    return mixing.repeated(docs)
 
 
 @_stage
