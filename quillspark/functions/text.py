@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,14 @@ IDENTITY_LABELS = {
 GUIDE_HINTS = ("작성용 키워드", "아래 키워드", "키워드를 참고", "선택하여 답변", "해당 셀을 삭제", "해당하는 것만", "구글폼에", "복사", "내용)")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body and its lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def consecutive_distinct(lines: Column) -> Column:
     """Non-empty lines that differ from the raw line before."""
-    return F.filter(lines, lambda x, i: (x != "") & ((i == 0) | (x != F.coalesce(F.get(lines, i - 1), F.lit("")))))
+    return bound(lines, lambda all_: F.filter(all_, lambda x, i: (x != "") & ((i == 0) | (x != F.coalesce(F.get(all_, i - 1), F.lit(""))))))
 
 
 def html_to_text(html: Column) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import changes, forms, reports, texts
+from quillspark.plans import changes, editing, forms, reports, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (reports, changes, forms, texts):
+for module in (reports, changes, forms, texts, editing):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def query(spark: SparkSession, sql: str, *params, **named) -> DataFrame:
+    """Rows of parametrised SQL over registered tables; values are bound, never pasted."""
+    return spark.sql(sql, args=named or list(params))
+
+
+def query_one(spark: SparkSession, sql: str, *params, **named) -> DataFrame:
+    """The first row, or none."""
+    return query(spark, sql, *params, **named).limit(1)
+
+
 def grid(spark: SparkSession, path: str) -> DataFrame:
     """A CSV sheet as strings `_c0`, `_c1`, …; line feeds inside quoted cells stay."""
     return spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)

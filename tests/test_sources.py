@@ -108,3 +108,10 @@ def test_windows_and_first_seen(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
     assert sorted(r.k for r in spark.table("seen").collect()) == [1, 2]
     assert sorted((r.k, r.n) for r in spark.table("counted").collect()) == [(1, 2), (2, 1)]
+
+
+def test_bound_parameters(spark):
+    spark.createDataFrame([(1, "a' OR 1=1"), (2, "b")], "id int, name string").createOrReplaceTempView("bound_rows")
+    assert [r.id for r in tables.query(spark, "SELECT * FROM bound_rows WHERE name = ?", "a' OR 1=1").collect()] == [1]
+    assert tables.query_one(spark, "SELECT * FROM bound_rows WHERE id > :low ORDER BY id", low=0).collect()[0].id == 1
+    assert tables.query_one(spark, "SELECT * FROM bound_rows WHERE id > ?", 9).count() == 0
