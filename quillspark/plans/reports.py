@@ -23,13 +23,15 @@ def cohort_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors, answers and evaluations per cohort.
 
     Each child is summed per author before the join, so the star of outer joins
-    never multiplies rows and no distinct count is needed.
+    never multiplies rows and no distinct count is needed. Answers are dealt by their
+    submission once; the distinct, the count and the join all use that.
     """
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = (
         table(spark, sf_dir, "lineitem")
         .select("l_orderkey", "l_linenumber")
+        .repartition("l_orderkey")
         .distinct()
         .groupBy("l_orderkey")
         .agg(F.count("*").alias("n_lines"))
@@ -117,7 +119,7 @@ def essays(authors: DataFrame, submissions: DataFrame, answers: DataFrame, min_s
     submission_id and answer_id. Children are reduced to one row per author before
     they are joined; a minimum score drops authors without a score.
     """
-    per_submission = answers.select("submission_id", "answer_id").distinct().groupBy("submission_id").agg(F.count("*").alias("n"))
+    per_submission = answers.select("submission_id", "answer_id").repartition("submission_id").distinct().groupBy("submission_id").agg(F.count("*").alias("n"))
     per_author = (
         submissions.join(per_submission, "submission_id", "left")
         .groupBy("author_id")
