@@ -36,9 +36,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the lowest id of each near-duplicate class; rows that repeat an id and a text count as copies too."""
-    classes = common.staged(jaccard.near_duplicates(docs).select("doc_id", "class_id"), "pipeline-classes")
+    classes = jaccard.near_duplicates(docs)
     kept = docs.join(classes.filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    shared = classes.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    shared = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not shared.limit(1).count():  # every id stands once, so no row is a copy under its own id
+        return kept
     once = kept.join(shared, "doc_id", "left_anti").select(*docs.columns)
     return once.unionByName(kept.join(shared, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
