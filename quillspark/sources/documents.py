@@ -21,8 +21,9 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from quillspark.functions.text import consecutive_distinct, html_to_text, text_lines
+from quillspark.sources.hwp import hwp_text
 
-EXTENSIONS = ("hwpx", "docx", "txt", "html", "xhtml")
+EXTENSIONS = ("hwp", "hwpx", "docx", "txt", "html", "xhtml")
 
 
 def listing(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -63,7 +64,7 @@ def decoded(data: bytes) -> str:
     return ""
 
 
-_READERS = {"hwpx": hwpx_text, "docx": docx_text}
+_READERS = {"hwp": hwp_text, "hwpx": hwpx_text, "docx": docx_text}
 
 
 @pandas_udf(StringType())
@@ -71,7 +72,7 @@ def _extracted(kind: pd.Series, content: pd.Series) -> pd.Series:
     def one(k: str, data: bytes) -> str:
         try:
             return _READERS.get(k, decoded)(data)
-        except (zipfile.BadZipFile, KeyError, UnicodeError):
+        except (zipfile.BadZipFile, KeyError, ValueError):
             return ""
 
     return pd.Series([one(k, d) if d is not None else "" for k, d in zip(kind, content)])

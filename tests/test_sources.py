@@ -1,12 +1,15 @@
 """Documents, workbooks, schemas, seed tables, sinks and the file stream."""
 
 import io
+import struct
 import zipfile
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import scoring
-from quillspark.sources import documents, schema, seed, sinks, tables
+from quillspark.sources import documents, hwp, schema, seed, sinks, tables
 from quillspark.streaming import intake
 
 
@@ -18,8 +21,67 @@ def packed(**files):
     return out.getvalue()
 
 
+def container(streams):
+    """An OLE file: long streams in sectors, short ones in the pool; all siblings hang to the right."""
+    end, free = 0xFFFFFFFE, 0xFFFFFFFF
+    sectors, fat, pool, small_fat = [], [], b"", []
+
+    def put(data):
+        first = len(sectors)
+        parts = [data[i : i + 512].ljust(512, b"\0") for i in range(0, max(1, len(data)), 512)]
+        sectors.extend(parts)
+        fat.extend([*range(first + 1, first + len(parts)), end])
+        return first
+
+    def entry(name, kind, right=free, child=free, start=end, size=0):
+        raw = name.encode("utf-16-le")
+        return raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw) + 2, kind, 1, free, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size)
+
+    placed = {}
+    for path, data in streams.items():
+        if len(data) >= 4096:
+            placed[path] = put(data)
+        else:
+            n = max(1, -(-len(data) // 64))
+            placed[path] = len(small_fat)
+            small_fat.extend([*range(len(small_fat) + 1, len(small_fat) + n), end])
+            pool += data.ljust(64 * n, b"\0")
+    inner = [p for p in streams if "/" in p]
+    entries = [entry("Root Entry", 5, child=1, start=put(pool), size=len(pool)), entry("FileHeader", 2, right=2, start=placed["FileHeader"], size=len(streams["FileHeader"])), entry("BodyText", 1, child=3)]
+    for k, p in enumerate(inner):
+        entries.append(entry(p.split("/")[1], 2, right=4 + k if k + 1 < len(inner) else free, start=placed[p], size=len(streams[p])))
+    directory, small = put(b"".join(entries)), put(struct.pack(f"<{len(small_fat)}I", *small_fat).ljust(512, b"\xff"))
+    at = len(sectors)
+    fat.append(0xFFFFFFFD)
+    assert len(fat) <= 128
+    sectors.append(struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff"))
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIIII", 0, 1, directory, 0, 4096, small, 1, end, 0, at)
+    return head.ljust(512, b"\xff") + b"".join(sectors)
+
+
+def record(tag, payload):
+    size = len(payload)
+    return struct.pack("<I", tag | min(size, 0xFFF) << 20) + (struct.pack("<I", size) if size >= 0xFFF else b"") + payload
+
+
+def test_binary_documents():
+    table = "\x0b" + "abcdefg"  # a control of eight units
+    text = lambda s: record(67, s.encode("utf-16-le"))
+    long = "가" * 5000
+    body = [text("first" + table + "\t" + "1234567" + "x\r"), record(66, b"zz") + text(long)]
+    for packed_ in (0, 1):
+        pack = (lambda b: (c := zlib.compressobj(9, zlib.DEFLATED, -15)).compress(b) + c.flush()) if packed_ else bytes
+        streams = {"FileHeader": b"\0" * 36 + bytes([packed_]) + b"\0" * 200, "BodyText/Section10": pack(body[1]), "BodyText/Section2": pack(body[0])}
+        assert hwp.hwp_text(container(streams)) == f"first\tx\n{long}\n"
+    for broken in (b"", b"x" * 600, container(streams)[:700], container({**streams, "BodyText/Section2": b"\xff" * 80})):
+        with pytest.raises(ValueError):
+            hwp.hwp_text(broken)
+
+
 def test_documents(spark, tmp_path):
     (tmp_path / "sub").mkdir()
+    (tmp_path / "g.hwp").write_bytes(container({"FileHeader": b"\0" * 236, "BodyText/Section0": record(67, "본문".encode("utf-16-le"))}))
+    (tmp_path / "h.hwp").write_bytes(b"broken")
     (tmp_path / "a.hwpx").write_bytes(packed(**{"Contents/section1.xml": "<hp:p><hp:t>third</hp:t></hp:p>", "Contents/section0.xml": '<hp:p><hp:t>first &lt;1&gt;</hp:t></hp:p><hp:p><hp:t a="b">sec</hp:t><hp:t>ond</hp:t></hp:p>'}))
     (tmp_path / "sub/b.docx").write_bytes(packed(**{"word/document.xml": "<w:p><w:t>one &amp;</w:t></w:p><w:p><w:t>two</w:t></w:p>"}))
     (tmp_path / "c.txt").write_bytes("한글".encode("cp949"))
@@ -27,7 +89,7 @@ def test_documents(spark, tmp_path):
     (tmp_path / "e.html").write_text("<html><style>x</style><body class='a'>a  b<br>a b<p>d</p><p>d</p>c&nbsp;&lt;</body>")
     (tmp_path / "f.bin").write_bytes(b"no")
     got = {r.path.rsplit("/", 1)[1]: r.text for r in documents.extract(documents.listing(spark, str(tmp_path))).collect()}
-    assert got == {"a.hwpx": "first <1>\nsecond\nthird\n", "b.docx": "one &\ntwo\n", "c.txt": "한글", "d.docx": "", "e.html": "a b\nd\nd\nc <"}
+    assert got == {"a.hwpx": "first <1>\nsecond\nthird\n", "b.docx": "one &\ntwo\n", "c.txt": "한글", "d.docx": "", "g.hwp": "본문\n", "h.hwp": "", "e.html": "a b\nd\nd\nc <"}
 
 
 def test_workbook(spark, tmp_path):
