@@ -119,7 +119,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((prefix[ends] - prefix[starts]) * q[starts])
 
 
-def text_slices(column: pa.Array, most_bytes: int = 1 << 20):
+def text_slices(column: pa.Array, most_bytes: int = 1 << 18):
     """Yield (first, last, bytes, offsets) for runs of rows of about most_bytes of UTF-8; nulls are empty.
 
     A longer single text is a run of its own, whole.
