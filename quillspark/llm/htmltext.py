@@ -31,8 +31,8 @@ DROPPED = frozenset(
 )
 _PARAGRAPH_ENDS = BLOCK - {"body", "html"}
 _NAMED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|notice\w*|alert|modal|popup|overlay|newsletter|subscri\w*|comments?|disqus|respond|replies|reply"
-    r"|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side|aside|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|login|signup|search)(?:$|[-_\s])",
+    r"(?:^|[-_\s])(?:ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|notice\w*|alert|modal|popup|overlay|newsletter|subscri\w*|comment\w*|disqus|discussion|feedback|respond|responses?|replies|reply"
+    r"|ad(?:box|slot|unit)\w*|copyright|gdpr|paywall|toast|\w*nav|(?:top|bottom|status|info)bar|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side|aside|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|login|signup|search)(?:$|[-_\s])",
     re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())

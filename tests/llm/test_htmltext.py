@@ -18,6 +18,9 @@ def test_regions_around_the_article_go():
         f"<div class='ad'>Buy this thing now, it is cheap</div><main>{ARTICLE}</main><div class='comments'><p>I did not like this story at all, what a long comment it is.</p></div>",
         f"<script>var a = '<p>no</p>';</script><div class='cookie-notice'>We use cookies</div><div>{ARTICLE}</div><form><label>Name</label><input></form>",
         f"<header>Site</header><div><div>{ARTICLE}</div></div><div class='sidebar'><p>Other stories that you may read some other day</p></div>",
+        f"<div class='topnav'><a href='/x'>X</a></div><section class='post'>{ARTICLE}</section><section id='commentlist'><p>A reader wrote a long reply that does not belong here.</p></section>",
+        f"<div role='banner'>Name of the site</div><div class='col'>{ARTICLE}<div class='adbox'>An offer inside the text</div></div><p class='copyright'>All rights</p>",
+        f"<table><tr><td class='leftnav'>A<br>B</td><td>{ARTICLE}</td></tr></table><dialog>Sign in</dialog>",
     ]
     for body in around:
         assert "\n\n".join(htmltext.main_text(page(body))) == expected()
