@@ -168,35 +168,43 @@ def author_qna(spark: SparkSession, sf_dir: str, author: int | None = None) -> D
     )
 
 
-def articles(existing: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The articles if there are any, else the candidates; decided inside the plan, by an anti join with one row at most."""
+def articles(existing: DataFrame, candidates: DataFrame, most: int = 100) -> DataFrame:
+    """All articles if there are any, else the `most` best candidates; decided inside the plan, by an anti join with one row at most."""
     any_ = F.broadcast(existing.select(F.lit(1).alias("_any")).limit(1))
-    return existing.unionByName(candidates.join(any_, F.col("_any").isNotNull(), "left_anti"))
+    best = candidates.orderBy(F.desc("score"), "author_id").limit(most)
+    return existing.unionByName(best.join(any_, F.col("_any").isNotNull(), "left_anti"))
 
 
 def _articles(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
     authors = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     orders = table(spark, sf_dir, "orders")
-    written = orders.filter((F.col("o_orderstatus") == status) & (F.col("o_totalprice") >= 450_000))
-    existing = written.join(authors, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("id"), F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), F.lit("editing").alias("article_status"), cents("o_totalprice").alias("score")
-    )
-    best = orders.filter("o_totalprice >= 400000").groupBy("o_custkey").agg(F.max(cents("o_totalprice")).alias("score"))
-    fallback = (
-        authors.join(best, F.col("o_custkey") == F.col("c_custkey"))
-        .select(F.lit(None).cast("long").alias("id"), F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), F.lit("draft").alias("article_status"), "score")
-    )
-    return articles(existing, fallback).orderBy(F.desc("score"), "author_id", "id").limit(100)
+    existing = orders.filter(F.col("o_orderstatus") == status).join(authors, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("id"), F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), F.lit("editing").alias("article_status"),
+        cents("o_totalprice").alias("score"), F.col("o_orderdate").alias("updated_at"), F.col("o_totalprice").alias("price"),
+    )
+    best = orders.filter("o_totalprice >= 400000").groupBy("o_custkey").agg(F.max("o_totalprice").alias("price"))
+    fallback = authors.join(best, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.lit(None).cast("long").alias("id"), F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), F.lit("draft").alias("article_status"),
+        cents("price").alias("score"), F.lit(None).cast(existing.schema["updated_at"].dataType).alias("updated_at"), "price",
+    )
+    return articles(existing, fallback)
+
+
+def articles_list(spark: SparkSession, sf_dir: str, status: str = "F") -> DataFrame:
+    """Every article, newest first; only if there is none, the 100 best authors above the threshold."""
+    rows = _articles(spark, sf_dir, status).withColumn("day", F.date_format("updated_at", "yyyy-MM-dd"))
+    return rows.orderBy(F.desc("updated_at"), F.desc("score"), "author_id", "id").drop("updated_at", "price")
 
 
 def articles_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 best articles."""
-    return _articles(spark, sf_dir, "F")
+    """The 100 best articles above the threshold, as its SQL has them; `articles_list` has all articles."""
+    rows = _articles(spark, sf_dir, "F").filter("id IS NOT NULL AND price >= 450000").drop("updated_at", "price")
+    return rows.orderBy(F.desc("score"), "author_id", "id").limit(100)
 
 
 def articles_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No article has this status, so the 100 best authors above the threshold stand in."""
-    return _articles(spark, sf_dir, "X")
+    return _articles(spark, sf_dir, "X").drop("updated_at", "price").orderBy(F.desc("score"), "author_id", "id")
 
 
 def latest_article(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +225,7 @@ QUERIES = {
     "filter_options": filter_options,
     "evaluations_list": evaluations_list,
     "author_qna": author_qna,
+    "articles_list": articles_list,
     "articles_existing": articles_existing,
     "articles_fallback": articles_fallback,
     "latest_per_author": latest_article,
@@ -266,6 +275,11 @@ ORACLES = {
     "author_qna": """
         SELECT o_custkey, l_orderkey, l_linenumber, p_name AS question, p_type AS category, l_quantity AS answer
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey""",
+    "articles_list": """
+        SELECT o_orderkey AS id, c_custkey AS author_id, c_name AS name, 'editing' AS article_status, CAST(round(o_totalprice * 100) AS BIGINT) AS score,
+               strftime(o_orderdate, '%Y-%m-%d') AS day
+        FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'
+        ORDER BY o_orderdate DESC, score DESC, author_id, id""",
     "articles_existing": """
         SELECT o_orderkey AS id, c_custkey AS author_id, c_name AS name, 'editing' AS article_status, CAST(round(o_totalprice * 100) AS BIGINT) AS score
         FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND o_totalprice >= 450000
