@@ -3,9 +3,11 @@
 The standard library's parser streams events; they build lines (blocks of text with
 their text and tag sizes) and the open element of each. The text-to-tag ratio per
 line is smoothed with a Gaussian, and two-means clustering of the smoothed ratios
-sets the threshold; lines above it are the content regions. The element that
-holds most of their text is the article, and every line inside it is kept, short ones
-too, unless an element around it says that it is a menu, form, advert or the like.
+sets the threshold; lines above it are the content regions. The article is the innermost
+<article> or <main> that holds most of their text, else the innermost container that
+holds all of them (a list, table, section or preformatted text is part of what is around
+it). Every line inside it is kept, short ones too, unless an element around it says that
+it is a menu, form, advert or the like; so is a page headline that stands before it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ BLOCK = frozenset(
 DROPPED = frozenset(
     "head title script style template noscript nav header footer aside form button select option textarea input label fieldset dialog menu svg math canvas object iframe embed audio video map search".split()
 )
+#: Elements that can be the article; a cell only where it holds further blocks, as in tables made for layout.
+_CONTAINERS = frozenset("html body div article main center".split())
+_CELLS = frozenset(("td", "th"))
 _PARAGRAPH_ENDS = BLOCK - {"body", "html"}
 _NAMED = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|notice\w*|alert|modal|popup|overlay|newsletter|subscri\w*|comment\w*|disqus|discussion|feedback|respond|responses?|replies|reply"
@@ -158,16 +163,32 @@ def main_text(html: str, sigma: float = 1.0) -> list[str]:
             for element in lines[i][2]:
                 weight[element] = weight.get(element, 0.0) + sizes[i]
     kept = open_
-    # The innermost article, else the innermost element, that holds most of the regions' text.
-    holders = [e for e, w in weight.items() if w >= 0.6 * total]
-    articles = [e for e in holders if page.names[e] in ("article", "main")]
-    blocks = [e for e in holders if page.names[e] not in ("p", "li", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "blockquote", "td")]
-    if articles or blocks:
-        holder = max(articles or blocks)
+    # The innermost article that holds most of the regions' text, else the container that holds all of it.
+    articles = [e for e, w in weight.items() if w >= 0.6 * total and page.names[e] in ("article", "main")]
+    if articles:
+        holder = max(articles)
         kept = [i for i in open_ if holder in lines[i][2]]
+    elif total:
+        holder = _container([lines[i][2] for i in open_ if regions[i]], page.names)
+        inside = {i for i in open_ if holder in lines[i][2]} if holder is not None else set(open_)
+        heads = [i for i in open_ if any(page.names[e] == "h1" for e in lines[i][2])]
+        if not inside.intersection(heads):
+            inside.update(i for i in heads if i < min(inside))
+        kept = sorted(inside)
     return [lines[i][0] for i in kept]
 
 
+def _container(paths: list[tuple[int, ...]], names: list[str]) -> int | None:
+    """The innermost container around all paths; None where they share none."""
+    low, high = min(paths), max(paths)
+    n = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    for at in range(n - 1, -1, -1):
+        name = names[low[at]]
+        if name in _CONTAINERS or (name in _CELLS and any(names[x] in BLOCK for path in paths for x in path[at + 1 :])):
+            return low[at]
+    return None
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = ["\n\n".join(main_text(html.as_py() or "")) for html in batch.column(2)]
