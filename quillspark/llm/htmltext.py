@@ -29,23 +29,49 @@ BLOCK = frozenset(
 )
 #: Elements whose text is never main text.
 DROPPED = frozenset(
-    "head title script style template noscript nav header footer aside form button select option textarea input label fieldset dialog menu svg math canvas object iframe embed audio video map search".split()
+    "head title script style template noscript nav header footer aside button select option textarea input label dialog menu svg math canvas object iframe embed audio video map search".split()
 )
+#: Elements that are dropped like named ones: not if the article stands inside.
+FORMS = frozenset(("form", "fieldset"))
 #: Elements that can be the article; a cell only where it holds further blocks, as in tables made for layout.
 _CONTAINERS = frozenset("html body div article main center".split())
 _CELLS = frozenset(("td", "th"))
 _PARAGRAPH_ENDS = BLOCK - {"body", "html"}
-_NAMED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|notice\w*|alert|modal|popup|overlay|newsletter|subscri\w*|comment\w*|disqus|discussion|feedback|respond|responses?|replies|reply"
-    r"|ad(?:box|slot|unit)\w*|copyright|gdpr|paywall|toast|\w*nav|(?:top|bottom|status|info)bar|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side|aside|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|login|signup|search)(?:$|[-_\s])",
+#: Parts of names, between hyphens, that tell a region which is not the article. Strong ones do so inside an article too.
+_STRONG = re.compile(
+    r"ads?|advert\w*|ad(?:box|slot|unit)\w*|sponsor\w*|comments?|comment(?:list|form|area|section|thread)s?|disqus|nav|nav(?:bar|box|list|menu|igation)s?|(?:top|left|right|main|side|sub|foot|site|page)nav|breadcrumbs?|pagination|pager|cookies?|cookie(?:bar|banner|notice|consent)|newsletter|share|sharing",
     re.I,
 )
+_WEAK = re.compile(
+    r"banner\w*|promo\w*|consent|notices?|alert|modal|popup|overlay|subscri\w*|discussion|feedback|respond|responses?|replies|reply|copyright|gdpr|paywall|toast|comment\w*|cookie\w*|\w+nav|(?:top|bottom|status|info)bar|menu\w*|sidebar\w*|side|aside|widget\w*|footer\w*|foot|header|masthead|toolbar|social|related|recommend\w*|login|signup|search",
+    re.I,
+)
+#: Parts that turn a name into a statement about the layout or state of what bears it.
+_MODIFIERS = frozenset("has no not with without is bg color colour".split())
+_STATES = frozenset("open opened closed enabled disabled active inactive on off count collapsed expanded free allowed".split())
+_HEADS = frozenset("entry post article story content section".split())
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NO, _WEAKLY, _STRONGLY, _SURELY = range(4)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _WHITE = re.compile(r"[\s\xa0]+")
 
 
+def _named(value: str) -> int:
+    """How surely a class or id names a region that is not the article; every name in it is looked at as a whole."""
+    found = _NO
+    for name in value.split():
+        parts = [x for x in re.split(r"[-_]+", name.lower()) if x]
+        if not parts or parts[-1] in _STATES or not _MODIFIERS.isdisjoint(parts) or (parts[-1] == "header" and parts[0] in _HEADS):
+            continue
+        if any(_STRONG.fullmatch(x) for x in parts):
+            return _STRONGLY
+        if any(_WEAK.fullmatch(x) for x in parts):
+            found = _WEAKLY
+    return found
+
+
 class _Lines(HTMLParser):
-    """Collects lines as (text, tag characters, element path, dropped)."""
+    """Collects lines as (text, tag characters, element path, whether an element of the path may be dropped)."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
@@ -54,6 +80,7 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.stack: list[tuple[str, int, bool]] = []  # name, element number, dropped
         self.names: list[str] = []  # of each element
+        self.grades: list[int] = []  # of each element: how surely it is not the article
         self.text: list[str] = []
         self.tags = 0
 
@@ -76,15 +103,27 @@ class _Lines(HTMLParser):
             return
         if tag in _PARAGRAPH_ENDS or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_implied(tag)
-        named = any(
-            (k in ("class", "id") and v and tag not in ("html", "body", "article", "main") and _NAMED.search(v)) or (k == "role" and v in _ROLES) or k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs
-        )
+        grade = self._grade(tag, attrs)
         parent = bool(self.stack) and self.stack[-1][2]
-        dropped = parent or bool(named) or (tag in DROPPED and not (tag == "header" and any(n == "article" for n, _, _ in self.stack)))
+        dropped = parent or grade > _NO
         if dropped and not parent:
             self.cut()
         self.stack.append((tag, len(self.names), dropped))
         self.names.append(tag)
+        self.grades.append(grade)
+
+    def _grade(self, tag: str, attrs: list) -> int:
+        inside = any(n == "article" for n, _, _ in self.stack)
+        grade = _WEAKLY if tag in FORMS else _SURELY if tag in DROPPED and not (tag == "header" and inside) else _NO
+        for k, v in attrs:
+            if k == "hidden" or (k == "aria-hidden" and v == "true"):
+                return _SURELY
+            if k == "role" and v in _ROLES:
+                grade = max(grade, _WEAKLY)
+            elif v and (k == "class" or (k == "id" and tag not in _TITLES)) and tag not in ("html", "body", "article", "main"):
+                named = _named(v)
+                grade = max(grade, named if named == _STRONGLY or not (inside or tag in _TITLES) else _NO)
+        return grade
 
     def _close_implied(self, tag: str) -> None:
         """A new block ends an open paragraph; a new item ends an open item of its list."""
@@ -141,17 +180,63 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _dropped(page: _Lines) -> list[bool]:
+    """Whether each line is dropped.
+
+    A name, role or form does not drop what holds the largest article or main of the page
+    (with half of the text, if a strong name stands around an article), nor, on a page
+    without one, most of the text (three quarters, if the name is a strong one).
+    """
+    lines, names, grades = page.lines, page.names, page.grades
+    open_ = [i for i, x in enumerate(lines) if not x[3] or all(grades[e] < _SURELY for e in x[2])]
+    doubtful = [i for i in open_ if lines[i][3]]
+    drops = [True] * len(lines)
+    for i in open_:
+        drops[i] = False
+    if not doubtful:
+        return drops
+    total = sum(len(lines[i][0]) for i in open_)
+    within: dict[int, list[int]] = {}
+    for i in doubtful:
+        for e in lines[i][2]:
+            if grades[e]:
+                within.setdefault(e, []).append(i)
+    size = {e: sum(len(lines[i][0]) for i in at) for e, at in within.items()}
+    articles: dict[int, int] = {}
+    for i in open_:
+        for e in lines[i][2]:
+            if names[e] in ("article", "main"):
+                articles[e] = articles.get(e, 0) + len(lines[i][0])
+    # Teasers beside a text without an article are no articles of their own.
+    largest = max((e for e, n in articles.items() if names[e] == "main" or n >= 0.05 * total), key=lambda e: (articles[e], e), default=None)
+    live = set(within)
+    # The largest first, so what stands around a region is settled before the region.
+    for e in sorted(within, key=lambda x: (-size[x], x)):
+        if any(x in live for x in lines[within[e][0]][2] if x < e):
+            continue
+        share, strong = size[e] / total, grades[e] == _STRONGLY
+        if largest is None:
+            keep = share >= (0.75 if strong else 0.5)
+        else:
+            keep = largest > e and any(largest in lines[i][2] for i in within[e]) and (not strong or share >= 0.5 or names[largest] == "main")
+        if keep:
+            live.discard(e)
+    for i in doubtful:
+        drops[i] = not live.isdisjoint(lines[i][2])
+    return drops
+
+
 def main_text(html: str, sigma: float = 1.0) -> list[str]:
     """Blocks of the main text in page order."""
     page = _Lines()
     page.feed(html)
     page.close()
     page.cut()
-    lines = page.lines
-    open_ = [i for i, x in enumerate(lines) if not x[3]]
+    lines, drops = page.lines, _dropped(page)
+    open_ = [i for i, x in enumerate(drops) if not x]
     if not open_:
         return []
-    sizes = np.array([0.0 if x[3] else float(len(x[0])) for x in lines])
+    sizes = np.array([0.0 if drop else float(len(x[0])) for x, drop in zip(lines, drops)])
     ratio = np.log1p(sizes / np.array([max(1, x[1]) for x in lines]))
     smooth = smoothed(ratio, sigma)
     regions = smooth >= threshold(smooth)
