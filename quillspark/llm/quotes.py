@@ -1,8 +1,11 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
-Quote marks at the start of a line give its nesting level. Every quoted line is
-normalised and hashed; equal hashes of unquoted lines in the same conversation
-name the message that wrote the line first. The quoted lines of a message's lowest
+Quote marks at the start of a line give its nesting level; consecutive lines of one
+level are a passage. Every quoted line is normalised and hashed; equal hashes of
+unquoted lines in the same conversation name the message that wrote the line first.
+Quoted lines without such a hash may be wrapped anew or part of a line only: for them
+the passage is hashed in windows of `WINDOW` words, whole if it is shorter, and so are
+the unquoted passages of the conversation. Lines and windows of a message's lowest
 level vote, by their characters, for the message that it replies to. Replies lead to
 the root of their thread by following links in doubling steps, and a conversation
 in reply order is its rows by (root_turn, turn): a reply always stands after what
@@ -21,6 +24,10 @@ MARKS = r"^([ \t]*>)+[ \t]?"
 ATTRIBUTION = r"^[ \t]*(On\b.*\bwrote|Am\b.*\bschrieb.*|Le\b.*\ba écrit|El\b.*\bescribió)[ \t]*:[ \t]*$"
 
 
+#: Words of a window. A part of a line with fewer words names no message.
+WINDOW = 4
+
+
 def _parsed(text: Column) -> Column:
     """Lines as structs of level and content."""
     line = lambda x: F.struct(
@@ -33,6 +40,40 @@ def _normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[\s\xA0]+", " ")))
 
 
+def _pieces(messages: DataFrame, quoted: bool) -> DataFrame:
+    """conv_id, turn, level, passage, size, lines: the windows of every passage, with the hashes of the lines that a window touches.
+
+    A passage of fewer words is one window. The sizes of the windows of a passage
+    add up to its own.
+    """
+    normal = F.transform(_parsed(F.col("text")), lambda x: F.struct(x.level.alias("level"), _normal(x.content).alias("normal")))
+    lines = F.transform(normal, lambda x: F.struct(x.level.alias("level"), F.filter(F.split(x.normal, " "), lambda w: w != "").alias("words"), F.xxhash64(F.col("conv_id"), x.normal).alias("line")))
+    # Words as structs of level, word and the hash of their line; an empty line has no words and parts no passage.
+    words = F.flatten(F.transform(lines, lambda x: F.transform(x.words, lambda w: F.struct(x.level.alias("level"), w.alias("word"), x.line.alias("line")))))
+    # Runs of one level: a word starts a run where the level before it is another.
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get(F.col("words"), i - 1)["level"] != F.get(F.col("words"), i)["level"]))
+    run = lambda begin, end: F.slice(F.col("words"), begin + 1, end - begin)
+    runs = (
+        # Exploded from an array of one, so that the words are made once and not again for each use.
+        messages.select("conv_id", "turn", F.explode(F.array(words)).alias("words"))
+        .filter(F.size("words") > 0)
+        .withColumn("starts", F.concat(starts, F.array(F.size("words"))))
+        .select("conv_id", "turn", F.explode(F.transform(F.sequence(F.lit(1), F.size("starts") - 1), lambda i: run(F.get(F.col("starts"), i - 1), F.get(F.col("starts"), i)))).alias("run"))
+        .withColumn("level", F.col("run")[0]["level"])
+        .filter("level > 0" if quoted else "level = 0")
+    )
+    last = F.greatest(F.size("run") - WINDOW, F.lit(0))
+    slices = F.transform(F.sequence(F.lit(0), last), lambda i: F.filter(F.array(*[F.get(F.col("run"), i + k) for k in range(WINDOW)]), lambda x: x.isNotNull()))
+    taken = lambda p: F.array_join(F.transform(p, lambda x: x.word), " ")
+    piece = lambda p, i: F.struct(
+        F.xxhash64(F.col("conv_id"), taken(p)).alias("passage"),
+        F.when(i == last, F.length(taken(p))).otherwise(F.length(p[0]["word"]) + 1).alias("size"),
+        F.array_distinct(F.transform(p, lambda x: x.line)).alias("lines"),
+    )
+    # `slice` would copy the whole passage for every window. Made inside the row, so that rows of windows do not carry the passage.
+    return runs.select("conv_id", "turn", "level", F.explode(F.transform(slices, piece)).alias("piece")).select("conv_id", "turn", "level", "piece.*")
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """(conv_id, turn, root, depth) of messages with a parent; the driver sees one count a round."""
     now = staged(parents.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth")), "quotes-roots")
@@ -45,12 +86,38 @@ def _roots(parents: DataFrame) -> DataFrame:
             return now
 
 
+def _windows(own: DataFrame, linked: DataFrame) -> DataFrame:
+    """conv_id, turn, level, writer, size: votes of windows that touch a quoted line whose own hash names no message."""
+    open_lines = linked.filter("writer IS NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
+    asking = open_lines.groupBy("conv_id", "turn").agg(F.collect_set("passage").alias("open"))
+    quoted = staged(
+        _pieces(own.join(asking.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi"), True)
+        .join(asking, ["conv_id", "turn"])
+        .filter(F.arrays_overlap("lines", "open"))
+        .select("conv_id", "turn", "level", "passage", "size"),
+        "quotes-windows",
+    )
+    conversations = own.filter("turn IS NOT NULL").join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    written = _pieces(conversations, False).select("conv_id", "turn", "passage")
+    # Lines of fewer words than a window stand for themselves, whatever is around them.
+    short = (
+        conversations.select("conv_id", "turn", F.explode(_parsed(F.col("text"))).alias("line"))
+        .filter("line.level = 0")
+        .select("conv_id", "turn", _normal(F.col("line.content")).alias("normal"))
+        .filter((F.col("normal") != "") & (F.size(F.split("normal", " ")) < WINDOW))
+        .select("conv_id", "turn", F.xxhash64("conv_id", "normal").alias("passage"))
+    )
+    wanted = quoted.select("conv_id", "passage").distinct()
+    first = written.unionByName(short).join(wanted, ["conv_id", "passage"], "left_semi").groupBy("conv_id", "passage").agg(F.min("turn").alias("writer"))
+    return quoted.join(first, ["conv_id", "passage"]).filter("writer < turn").select("conv_id", "turn", "level", "writer", "size")
+
+
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text without quotes, parent_turn, root_turn, depth, n_quoted_lines, formatted.
 
     One row per row of `messages`. A message without quotes that can be linked has
-    no parent and is its own root at depth 0. Of several messages that hold a line,
-    the one with the lowest turn wrote it; only turns before the quoting one
+    no parent and is its own root at depth 0. Of several messages that hold a line
+    or window, the one with the lowest turn wrote it; only turns before the quoting one
     count, and ties of votes go to the later turn. Text without quote marks is unchanged;
     null text is empty. Null conversations or turns link to nothing. Rows that share
     conversation and turn share a parent. Further columns are not read. Empty table: no rows.
@@ -74,7 +141,11 @@ def link(messages: DataFrame) -> DataFrame:
         .agg(F.min("turn").alias("writer")),
         "quotes-writers",
     )
-    votes = quoted.join(first, ["conv_id", "passage"]).filter("writer < turn").groupBy("conv_id", "turn", "level", "writer").agg(F.sum("size").alias("votes"))
+    linked = quoted.join(first, ["conv_id", "passage"], "left").withColumn("writer", F.when(F.col("writer") < F.col("turn"), F.col("writer")))
+    linked = staged(linked, "quotes-linked")
+    windows = _windows(own, linked)
+    by_line = linked.filter("writer IS NOT NULL").select("conv_id", "turn", "level", "writer", "size")
+    votes = by_line.unionByName(windows).groupBy("conv_id", "turn", "level", "writer").agg(F.sum("size").alias("votes"))
     best = F.max(F.struct((-F.col("level")).alias("near"), "votes", "writer"))["writer"]
     parents = staged(votes.groupBy("conv_id", "turn").agg(best.alias("parent")), "quotes-parents")
     counted = quoted.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quoted_lines"))
