@@ -1,8 +1,9 @@
+import heapq
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from conftest import DATA
@@ -61,19 +62,72 @@ def test_edge_rows_and_empty(spark):
 @given(st.text(alphabet=st.sampled_from("ab'st 12\n\t é漢.,\r "), max_size=40) | st.text(max_size=30))
 def test_ids_equal_the_tokenizers(text):
     text = text.encode("utf-8", "ignore").decode()
-    full, plain = packing._encoding(packing.tokenizer_path())
-    assert packing._ids(text, full, plain) == TOK.encode(text, add_special_tokens=False).ids
+    assert packing.encoding().ids(text) == TOK.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "x", "é", "<|EndOfText|>", "'s"]), max_size=9))
+def test_special_tokens(parts):
+    text = "".join(parts)
+    assert packing.encoding().ids(text) == TOK.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_in_the_query(spark):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>", "in<|endoftext|>side  <|endoftext|>\n"]
+    docs = list(enumerate(texts))
+    _whole(packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
 
 
 TOK = _tokenizer()
 
 
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
-def test_patterns_hold_the_histogram(histogram):
+def one_by_one(histogram, max_len):
+    """Room left in each pack: every single piece, longest first, goes into the pack with the most room, or into a new one."""
+    rooms = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            if rooms and -rooms[0] >= length:
+                heapq.heapreplace(rooms, rooms[0] + length)
+            else:
+                heapq.heappush(rooms, length - max_len)
+    return sorted(-r for r in rooms)
+
+
+@settings(deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(0, 50), max_size=20))
+@example({20: 1, 2: 40})
+@example({1: 500, 64: 2, 33: 3})
+def test_shortest_pack_first(histogram):
     patterns = packing.pack_histogram(histogram, 64)
-    held = Counter()
-    for count, lengths in patterns:
-        assert sum(lengths) <= 64 and count > 0
-        for n in lengths:
-            held[n] += count
-    assert held == Counter(histogram)
+    held, rooms = Counter(), []
+    for count, runs in patterns:
+        size = sum(n * k for n, k in runs)
+        assert size <= 64 and count > 0
+        rooms += [64 - size] * count
+        for n, k in runs:
+            held[n] += count * k
+    assert held == Counter({n: k for n, k in histogram.items() if k})
+    assert sorted(rooms) == one_by_one(histogram, 64)
+    assert len(patterns) <= 3 * 64
+
+
+def test_known_histograms():
+    count = lambda h: sum(c for c, _ in packing.pack_histogram(h, 2048))
+    assert count({1000: 1, 100: 30}) == 2 and count({1500: 2, 1000: 3, 100: 60}) == 6
+    # The work follows the number of lengths, not of pieces.
+    wide = {n: 10**12 + n * 977 for n in range(1, 2049)}
+    patterns = packing.pack_histogram(wide, 2048)
+    assert len(packing.slot_rows(patterns)) <= 3 * 2048 * 64 + 64 * 2048
+    assert sum(c * sum(n * k for n, k in runs) for c, runs in patterns) == sum(n * k for n, k in wide.items())
+
+
+@settings(deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), min_size=1, max_size=20))
+def test_every_rank_has_one_slot(histogram):
+    seen = Counter()
+    for length, reach, first, last, base, offset, times in packing.slot_rows(packing.pack_histogram(histogram, 64)):
+        width = -(-histogram[length] // packing.RANGES)
+        for rank in range(max(first, reach * width), min(last, (reach + 1) * width)):
+            seen[length, rank] += 1
+            assert offset + length * ((rank - first) % times) + length <= 64
+    assert set(seen.values()) == {1} and len(seen) == sum(histogram.values())
