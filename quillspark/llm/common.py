@@ -77,8 +77,22 @@ def buckets(spark: SparkSession) -> int:
 
 
 def held_out(doc_id: str = "doc_id"):
-    """True where crc32(doc_id as text) mod 4 is 2."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """True where crc32(doc_id as text) mod 4 is 2; false for a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+#: Sample keys are hashes of 63 bits.
+KEY_BITS = 63
+
+
+def sample_key(name: str, *columns: str):
+    """Place of a row in a sample order, 0 to 2**63 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(name), *columns), 64 - KEY_BITS)
+
+
+def key_bound(most: int, count: int, first: int = 0) -> int:
+    """Keys up to this bound make a sample of about `most` of `count` rows, and the row with the key `first` is in it."""
+    return max(first, min((1 << KEY_BITS) - 1, (most << KEY_BITS) // max(1, count)))
 
 
 # --- vectorised hashing over the UTF-8 bytes of an Arrow column -------------

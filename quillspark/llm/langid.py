@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import held_out, text_slices
+from quillspark.llm.common import held_out, key_bound, sample_key, text_slices
 
 SLOTS = 1 << 13
 
@@ -65,9 +65,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def train(samples: list[tuple[str, np.ndarray]], clusters: int = 4, rounds: int = 8, seed: int = 13) -> Centroids:
-    """Centroids from (language, slots with repeats); one language after the other, so memory holds one at a time."""
-    texts = [(lang, *np.unique(s, return_counts=True)) for lang, s in samples if len(s)]
+def train(samples: list[tuple[str, np.ndarray, np.ndarray]], clusters: int = 4, rounds: int = 8, seed: int = 13) -> Centroids:
+    """Centroids from (language, distinct slots, their counts); one language after the other, so memory holds one at a time."""
+    texts = [s for s in samples if len(s[1])]
     seen = np.zeros(SLOTS)
     for _, at, _ in texts:
         seen[at] += 1
@@ -95,32 +95,39 @@ def train(samples: list[tuple[str, np.ndarray]], clusters: int = 4, rounds: int
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """order_key, lang, text -> order_key, lang, slots (uint16 bytes, distinct), counts (uint32 bytes): 6 * SLOTS bytes a text at most."""
     for batch in batches:
         for first, last, data, offsets in text_slices(batch.column(2)):
             slots, bounds = trigrams(data, offsets)
-            made = [slots[a:b].astype(np.uint16).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            made: tuple[list, list] = ([], [])
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                at, count = np.unique(slots[a:b], return_counts=True)
+                made[0].append(at.astype(np.uint16).tobytes())
+                made[1].append(count.astype(np.uint32).tobytes())
             head = [batch.column(i).slice(first, last - first) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*head, pa.array(made, pa.binary())], ["order_key", "lang", "slots"])
+            yield pa.RecordBatch.from_arrays([*head, *[pa.array(x, pa.binary()) for x in made]], ["order_key", "lang", "slots", "counts"])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 400, most_langs: int = 100) -> Centroids:
-    """Centroids from a bounded sample of rows with a language: about `rows_per_lang` of each, by hashed id, whole texts.
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 400, most_rows: int = 8000) -> Centroids:
+    """Centroids from a bounded sample of rows with a language: those with the lowest hashed ids, whole texts.
 
-    More than `most_langs` languages are an error rather than a silent choice.
+    About `rows_per_lang` rows of each language, fewer where there are so many
+    languages that this would exceed `most_rows` in all, but one row at least of every
+    language; a row is 6 * SLOTS bytes (48 KB) at most, so the driver holds 400 MB at most
+    and usually a fifth of it. The driver sees one count per language.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(
-        F.xxhash64(F.lit("lang"), F.col(id_col)).alias("order_key"), F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col).cast("string")).alias("text")
+        sample_key("lang", id_col).alias("order_key"), F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col).cast("string")).alias("text")
     )
-    counts = rows.groupBy("lang").count().limit(most_langs + 1).collect()
-    if len(counts) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("order_key").alias("first")).collect()
     if not counts:
         return train([])
-    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, rows_per_lang / r["count"]) * (1 << 20)))])
-    taken = rows.filter(F.pmod("order_key", F.lit(1 << 20)) < below[F.col("lang")])
-    made = taken.mapInArrow(_sampled, "order_key long, lang string, slots binary").collect()
-    made.sort(key=lambda r: (r["order_key"], bytes(r["slots"])))
-    return train([(r["lang"], np.frombuffer(r["slots"], np.uint16).astype(np.int64)) for r in made])
+    each = max(1, min(rows_per_lang, most_rows // len(counts)))
+    bounds = labelled.sparkSession.createDataFrame([(r["lang"], key_bound(each, r["n"], r["first"])) for r in counts], "lang string, bound long")
+    taken = rows.join(bounds, "lang").filter("order_key <= bound").select("order_key", "lang", "text")
+    made = taken.mapInArrow(_sampled, "order_key long, lang string, slots binary, counts binary").collect()
+    made.sort(key=lambda r: (r["order_key"], bytes(r["slots"]), bytes(r["counts"]), r["lang"]))
+    return train([(r["lang"], np.frombuffer(r["slots"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32)) for r in made])
 
 
 def _identified(model: Centroids, most: int = 64):
@@ -166,6 +173,9 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
 
 
 def classify(docs: DataFrame, rows_per_lang: int = 400) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected; held-out rows are not learned from."""
-    model = fit(docs.select("doc_id", "text", "lang").filter(~held_out()), rows_per_lang=rows_per_lang)
+    """doc_id, held_out, lang_pred, score, rejected, one row per row of `docs`; held-out rows and rows without an id are not learned from.
+
+    Further columns are not read. Empty table: no rows.
+    """
+    model = fit(docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("doc_id").isNotNull()), rows_per_lang=rows_per_lang)
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import held_out, mix, run_hashes, text_slices
+from quillspark.llm.common import held_out, key_bound, mix, run_hashes, sample_key, text_slices
 
 SLOTS = 1 << 20
 #: Values are relative frequencies times this.
@@ -99,22 +99,31 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*head, *[pa.array(x, pa.binary()) for x in made]], ["order_key", "label", "slots", "values"])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most_rows: int = 6000) -> tuple[np.ndarray, float]:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most_rows: int = 6000, most_bytes: int = 256 << 20) -> tuple[np.ndarray, float]:
     """Weights and bias from rows with a label of 0 or 1.
 
-    The sample is bounded: with more than `most_rows` rows, those whose hashed id
-    falls below most_rows / rows are taken, in hash order, whole texts. Their sparse
-    features come to the driver, where the sequential fit runs. Null labels are left
-    out. Without labels every weight is 0 and scores are 0.5.
+    The sample is bounded: about `most_rows` rows with the lowest hashed ids, whole
+    texts, of each label one at least, and of these in hash order as many as have
+    `most_bytes` of sparse features. Those features come to the driver, where the
+    sequential fit runs. Null labels are left out; several labels of one document are
+    as many rows. Without labels every weight is 0 and scores are 0.5.
     """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
-        F.xxhash64(F.lit("quality"), F.col(id_col)).alias("order_key"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text")
+        sample_key("quality", id_col).alias("order_key"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text")
     )
-    share = min(1.0, most_rows / max(1, rows.count()))
-    taken = rows.filter(F.pmod("order_key", F.lit(1 << 20)) < int(share * (1 << 20)))
-    made = taken.mapInArrow(_featured, "order_key long, label int, slots binary, values binary").collect()
-    made.sort(key=lambda r: (r["order_key"], bytes(r["slots"])))
-    return train([(r["label"], np.frombuffer(r["slots"], np.uint32).astype(np.int64), np.frombuffer(r["values"], np.float32).astype(float)) for r in made])
+    classes = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("order_key").alias("first")).collect()
+    count = sum(r["n"] for r in classes)
+    wanted = F.lit(False)
+    for r in classes:
+        wanted = wanted | ((F.col("label") == r["label"]) & (F.col("order_key") <= key_bound(most_rows, count, r["first"])))
+    made = rows.filter(wanted).mapInArrow(_featured, "order_key long, label int, slots binary, values binary")
+    # The sample has a bounded number of rows, so one task can put it in order.
+    size = F.octet_length("slots") + F.octet_length("values")
+    kept = made.withColumn("first", F.row_number().over(Window.partitionBy("label").orderBy("order_key", "slots")) == 1)
+    in_order = Window.orderBy(F.col("first").desc(), "order_key", "slots").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = kept.withColumn("so_far", F.sum(size).over(in_order)).filter((F.col("so_far") <= most_bytes) | F.col("first")).collect()
+    sample.sort(key=lambda r: (r["order_key"], bytes(r["slots"]), r["label"]))
+    return train([(r["label"], np.frombuffer(r["slots"], np.uint32).astype(np.int64), np.frombuffer(r["values"], np.float32).astype(float)) for r in sample])
 
 
 def _scored(weights: np.ndarray, bias: float):
@@ -146,7 +155,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows: int = 6000) -> DataFrame:
-    """doc_id, held_out, score and predicted; labels of held-out rows are not learned from."""
+    """doc_id, held_out, score and predicted, one row per row of `docs`; labels of held-out rows are not learned from.
+
+    A null doc_id is not held out and has no labels. Several labels of one document
+    are as many training rows. Further columns are not read. Empty table: no rows.
+    """
     learn = docs.select("doc_id", "text").filter(~held_out()).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
     scored = score(docs, fit(learn, most_rows=most_rows))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 
 from edge import ROWS, edge, empty
@@ -49,3 +52,75 @@ def test_scores_are_sparse_dot_products(spark):
         slots, _ = quality.features(data, offsets)
         dot = sum(float(weights[s]) for s in slots) * quality.SCALE / max(1, len(slots)) + 0.25
         assert abs(r.score - 1 / (1 + np.exp(-dot))) < 2e-6
+
+
+def plain_ftrl(samples, epochs=3, alpha=0.5, beta=1.0, l1=0.01, l2=0.1):
+    """The published per-coordinate update, one coordinate after the other."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for label, slots, values in samples:
+            x = [*zip(map(int, slots), map(float, values)), (quality.SLOTS, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - label) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_follows_the_regularised_leader():
+    rng = np.random.Generator(np.random.PCG64(6))
+    samples = [(int(rng.integers(2)), np.sort(rng.choice(50, 8, replace=False)), rng.random(8)) for _ in range(120)]
+    want = plain_ftrl(samples)
+    weights, bias = quality.train(samples)
+    assert abs(bias - want[quality.SLOTS]) < 1e-9
+    assert all(abs(weights[i] - want.get(i, 0.0)) < 1e-6 for i in range(quality.SLOTS) if i in want or weights[i])
+
+
+def plain_features(text):
+    """Words, pairs and shapes as texts; the slots follow from them one to one."""
+    words = re.findall(r"[A-Za-z\u0080-\U0010ffff]+|[0-9]+|[^A-Za-z0-9\u0080-\U0010ffff\x20\x09-\x0d]+", text)
+    out = []
+    for i, w in enumerate(words):
+        before = words[i - 1] if i else None
+        caps = sum("A" <= c <= "Z" for c in w) > 1 and not any("a" <= c <= "z" for c in w)
+        out += [("word", w), ("pair", before, w), ("shape", "again" if before == w else "caps" if caps else "other")]
+    return out
+
+
+def test_features_against_plain_words():
+    import pyarrow as pa
+
+    texts = ["One two two TWO 12ab !!x", "", " \n", "é1 ÉÉ AB ABc", "a a a", "One two"]
+    ((_, _, data, offsets),) = text_slices(pa.array(texts))
+    slots, bounds = quality.features(data, offsets)
+    named = {}
+    for i, text in enumerate(texts):
+        own, want = slots[bounds[i] : bounds[i + 1]], plain_features(text)
+        assert len(own) == len(want)
+        for slot, feature in zip(own, want):
+            assert named.setdefault(feature, slot) == slot
+    assert len(set(named.values())) == len(named)  # different features have different slots here
+
+
+def test_bounded_sample_keeps_every_label(spark):
+    rows = [(i, f"text number {i} is plain " * 9, 0) for i in range(3000)] + [(5000, "the only good one", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    weights, bias = quality.fit(df, most_rows=50)
+    assert np.count_nonzero(weights)
+    small, _ = quality.fit(df, most_rows=50, most_bytes=400)
+    assert 0 < np.count_nonzero(small) < np.count_nonzero(weights)
+
+
+def test_two_labels_of_one_document(spark):
+    docs = spark.createDataFrame([(1, "good words", "x"), (3, "bad words", "x"), (4, "both", "x")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, 1), (4, 0)], "doc_id long, quality int")
+    assert quality.classify(docs, labels).count() == 3
+    assert {r.held_out for r in quality.classify(docs.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text"), labels).collect()} == {False}
