@@ -1,16 +1,19 @@
 """N-gram Jaccard join by MinHash banding.
 
 1. Texts are hashed to sets of word n-grams; equal sets form one copy class, and
-   its lowest id stands for it.
+   one row stands for it.
 2. MinHash signatures are cut into bands; the number of rows in a band and of bands
    follow from the similarity and the recall asked for. Representatives meet at
-   equal band hashes; each bucket links its members to its lowest id, so links
+   equal band hashes; each bucket links its members to its lowest one, so links
    grow with members, not with pairs.
-3. Connected buckets are candidate components. In each, every pair is verified on
-   the full n-gram sets. A component over the block bound is cut into blocks, and
-   pairs of blocks become separate tasks, so no task holds an unbounded group.
-   A task returns one row per member: its links there and its local component.
-4. Components over verified links are the near-duplicate classes.
+3. Connected buckets are candidate components. One within the block bound is one
+   task. A larger one is cut into blocks of similar sizes of sets, and a representative
+   goes only to the blocks that hold a bucket mate of it; a pair of blocks is a task.
+   So the work follows the members of shared buckets, not the square of a component
+   that a chain of chance collisions holds together, and no task holds an unbounded group.
+4. A task verifies its pairs on the full n-gram sets, which are hashed once and dealt
+   as sorted hashes, and returns one row per member: its links there and its local component.
+5. Components over verified links are the near-duplicate classes.
 """
 
 from __future__ import annotations
@@ -87,14 +90,13 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _describe(n: int, rows: int, bands: int):
-    """Task code: doc_id, text -> doc_id, set_a, set_b, n_shingles, bands."""
+    """Task code: doc_id, text_hash, text -> doc_id, text_hash, set_a, set_b, n_shingles, bands."""
     rng = np.random.Generator(np.random.PCG64(11))
     seeds = tuple(rng.integers(1, 2**32, rows * bands, dtype=np.uint32) | np.uint32(1) for _ in range(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, last, data, offsets in text_slices(batch.column(1)):
+            for first, last, data, offsets in text_slices(batch.column(2)):
                 grams, bounds = shingle_sets(data, offsets, n)
                 # Sort within texts to drop repeats: order by (text, hash).
                 text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -113,8 +115,8 @@ def _describe(n: int, rows: int, bands: int):
                 band = mix(band + np.arange(bands, dtype=np.uint64) * _STEP)
                 listed = pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), *[pa.array(k.view(np.int64)) for k in keys], pa.array(counts.astype(np.int64)), listed],
-                    ["doc_id", "set_a", "set_b", "n_shingles", "bands"],
+                    [*[batch.column(i).slice(first, last - first) for i in (0, 1)], *[pa.array(k.view(np.int64)) for k in keys], pa.array(counts.astype(np.int64)), listed],
+                    ["doc_id", "text_hash", "set_a", "set_b", "n_shingles", "bands"],
                 )
 
     return run
@@ -184,36 +186,58 @@ def _verified(group: list[tuple[int, int, np.ndarray]], same: bool, threshold: f
     return linked.sum(axis=1), label
 
 
-def _verify(n: int, threshold: float):
-    """Task code over rows sorted by group: group, same, block, doc_id, text -> doc_id, links, head."""
+def _grams(n: int):
+    """Task code: node, set_a, routes, text -> node, routes, grams (sorted hashes, 8 bytes each); each node once, whatever other text shares its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, same, group, out = None, True, [], ([], [], [])
+        done: set[int] = set()
+        for batch in batches:
+            nodes, wanted = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for first, last, data, offsets in text_slices(batch.column(3)):
+                grams, bounds = shingle_sets(data, offsets, n)
+                rows, made = [], []
+                for i in range(first, last):
+                    own = np.unique(grams[bounds[i - first] : bounds[i - first + 1]])
+                    if nodes[i] not in done and _sums(mix(own ^ _STEP), np.array([0, len(own)])).view(np.int64)[0] == wanted[i]:
+                        done.add(nodes[i])
+                        rows.append(i)
+                        made.append(own.tobytes())
+                if rows:
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(made, pa.binary())], ["node", "routes", "grams"])
+
+    return run
+
+
+def _verify(threshold: float):
+    """Task code over rows sorted by group: group, same, block, node, grams -> node, links, head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, same, group, out = None, True, {}, ([], [], [])
 
         def close() -> None:
             if len(group) > 1:
-                group.sort(key=lambda g: g[0])
-                links, label = _verified(group, same, threshold)
-                out[0].extend(g[0] for g in group)
+                members = [group[k] for k in sorted(group)]
+                links, label = _verified(members, same, threshold)
+                out[0].extend(g[0] for g in members)
                 out[1].extend(links.tolist())
-                out[2].extend(group[i][0] for i in label)
+                out[2].extend(members[i][0] for i in label)
             group.clear()
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "links", "head"])
+            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "links", "head"])
             for x in out:
                 x.clear()
             return made
 
         for batch in batches:
-            keys, sames, blocks, ids = (batch.column(i).to_pylist() for i in range(4))
-            for first, last, data, offsets in text_slices(batch.column(4)):
-                grams, bounds = shingle_sets(data, offsets, n)
-                for i in range(first, last):
-                    if keys[i] != key:
-                        close()
-                        key, same = keys[i], sames[i]
-                    group.append((ids[i], blocks[i], np.unique(grams[bounds[i - first] : bounds[i - first + 1]])))
+            keys, sames, blocks, nodes = (batch.column(i).to_pylist() for i in range(4))
+            for i, grams in enumerate(batch.column(4)):
+                if keys[i] != key:
+                    close()
+                    key, same = keys[i], sames[i]
+                if nodes[i] not in group:
+                    group[nodes[i]] = (nodes[i], blocks[i], np.frombuffer(grams.as_buffer(), np.uint64).copy())
             if len(out[0]) > 10_000:
                 yield flush()
         close()
@@ -222,6 +246,71 @@ def _verify(n: int, threshold: float):
     return run
 
 
+def _routes(candidate: DataFrame, banded: DataFrame, sizes: DataFrame, threshold: float, block_docs: int, block_shingles: int) -> DataFrame:
+    """node, routes: for every candidate the groups (group, same, block) in which it is compared.
+
+    A pair of similar sets differs in size by the threshold at most, so blocks are
+    cut inside size classes of that ratio, and only neighbouring classes meet.
+    """
+    sized = staged(candidate.join(sizes, "node").withColumn("class", F.floor(F.log(F.col("n_shingles")) / F.lit(-math.log(threshold))).cast("long")), "jaccard-sized")
+    bound = lambda docs, shingles: F.greatest(F.ceil(docs / block_docs), F.ceil(shingles / block_shingles))
+    parts = sized.groupBy("label", "class").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    whole = parts.groupBy("label").agg((bound(F.sum("docs"), F.sum("shingles")) > 1).alias("large"))
+    cut = staged(parts.join(whole, "label").select("label", "class", "large", bound(F.col("docs"), F.col("shingles")).alias("n_blocks")), "jaccard-blocks")
+    block = F.when(F.col("large"), F.col("class") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("n_blocks"))).otherwise(F.lit(0))
+    placed = staged(sized.join(cut, ["label", "class"]).select("node", "label", "large", block.cast("long").alias("block")), "jaccard-placed")
+
+    inside = banded.join(placed.filter("large").drop("large"), "node")
+    there = inside.groupBy("band", F.col("block").alias("other")).agg(F.count("*").alias("n"))
+    class_of = lambda c: F.shiftright(c, 32)
+    met = inside.join(there, "band").filter((F.abs(class_of(F.col("block")) - class_of(F.col("other"))) <= 1) & ((F.col("block") != F.col("other")) | (F.col("n") > 1)))
+    # A block meets itself in the group (block, block) and another block in (low, high).
+    group = F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other"))
+    far = met.select("node", "label", "block", "other").distinct()
+    near = placed.filter("NOT large").select("node", "label", "block", F.col("block").alias("other"))
+    to = near.unionByName(far).select("node", F.struct(group.alias("group"), (F.col("block") == F.col("other")).alias("same"), "block").alias("route"))
+    return to.groupBy("node").agg(F.collect_list("route").alias("routes"))
+
+
+def _linked(
+    docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, rows: int, block_docs: int, block_shingles: int
+) -> DataFrame:
+    """row, doc_id, text_hash, node, label, n_links of every row; label is the lowest node of the class, null where nothing is linked."""
+    bands = bands_for(threshold, recall, rows)
+    text = F.lower(F.col(text_col).cast("string"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    schema = "doc_id long, text_hash long, set_a long, set_b long, n_shingles long, bands array<bigint>"
+    # Rows are numbered once, in the table that is written.
+    described = staged(texts.mapInArrow(_describe(n, rows, bands), schema).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    sets = ["set_a", "set_b", "n_shingles"]
+    copied = staged(described.filter("n_shingles > 0").groupBy(*sets).agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "jaccard-copies")
+    member = staged(
+        described.drop("bands").join(copied, sets, "left").select("row", "doc_id", "text_hash", "n_shingles", "set_a", F.coalesce("first", "row").alias("node")),
+        "jaccard-members",
+    )
+    alone = described.join(copied, sets, "left").filter("n_shingles > 0 AND row = COALESCE(first, row)")
+    banded = staged(alone.select(F.col("row").alias("node"), F.explode("bands").alias("band")), "jaccard-bands")
+    heads = staged(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "jaccard-heads")
+    banded = banded.join(heads, "band")
+    edges = banded.filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
+    candidate = components(edges, "jaccard-candidates")
+
+    first = member.filter("row = node").select("node", "doc_id", "text_hash", "set_a", "n_shingles")
+    routes = _routes(candidate, banded.drop("head"), first.select("node", "n_shingles"), threshold, block_docs, block_shingles)
+    wanted = first.drop("n_shingles").join(routes, "node").alias("w")
+    same_text = (F.col("t.text_hash") == F.col("w.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+    route = "routes array<struct<group: bigint, same: boolean, block: bigint>>"
+    grams = texts.alias("t").join(wanted, same_text).select("w.node", "w.set_a", "w.routes", "t.text").mapInArrow(_grams(n), f"node long, {route}, grams binary")
+    dealt = grams.select("node", "grams", F.explode("routes").alias("r")).select("r.group", "r.same", "r.block", "node", "grams")
+    found = staged(
+        dealt.repartition(_partitions(docs), "group").sortWithinPartitions("group").mapInArrow(_verify(threshold), "node long, links long, head long"), "jaccard-links"
+    )
+    links = found.groupBy("node").agg(F.sum("links").alias("n_links")).filter("n_links > 0")
+    classes = components(found.filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")), "jaccard-classes")
+    linked = staged(links.join(classes, "node", "left"), "jaccard-result")
+    return member.join(linked, "node", "left").select("row", "doc_id", "text_hash", "n_shingles", "node", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -230,69 +319,56 @@ def near_duplicates(
     threshold: float = 0.8,
     recall: float = 0.9999,
     rows: int = 7,
-    block_docs: int = 512,
-    block_shingles: int = 1_000_000,
+    block_docs: int = 128,
+    block_shingles: int = 250_000,
 ) -> DataFrame:
-    """One row per document: doc_id, copy_id, class_id, n_links.
+    """One row per row of `docs`: doc_id, copy_id, class_id, n_links.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the lower-cased whole text. copy_id is the
     lowest id with the same n-gram set; class_id the lowest id connected by links of
     Jaccard similarity >= threshold; n_links the number of different n-gram sets that
-    the document's own is linked to. A text of fewer than n words has one n-gram, all
+    the row's own is linked to. A text of fewer than n words has one n-gram, all
     its words. Null texts and texts without words link to nothing, not even to each
-    other. Ids are integers; rows that share an id are one document with the text of
-    each row compared. Only id and text are read. Empty table: no rows.
+    other. Ids are integers and need not be unique: every row is compared with its own
+    text. Null ids count as the highest, so they name a class only where no row of it
+    has an id. Only id and text are read. Empty table: no rows.
     """
-    bands = bands_for(threshold, recall, rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    described = staged(
-        texts.mapInArrow(_describe(n, rows, bands), "doc_id long, set_a long, set_b long, n_shingles long, bands array<bigint>"), "jaccard-sets"
-    )
-    sets = ["set_a", "set_b", "n_shingles"]
-    copied = staged(
-        described.filter("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")).filter("n > 1").drop("n"),
-        "jaccard-copies",
-    )
-    member = staged(
-        described.select("doc_id", *sets).join(copied, sets, "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("copy_id")),
-        "jaccard-members",
+    every = staged(_linked(docs, id_col, text_col, n, threshold, recall, rows, block_docs, block_shingles), "jaccard-rows")
+    joined = every.filter("n_shingles > 0")
+    copies = joined.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n"))
+    lowest = joined.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    ids = every.join(copies.filter("n > 1").drop("n"), "node", "left").join(lowest, "label", "left")
+    return ids.select(
+        "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"), "n_links"
     )
-    alone = described.join(copied.withColumn("has", F.lit(1)), sets, "left").filter("n_shingles > 0 AND (has IS NULL OR doc_id = lowest)")
-    banded = staged(alone.select("doc_id", F.explode("bands").alias("band")), "jaccard-bands")
-    heads = staged(
-        banded.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "jaccard-heads"
-    )
-    edges = banded.join(heads, "band").filter("doc_id <> head").select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).distinct()
-    candidate = components(edges, "jaccard-candidates")
 
-    sized = staged(
-        candidate.join(member.filter("doc_id = copy_id").select(F.col("doc_id").alias("node"), "n_shingles").dropDuplicates(["node"]), "node"), "jaccard-sized"
-    )
-    need = sized.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    cut = staged(need.select("label", blocks.alias("n_blocks")), "jaccard-blocks")
-    placed = sized.join(cut, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    located = staged(placed.select(F.col("node").alias("doc_id"), "label", "n_blocks", "block"), "jaccard-placed")
-    tasks = (
-        texts.join(located, "doc_id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .withColumn("group", F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")))
-    )
-    # A block meets itself in the group (block, block) and every other block in (low, high).
-    tasks = tasks.select("group", (F.col("block") == F.col("other")).alias("same"), "block", "doc_id", "text")
-    found = staged(
-        tasks.repartition(_partitions(docs), "group").sortWithinPartitions("group").mapInArrow(_verify(n, threshold), "doc_id long, links long, head long"),
-        "jaccard-links",
-    )
-    links = found.groupBy("doc_id").agg(F.sum("links").alias("n_links"))
-    classes = components(found.filter("doc_id <> head").select(F.col("doc_id").alias("src"), F.col("head").alias("dst")), "jaccard-classes")
-    linked = staged(
-        links.filter("n_links > 0").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("copy_id"), "n_links", "label"),
-        "jaccard-result",
-    )
-    return member.join(linked, "copy_id", "left").select(
-        "doc_id", "copy_id", F.coalesce("label", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """The rows of `docs` without near copies: of each class the row with the lowest id stays (null ids last), with all its columns.
+
+    Rows that repeat an id and a text are copies. Rows without words all stay. Empty table: no rows.
+    """
+    every = staged(_linked(docs, id_col, text_col, n, threshold, recall, 7, 128, 250_000), "jaccard-rows")
+    of_class = every.filter("n_shingles > 0").withColumn("class", F.coalesce("label", "node"))
+    first = of_class.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    judged = staged(
+        of_class.join(first, "class").groupBy("doc_id", "text_hash").agg(F.max(F.col("row") == F.col("first.row")).alias("stays"), F.count("*").alias("n")),
+        "jaccard-judged",
     )
+    columns = docs.columns
+    text_hash = lambda d: F.xxhash64(F.lower(d[text_col].cast("string")))
+
+    def without(rows: DataFrame, how: str, d: DataFrame) -> DataFrame:
+        keys = d.select(F.col("doc_id").alias("_jaccard_id"), F.col("text_hash").alias("_jaccard_text"))
+        same = (text_hash(rows) == keys["_jaccard_text"]) & rows[id_col].cast("long").eqNullSafe(keys["_jaccard_id"])
+        return rows.join(keys, same, how)
+
+    kept = without(docs, "left_anti", judged.filter("NOT stays"))
+    again = judged.filter("stays AND n > 1")
+    if not again.limit(1).count():  # no row repeats both an id and a text
+        return kept
+    once = without(kept, "left_semi", again).groupBy(F.col(id_col).alias("_id"), text_hash(docs).alias("_hash")).agg(F.first(F.struct(*[docs[c] for c in columns])).alias("_row"))
+    return without(kept, "left_anti", again).unionByName(once.select("_row.*"))
 
 
 def _partitions(df: DataFrame) -> int:

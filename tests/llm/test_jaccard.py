@@ -63,6 +63,19 @@ def test_large_groups_of_near_copies_are_cut_into_blocks(spark):
     assert found(jaccard.near_duplicates(df, block_shingles=700)) == want
 
 
+def test_a_chain_of_collisions_is_not_compared_as_a_whole(spark):
+    """Sparse links through one long chain: results equal all pairs, and blocks that share no bucket never meet."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    docs = []
+    for i in range(150):
+        for _ in range(2):
+            base[rng.randrange(len(base))] = f"w{rng.randrange(10**6)}"
+        docs.append((i, " ".join(base)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(jaccard.near_duplicates(df, block_docs=4)) == brute(docs)
+
+
 def test_edge_rows_and_empty(spark):
     rows = jaccard.near_duplicates(edge(spark)).collect()
     assert len(rows) == len(ROWS)
@@ -72,6 +85,19 @@ def test_edge_rows_and_empty(spark):
     assert jaccard.near_duplicates(empty(spark)).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = " ".join(words[:-1] + ["other"])
+    text = " ".join(words)
+    rows = [(5, text), (None, near), (7, "quite another text that stands here"), (7, near + " more"), (None, "alone and without an id at all"), (None, None), (8, text)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.copy_id), str(r.class_id), r.n_links) for r in got) == sorted(
+        [("5", "5", "5", 2), ("None", "None", "5", 2), ("7", "7", "7", 0), ("7", "7", "5", 2), ("None", "None", "None", 0), ("None", "None", "None", 0), ("8", "5", "5", 2)]
+    )
+    left = jaccard.distinct_documents(spark.createDataFrame([*rows, (5, text)], "doc_id long, text string")).collect()
+    assert sorted(map(str, left)) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in [rows[0], rows[2], rows[4], rows[5]])
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.7, 0.8, 0.9):
         bands = jaccard.bands_for(threshold, 0.999)
