@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`, as bytes and as a Java class.
@@ -19,8 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
-_staged: list[tuple[str, str]] = []
-_owner = ["op"]
+#: Tables that live until release() or the end of the process; in a scope its own list stands here instead.
+_lasting: list[str] = []
+_scope: contextvars.ContextVar[list[str]] = contextvars.ContextVar("quillspark_scope", default=_lasting)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,36 +41,70 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     This cuts the lineage: what follows is recomputed from the written table when
-    an executor is lost, never from that executor's memory or disk.
+    an executor is lost, never from that executor's memory or disk. The table belongs to
+    the innermost scratch() around the call, else it lasts until release() or the end of the process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _staged:
+    if not _lasting:
         atexit.register(release, spark)
-    _staged.append((_owner[0], path))
+    _scope.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
-def owned(owner: str):
-    """Tables staged inside belong to `owner`, and release(spark, owner) deletes them."""
-    before, _owner[0] = _owner[0], owner
+def scratch(spark: SparkSession):
+    """Tables staged inside are deleted at the end, but for those given to the function that this yields: they pass to the scope outside.
+
+    Only tables of this very scope go, so other queries of the same driver keep theirs.
+    """
+    outer, own = _scope.get(), []
+    token = _scope.set(own)
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        table = staged(df, name)
+        kept.append(own.pop())
+        return table
+
     try:
-        yield
+        yield keep
     finally:
-        _owner[0] = before
+        _scope.reset(token)
+        outer.extend(kept)
+        _delete(spark, own)
 
 
-def release(spark: SparkSession, owner: str | None = None) -> None:
-    """Delete the staged tables of `owner` (of all, without one)."""
-    jvm = spark._jvm
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     if spark.sparkContext._jsc is None:
         return
-    for item in [x for x in _staged if owner is None or x[0] == owner]:
-        path = jvm.org.apache.hadoop.fs.Path(item[1])
+    for item in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(item)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _staged.remove(item)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that results of this process read; their DataFrames can no longer be evaluated."""
+    _delete(spark, _lasting)
+    _lasting.clear()
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """`df` with the sums of what stands before each row in `order`, in parallel.
+
+    Rows are dealt by ranges of the order into tasks and written with their task's
+    number; sums of whole tasks, one row each, are added up first, and a window inside each
+    range does the rest. `order` must tell all rows apart.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    added = df.select("*", *[c.alias(k) for k, c in sums.items()])
+    dealt = staged(added.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), name)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("range").agg(*[F.sum(k).alias(k) for k in sums]).select("range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_base") for k in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.select("*", *[F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"{k}_in") for k in sums]).join(bases, "range")
+    return placed.select(*df.columns, *[(F.col(f"{k}_base") + F.col(f"{k}_in")).alias(k) for k in sums])
 
 
 def buckets(spark: SparkSession) -> int:

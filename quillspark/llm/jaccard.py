@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix, run_hashes, staged, text_slices, word_runs
+from quillspark.llm.common import mix, run_hashes, scratch, staged, text_slices, word_runs
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -333,7 +333,8 @@ def near_duplicates(
     text. Null ids count as the highest, so they name a class only where no row of it
     has an id. Only id and text are read. Empty table: no rows.
     """
-    every = staged(_linked(docs, id_col, text_col, n, threshold, recall, rows, block_docs, block_shingles), "jaccard-rows")
+    with scratch(docs.sparkSession) as keep:
+        every = keep(_linked(docs, id_col, text_col, n, threshold, recall, rows, block_docs, block_shingles), "jaccard-rows")
     joined = every.filter("n_shingles > 0")
     copies = joined.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n"))
     lowest = joined.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
@@ -348,13 +349,13 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows that repeat an id and a text are copies. Rows without words all stay. Empty table: no rows.
     """
-    every = staged(_linked(docs, id_col, text_col, n, threshold, recall, 7, 128, 250_000), "jaccard-rows")
-    of_class = every.filter("n_shingles > 0").withColumn("class", F.coalesce("label", "node"))
-    first = of_class.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    judged = staged(
-        of_class.join(first, "class").groupBy("doc_id", "text_hash").agg(F.max(F.col("row") == F.col("first.row")).alias("stays"), F.count("*").alias("n")),
-        "jaccard-judged",
-    )
+    with scratch(docs.sparkSession) as keep:
+        every = staged(_linked(docs, id_col, text_col, n, threshold, recall, 7, 128, 250_000), "jaccard-rows")
+        of_class = every.filter("n_shingles > 0").withColumn("class", F.coalesce("label", "node"))
+        lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+        first = of_class.groupBy("class").agg(lowest, F.count("*").alias("n")).filter("n > 1").drop("n")
+        texts = of_class.join(first, "class").groupBy("doc_id", "text_hash")
+        judged = keep(texts.agg(F.max(F.col("row") == F.col("first.row")).alias("stays"), F.count("*").alias("n")), "jaccard-judged")
     columns = docs.columns
     text_hash = lambda d: F.xxhash64(F.lower(d[text_col].cast("string")))
 
@@ -367,8 +368,8 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     again = judged.filter("stays AND n > 1")
     if not again.limit(1).count():  # no row repeats both an id and a text
         return kept
-    once = without(kept, "left_semi", again).groupBy(F.col(id_col).alias("_id"), text_hash(docs).alias("_hash")).agg(F.first(F.struct(*[docs[c] for c in columns])).alias("_row"))
-    return without(kept, "left_anti", again).unionByName(once.select("_row.*"))
+    once = without(kept, "left_semi", again).groupBy(docs[id_col].alias("id"), text_hash(docs).alias("hash")).agg(F.first(F.struct(*[docs[c] for c in columns])).alias("document"))
+    return without(kept, "left_anti", again).unionByName(once.select("document.*"))
 
 
 def _partitions(df: DataFrame) -> int:

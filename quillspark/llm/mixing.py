@@ -2,9 +2,9 @@
 
 Blocks of equal token counts are given to sources, and inside a source to its
 shards, by Sainte-Lague's highest quotients (v / 1, v / 3, v / 5, ...). In each
-shard the documents are laid end to end in a seeded order, the token line is cut
-into blocks, and the shard's quota is a run of blocks from a seeded start, once
-around the line as often as the quota asks.
+shard the documents are laid end to end in a seeded order and the token line is cut
+into blocks. A quota takes every block of its shard once a pass, and the blocks
+that are left of it are chosen by a seeded permutation of the shard's blocks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, staged
+from quillspark.llm.common import WORD, running, scratch, staged
 
 
 def words(text: Column) -> Column:
@@ -28,79 +28,82 @@ def order_hash(doc_id: Column, text: Column, seed: int) -> Column:
 def repeated(docs: DataFrame, seed: int = 17, **columns) -> DataFrame:
     """`docs` as often as the mix takes each: whole passes, and one more copy if the partial pass takes half of it or more.
 
-    Rows of equal id, text and source repeat by their mean, rounded. Null ids match by their text. All columns stay.
+    Rows of equal id, text and source repeat by their mean, rounded. Null ids match
+    by their text; null and empty texts have no words and go. All columns stay, whatever
+    their names. Empty table: no rows.
     """
-    mixed = mix(docs, seed=seed, **columns)
-    times = F.col("passes") + F.when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0)
-    copies = (
-        mixed.withColumn("times", F.when(F.col("size") > 0, times).otherwise(0))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("order_hash").alias("_hash"))
-        .agg(F.round(F.avg("times")).cast("int").alias("_times"))
-        .filter("_times > 0")
-    )
+    with scratch(docs.sparkSession) as keep:
+        mixed = mix(docs, seed=seed, **columns)
+        times = F.col("passes") + F.when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0)
+        copies = (
+            mixed.withColumn("times", F.when(F.col("size") > 0, times).otherwise(0))
+            .groupBy("doc_id", "source", "order_hash")
+            .agg(F.round(F.avg("times")).cast("int").alias("times"))
+            .filter("times > 0")
+        )
+        copies = keep(copies, "mix-copies")
     doc_id, text, source = (columns.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     same = (
-        (order_hash(docs[doc_id], docs[text], seed) == F.col("_hash"))
-        & docs[doc_id].eqNullSafe(F.col("_id"))
-        & docs[source].cast("string").eqNullSafe(F.col("_source"))
+        (order_hash(docs[doc_id], docs[text], seed) == copies["order_hash"])
+        & docs[doc_id].eqNullSafe(copies["doc_id"])
+        & docs[source].cast("string").eqNullSafe(copies["source"])
     )
-    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    # One struct for all columns, so that none of them can clash with the working ones.
+    rows = docs.join(copies, same).select(F.struct(*[docs[c] for c in docs.columns]).alias("document"), F.explode(F.sequence(F.lit(1), copies["times"])).alias("nth"))
+    return rows.select("document.*")
 
 
 def capped_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
-    """Add `target` to rows (source, source_size, weight).
+    """Add `target` to rows (source, source_size, weight, source_rank).
 
     Targets split `share` of all sizes by weight; none exceeds `most` times its
     source's size, and the excess goes to the others by weight. In order of cap /
-    weight, the first source that its cap does not bind fixes the common rate.
+    weight, the first source that its cap does not bind fixes the common rate. Sums
+    before each source are made in parallel; one row of totals and one rate meet all sources.
     """
-    cap = F.col("source_size") * F.lit(float(most))
-    ranked = sources.withColumn("cap", cap).withColumn("ratio", F.col("cap") / F.col("weight"))
-    every = Window.partitionBy()
-    order = Window.orderBy("ratio", "source_rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rated = (
-        ranked.withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_from", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("rate", (F.col("total") - F.col("cap_before")) / F.col("weight_from"))
-        .withColumn("rate", F.when(F.col("rate") <= F.col("ratio"), F.col("rate")))
-    )
-    rate = F.coalesce(F.first("rate", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(float("inf")))
-    return rated.withColumn("target", F.least("cap", F.col("weight") * rate)).drop("cap", "ratio", "total", "cap_before", "weight_from", "rate")
-
-
-def sainte_lague(votes: DataFrame, seats: str, group: list[str], key: list[str], vote: str = "vote") -> DataFrame:
+    ranked = sources.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    ordered = running(ranked, [F.col("ratio"), F.col("source_rank")], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, "mix-caps")
+    ordered = staged(ordered, "mix-ordered")
+    totals = ordered.agg((F.sum("source_size") * F.lit(float(share))).alias("total"), F.sum("weight").alias("weights"))
+    rate = (F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before"))
+    rated = ordered.join(F.broadcast(totals)).withColumn("rate", rate).filter("rate <= ratio")
+    first = rated.agg(F.min_by("rate", F.struct("ratio", "source_rank")).alias("rate"))
+    target = F.least(F.col("cap"), F.col("weight") * F.coalesce("rate", F.lit(float("inf"))))
+    return ordered.join(F.broadcast(first)).withColumn("target", target).select(*sources.columns, "target")
+
+
+def sainte_lague(votes: DataFrame, seats: str, group: list[str], key: list[str], vote: str = "vote", name: str | None = None) -> DataFrame:
     """Add `quota`: the seats of each row of `votes` among the rows of its group.
 
     `seats` is a column constant in a group. With n rows in the group, every row
     gets its share of seats, rounded, give or take share * 1.5 n / seats + 1: so
     the seats below that range are given at once, and only the quotients inside
-    it, about 5 n in all, are put in order. Ties go to the lower key.
+    it, about 5 n in all, are put in order. Ties go to the lower key. Without a group
+    all rows are one, put in order in parallel by way of a table called `name`; a
+    group's rows are put in order in one task.
     """
-    whole = Window.partitionBy(*group)
     share = F.when(F.col("votes") > 0, F.col(vote) / F.col("votes")).otherwise(F.lit(0.0))
     slack = F.ceil(share * F.col("n_rows") * 1.5) + 2
-    start = (
-        votes.withColumn("votes", F.sum(vote).over(whole))
-        .withColumn("n_rows", F.count("*").over(whole))
-        .withColumn("near", F.round(share * F.col(seats)).cast("long"))
-        .withColumn("base", F.greatest(F.lit(0).cast("long"), F.col("near") - slack.cast("long")))
-        .withColumn("top", F.col("near") + slack.cast("long"))
-        .withColumn("open", F.col(seats) - F.sum("base").over(whole))
-    )
-    quotients = start.withColumn("seat", F.explode(F.sequence("base", F.col("top"))))
-    order = whole.orderBy((F.col(vote) / (2 * F.col("seat") + 1)).desc(), *key, "seat")
-    won = (
-        quotients.filter(F.col(vote) > 0)
-        .withColumn("place", F.row_number().over(order))
-        .groupBy(*group, *key)
-        .agg(F.sum(F.when(F.col("place") <= F.col("open"), 1).otherwise(0)).alias("won"))
-    )
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, *key]]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
+    near = F.round(share * F.col(seats)).cast("long")
+    based = lambda df: df.withColumn("base", F.greatest(F.lit(0).cast("long"), near - slack.cast("long"))).withColumn("top", near + slack.cast("long"))
+    if group:
+        whole = Window.partitionBy(*group)
+        start = based(votes.withColumn("votes", F.sum(vote).over(whole)).withColumn("n_rows", F.count("*").over(whole)))
+        start = start.withColumn("open", F.col(seats) - F.sum("base").over(whole))
+    else:
+        start = based(votes.join(F.broadcast(votes.agg(F.sum(vote).alias("votes"), F.count("*").alias("n_rows")))))
+        start = start.join(F.broadcast(start.agg(F.sum("base").alias("bases")))).withColumn("open", F.col(seats) - F.col("bases"))
+    quotients = start.withColumn("seat", F.explode(F.sequence("base", F.col("top")))).filter(F.col(vote) > 0)
+    order = [(F.col(vote) / (2 * F.col("seat") + 1)).desc(), *[F.col(k) for k in key], F.col("seat")]
+    if group:
+        placed = quotients.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    else:
+        few = quotients.select(*key, vote, "seat", "open")
+        placed = running(few, order, {"place": F.lit(1)}, name or "quotients").withColumn("place", F.col("place") + 1)
+    won = placed.groupBy(*group, *key).agg(F.sum(F.when(F.col("place") <= F.col("open"), 1).otherwise(0)).alias("won"))
+    on = F.lit(True)
+    for c in [*group, *key]:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     return (
         start.alias("a")
         .join(won.alias("b"), on, "left")
@@ -108,6 +111,14 @@ def sainte_lague(votes: DataFrame, seats: str, group: list[str], key: list[str],
     )
 
 
+#: Fixed value: a prime above the number of blocks of any shard, so that multiplying by it permutes them.
+STEP = 1_000_000_007
+#: Sources with fewer blocks have one block of their own target's size, for a rounded quota would be far from it.
+LEAST_BLOCKS = 8
+#: Shards of a group, and groups of a source at most.
+FAN = 1024
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -118,7 +129,6 @@ def mix(
     most: float = 2.0,
     block_words: int = 64,
     shard_words: int = 50_000,
-    most_shards: int = 1024,
     seed: int = 17,
 ) -> DataFrame:
     """Words that the mix takes of each document.
@@ -127,13 +137,20 @@ def mix(
     (whole repeats), part (words of the last, partial pass) and order_hash (of id
     and text). Sources go by code point, null last, with `weights` repeated along them.
 
-    Summaries: one row per source and at most `most_shards` + one row per source
-    for shards, so windows over them stay small; documents only meet inside their
-    shard. The number of shards follows the number of words until that bound.
+    Shards have about `shard_words` words, more where a source would have over FAN**2
+    shards. A source shares its blocks among groups of FAN shards, and a group among
+    its shards, so no window sees more than a few thousand rows; windows over sources
+    run in parallel. Documents only meet inside their shard. A source whose target
+    is less than LEAST_BLOCKS blocks has one block of its target's words.
     Null text: size 0, nothing taken. Documents of size 0 take 0. Rows that share
     an id are separate. Only id, text and source are read. Empty table: no rows.
     """
-    sized = staged(
+    with scratch(docs.sparkSession) as keep:
+        return _mixed(docs, id_col, text_col, source_col, weights, share, most, block_words, shard_words, seed, keep)
+
+
+def _mixed(docs, id_col, text_col, source_col, weights, share, most, block_words, shard_words, seed, keep) -> DataFrame:
+    sized = keep(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
@@ -142,48 +159,58 @@ def mix(
         ),
         "mix-sizes",
     )
-    by_code_point = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("source_rank") - 1) % len(weights) + 1).cast("int"))
-    every = Window.partitionBy()
-    sources = (
-        sized.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("source_rank", F.row_number().over(by_code_point))
-        .withColumn("weight", weight)
-    )
-    targets = (
-        capped_targets(sources, share, most)
-        .withColumn("words", F.sum("source_size").over(every))
-        .withColumn("shards", F.ceil(F.col("source_size") / F.greatest(F.lit(float(shard_words)), F.col("words") / most_shards)).cast("long"))
-        .withColumn("shards", F.greatest("shards", F.lit(1).cast("long")))
-        .withColumn("blocks", F.round(F.sum("target").over(every) / block_words).cast("long"))
-    )
-    quotas = sainte_lague(targets.withColumn("all", F.lit(1)), "blocks", ["all"], ["source_rank"], "target")
-    quotas = staged(quotas.select("source", "source_rank", "source_size", "target", "shards", F.col("quota").alias("source_quota")), "mix-sources")
+    zero = F.lit(0).cast("long")
+    by_code_point = [F.col("source").isNull(), F.col("source")]
+    sources = running(sized.groupBy("source").agg(F.sum("size").alias("source_size")), by_code_point, {"source_rank": F.lit(1)}, "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("source_rank") % len(weights) + 1).cast("int"))
+    vote = F.when(F.col("target") >= LEAST_BLOCKS * block_words, F.col("target")).otherwise(0.0)
+    targets = staged(capped_targets(sources.withColumn("weight", weight), share, most).withColumn("vote", vote), "mix-targets")
+    blocks = targets.agg(F.round(F.sum("vote") / block_words).cast("long").alias("blocks"))
+    shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("source_size") / shard_words), F.lit(FAN * FAN))).cast("long")
+    quotas = sainte_lague(targets.join(F.broadcast(blocks)).withColumn("shards", shards), "blocks", [], ["source_rank"], name="mix-quotients")
+    own_size = F.when(F.col("quota") > 0, F.lit(block_words)).otherwise(F.round("target")).cast("long")
+    quotas = keep(
+        quotas.select(
+            "source", "source_rank", "source_size", "target", "shards", own_size.alias("block"),
+            F.when(F.col("quota") > 0, F.col("quota")).otherwise((own_size > 0).cast("long")).alias("source_quota"),
+        ),
+        "mix-quotas",
+    )
 
     dealt = sized.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source"))).select(
-        "d.*", "q.source_rank", "q.source_size", "q.target", "q.source_quota",
+        "d.*", "q.source_rank", "q.source_size", "q.target", "q.source_quota", "q.block",
         F.pmod(F.col("d.order_hash"), F.col("q.shards")).alias("shard"),
     )
-    shards = dealt.groupBy("source_rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    shard_quotas = staged(
-        sainte_lague(shards, "source_quota", ["source_rank"], ["shard"], "shard_size").select("source_rank", "shard", "shard_size", "quota"), "mix-shards"
+    filled = staged(
+        dealt.groupBy("source_rank", "source_quota", "block", "shard").agg(F.sum("size").alias("shard_size")).withColumn("group", F.expr(f"shard div {FAN}")), "mix-filled"
+    )
+    groups = filled.groupBy("source_rank", "source_quota", "group").agg(F.sum("shard_size").alias("group_size"))
+    group_quotas = sainte_lague(groups, "source_quota", ["source_rank"], ["group"], "group_size").select("source_rank", "group", F.col("quota").alias("group_quota"))
+    in_group = filled.join(group_quotas, ["source_rank", "group"])
+    shard_quotas = keep(
+        sainte_lague(in_group, "group_quota", ["source_rank", "group"], ["shard"], "shard_size").select("source_rank", "shard", "shard_size", "quota"), "mix-shards"
     )
 
     line = Window.partitionBy("source_rank", "shard").orderBy("order_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        dealt.withColumn("from", F.coalesce(F.sum("size").over(line), F.lit(0)))
+        dealt.withColumn("from", F.coalesce(F.sum("size").over(line), zero))
         .join(shard_quotas, ["source_rank", "shard"])
-        .withColumn("want", F.least(F.col("quota") * block_words, (F.col("shard_size") * most).cast("long")))
-        .withColumn("passes", F.when(F.col("shard_size") > 0, F.expr("want div shard_size")).otherwise(F.lit(0)))
-        .withColumn("rest", F.col("want") - F.col("passes") * F.col("shard_size"))
-        # The run starts at a seeded block and goes around the end of the line.
-        .withColumn("start", F.when(F.col("shard_size") > 0, F.pmod(F.xxhash64(F.lit(seed), "source_rank", "shard"), F.greatest(F.expr(f"shard_size div {block_words}"), F.lit(1))) * block_words).otherwise(F.lit(0)))
-        .withColumn("stop", F.col("start") + F.col("rest"))
         .withColumn("to", F.col("from") + F.col("size"))
+        .withColumn("want", F.least(F.col("quota") * F.col("block"), (F.col("shard_size") * most).cast("long")))
+        .withColumn("passes", F.when(F.col("shard_size") > 0, F.expr("want div shard_size")).otherwise(zero))
+        .withColumn("rest", F.col("want") - F.col("passes") * F.col("shard_size"))
+        .withColumn("n_blocks", F.when(F.col("block") > 0, F.expr("shard_size div block")).otherwise(zero))
+        .withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "source_rank", "shard"), F.greatest("n_blocks", F.lit(1))))
+        .withColumn("whole", F.when(F.col("block") > 0, F.expr("rest div block")).otherwise(zero))
     )
-    overlap = lambda a, b: F.greatest(F.lit(0).cast("long"), F.least(F.col("to"), b) - F.greatest(F.col("from"), a))
-    part = overlap(F.col("start"), F.least("stop", "shard_size")) + overlap(F.lit(0).cast("long"), F.col("stop") - F.col("shard_size"))
+    # Block b stands at place (b + 1) STEP + shift of the permutation: the first `whole` places are taken, the next one in part.
+    # What is left of the line after whole blocks stands last.
+    place = lambda b: F.when(b < F.col("n_blocks"), F.pmod((b + 1) * STEP + F.col("shift"), F.col("n_blocks"))).otherwise(F.col("n_blocks"))
+    length = lambda b: F.least((b + 1) * F.col("block"), F.col("to"), "shard_size") - F.greatest(b * F.col("block"), "from")
+    head = lambda b: F.greatest(zero, F.least(b * F.col("block") + F.col("rest") - F.col("whole") * F.col("block"), F.col("to")) - F.greatest(b * F.col("block"), "from"))
+    own = F.sequence(F.expr("`from` div block"), F.expr("(`to` - 1) div block"))
+    worth = lambda b: F.when(place(b) < F.col("whole"), length(b)).when(place(b) == F.col("whole"), F.least(length(b), head(b))).otherwise(zero)
+    part = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.aggregate(own, zero, lambda total, b: total + worth(b))).otherwise(zero)
     return placed.withColumn("part", part).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken"),

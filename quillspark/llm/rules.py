@@ -27,6 +27,10 @@ STOP_WORDS = {
 }
 
 
+#: Texts below this many words sort their windows with the position in the low bits of the hash.
+POSITIONS = 1 << 20
+
+
 class Rule(NamedTuple):
     """numerator / denominator must lie in [least, most], each a fraction (above, below) or None.
 
@@ -71,7 +75,7 @@ def _chars(text: Column, dropped: str) -> Column:
 
 
 def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the counts that the rules read; null text is empty.
+    """`document` (a struct of all columns of `docs`) and the counts that the rules read; null text is empty.
 
     n_repeat_words needs the words inside 3-word windows that occur twice or more.
     Each window is one 64-bit hash. A text whose windows all differ stops there; else
@@ -79,69 +83,62 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     in all 64 bits mark their positions. From 2**20 words on, whole hashes are sorted.
     """
     stops = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws})])
-    t = F.col("_text")
+    t = F.col("t")
     trimmed = F.btrim(t, F.lit(SPACE_CHARS))
     base = (
-        docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        .withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES)))
-        .withColumn("_n", F.size("_words"))
+        docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("document"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
+        .withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES)))
+        .withColumn("n", F.size("words"))
     )
-    window = lambda i: F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(3)])
+    window = lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(3)])
     windowed = base.withColumn(
-        "_tri", F.when(F.col("_n") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("_n") - 3), window))
-    ).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
-    low = (1 << 20) - 1
-    small = F.col("_n") <= low
-    keys = F.sort_array(F.transform("_tri", lambda h, i: F.shiftleft(F.shiftright(h, 20), 20).bitwiseOR(i.cast("long"))))
-    wide = F.sort_array(F.transform("_tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    repeats = F.size(F.array_distinct("_tri")) < F.size("_tri")
-    keyed = windowed.withColumn("_keys", F.when(repeats & small, keys)).withColumn("_wide", F.when(repeats & ~small, wide))
+        "tri", F.when(F.col("n") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 3), window))
+    ).withColumn("lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
+    low = POSITIONS - 1
+    small = F.col("n") <= low
+    keys = F.sort_array(F.transform("tri", lambda h, i: F.shiftleft(F.shiftright(h, 20), 20).bitwiseOR(i.cast("long"))))
+    wide = F.sort_array(F.transform("tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeats = F.size(F.array_distinct("tri")) < F.size("tri")
+    keyed = windowed.withColumn("keys", F.when(repeats & small, keys)).withColumn("wide", F.when(repeats & ~small, wide))
 
     none = F.array().cast("array<int>")
-    at = lambda x: x.bitwiseAND(F.lit(low).cast("long")).cast("int")
+    at = lambda x: x.bitwiseAND(F.lit((1 << 20) - 1).cast("long")).cast("int")
     same = lambda a, b: F.when(
-        (F.shiftright(a, 20) == F.shiftright(b, 20)) & (F.get(F.col("_tri"), at(a)) == F.get(F.col("_tri"), at(b))), F.array(at(a), at(b))
+        (F.shiftright(a, 20) == F.shiftright(b, 20)) & (F.get(F.col("tri"), at(a)) == F.get(F.col("tri"), at(b))), F.array(at(a), at(b))
     ).otherwise(none)
     pairs = lambda c, f: F.flatten(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), f))
-    marked = F.when(F.col("_keys").isNotNull(), pairs(F.col("_keys"), same)).when(
-        F.col("_wide").isNotNull(), pairs(F.col("_wide"), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(none))
+    marked = F.when(F.col("keys").isNotNull(), pairs(F.col("keys"), same)).when(
+        F.col("wide").isNotNull(), pairs(F.col("wide"), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(none))
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(marked), lambda i: F.array(i, i + 1, i + 2)))))
-    # A filter on a count would be pushed below the arrays and compute them anew for
-    # every use; a row number, always 0 or more, in the dearest count keeps it above.
-    barrier = F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)
-    return (
-        keyed.withColumn("n_words", F.col("_n").cast("long"))
-        .withColumn("word_chars", F.length(F.translate(t, SPACE_CHARS, "")).cast("long"))
-        .withColumn("n_symbols", _chars(t, SYMBOLS))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", (F.coalesce(covered, F.lit(0)) + barrier).cast("long"))
-        .withColumn("n_exclamations", _chars(t, "!"))
-        .withColumn("n_capitals", F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"))
-        .withColumn("n_stop_words", F.size(F.array_intersect("_words", stops)).cast("long"))
-        .drop("_text", "_words", "_n", "_tri", "_lines", "_keys", "_wide")
+    long = lambda c, name: c.cast("long").alias(name)
+    found = F.struct(
+        long(F.col("n"), "n_words"),
+        long(F.length(F.translate(t, SPACE_CHARS, "")), "word_chars"),
+        long(_chars(t, SYMBOLS), "n_symbols"),
+        long(F.size("lines"), "n_lines"),
+        long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"),
+        long(F.coalesce(covered, F.lit(0)), "n_repeat_words"),
+        long(_chars(t, "!"), "n_exclamations"),
+        long(F.regexp_count(t, F.lit(r"\p{Lu}")), "n_capitals"),
+        long(F.size(F.array_intersect("words", stops)), "n_stop_words"),
     )
+    # One generated row per document: conditions on a count stand above it, so that the arrays are made once and not again for each condition.
+    return keyed.select("document", F.inline(F.array(found)))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add the counts, base_failed, failed (names of broken rules) and kept.
+    """`document` (a struct of all columns of `docs`, whatever their names), the counts, base_failed, failed (names of broken rules) and kept.
 
     One map-only projection; rows keep their partitions and repeated rows their
-    count. Null or white text: all counts 0, base_failed, not kept. Further
-    columns stay; those named like an output or starting with `_` are replaced. Empty table: no rows.
+    count. Null or white text: all counts 0, base_failed, not kept. A text of any length
+    is read whole. Empty table: no rows.
     """
-    counted = counts(docs.drop(*OUTPUTS), text_col)
     broken = F.array_compact(F.array(*[F.when(~compiled(r), F.lit(r.name)) for r in rules]))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        counted.withColumn("base_failed", base)
-        .withColumn("failed", broken)
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
-    )
+    return counts(docs, text_col).select("*", base.alias("base_failed"), broken.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
-OUTPUTS = (
-    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-    "n_exclamations", "n_capitals", "n_stop_words", "base_failed", "failed", "kept",
-)
+def kept_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of `docs` that the threshold table keeps, with all their columns."""
+    return apply_rules(docs, text_col, rules).filter("kept").select("document.*")

@@ -17,7 +17,7 @@ ROWS = [
     (7, "x" * 50_000, "en", None, 50_000),
     (8, "> quoted\n>> twice\nplain <b>tag</b> & 1.2.3.4 mail@post.example", "de", "c", 60),
 ]
-CLASHES = ("score", "label", "size", "rank", "salt", "length", "start", "kept", "n_words", "_text", "band", "group", "copy", "held_out", "target", "node")
+CLASHES = ("score", "label", "size", "rank", "salt", "length", "start", "kept", "n_words", "_text", "band", "group", "copy", "held_out", "target", "node", "_copy", "_times", "_id", "_doc", "document", "times", "row", "text_hash", "order_hash", "nth", "shard", "failed")
 
 
 def edge(spark: SparkSession) -> DataFrame:

@@ -30,7 +30,7 @@ def check(rows):
     want = targets(sizes)
     for s in sizes:
         assert abs(target[s] - want[s]) < 1e-6 * (1 + want[s])
-        assert abs(taken[s] - target[s]) <= 64 + 0.001 * target[s]
+        assert abs(taken[s] - target[s]) <= (0.5 if target[s] < 512 else 64 + 0.001 * target[s])
         assert {r.source_size for r in rows if r.source == s} == {sizes[s]}
 
 
@@ -45,6 +45,49 @@ def test_a_source_with_most_rows(spark):
     check(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long"), shard_words=5000).collect())
 
 
+def chosen(n_blocks, whole, shift):
+    return sorted(range(n_blocks), key=lambda b: ((b + 1) * mixing.STEP + shift) % n_blocks)[:whole]
+
+
+def test_blocks_against_brute_force(spark):
+    """Every shard's line is laid out again, its blocks are cut and chosen one by one, and each document's words are counted."""
+    docs = [(i, "w " * (i % 170), f"s{i % 3}") for i in range(900)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), shard_words=3000).collect()
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r.source, r.shard].append(r)
+    order = sorted({r.source for r in rows})
+    keys = spark.createDataFrame([(order.index(s), n) for s, n in shards], "a int, b long").selectExpr("a", "b", "xxhash64(17, CAST(a AS BIGINT), b) AS h")
+    seed = {(order[r.a], r.b): r.h for r in keys.collect()}
+    scattered = 0
+    for key, own in shards.items():
+        own.sort(key=lambda r: (r.order_hash, r.doc_id))
+        line = [i for i, r in enumerate(own) for _ in range(r.size)]
+        part = sum(r.part for r in own)
+        n, whole = len(line) // 64, part // 64
+        blocks = chosen(n, n, seed[key] % max(1, n))
+        scattered += any(b - a > 1 for a, b in zip(sorted(blocks[:whole]), sorted(blocks[:whole])[1:]))
+        taken = [x for b in blocks[:whole] for x in line[b * 64 : b * 64 + 64]]
+        last = blocks[whole] if whole < n else n
+        taken += line[last * 64 : last * 64 + part - whole * 64]
+        assert [taken.count(i) for i in range(len(own))] == [r.part for r in own]
+    assert len(shards) > 9 and scattered
+
+
+def test_many_and_tiny_sources(spark):
+    docs = [(i, "w " * (1 + i % 40), f"host{i % 700:04}") for i in range(1400)] + [(5000, "w " * 90_000, "host0001")]
+    check(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect())
+    few = spark.createDataFrame([(1, "one two three", "a"), (2, "w " * 5000, "b"), (3, "w " * 5000, "c")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.taken for r in mixing.mix(few).collect()}[1] == 6
+
+
+def test_all_columns_stay(spark):
+    df = edge(spark)
+    out = mixing.repeated(df)
+    assert out.columns == df.columns and out.select("copy").distinct().collect()[0][0] == "x"
+    assert mixing.repeated(empty(spark)).count() == 0
+
+
 def test_edge_rows_and_empty(spark):
     rows = mixing.mix(edge(spark)).collect()
     assert len(rows) == len(ROWS)

@@ -1,3 +1,4 @@
+import random
 import re
 
 from conftest import DATA, assert_same
@@ -37,8 +38,22 @@ def test_edge_rows_and_empty(spark):
     rows = rules.apply_rules(edge(spark)).collect()
     assert len(rows) == len(ROWS)
     for r in rows:
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(r.document.text)
     assert rules.apply_rules(empty(spark)).count() == 0
+    assert rules.kept_documents(edge(spark)).columns == edge(spark).columns
+    assert {r.kept for r in rules.kept_documents(edge(spark)).select("kept").collect()} <= {"x"}
+
+
+def test_texts_of_very_many_words(spark, monkeypatch):
+    """Texts beyond the short keys sort whole hashes; both ways give the same counts."""
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 90)))) for i in range(80)]
+    docs += [(1000, " ".join(f"w{i % 700_001}" for i in range(1_100_000))), (1001, " ".join(f"w{i}" for i in range(1_060_000)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(rules, "POSITIONS", 8)
+    wide = {r.document.doc_id: r.n_repeat_words for r in rules.apply_rules(df).collect()}
+    monkeypatch.undo()
+    assert wide == {r.document.doc_id: r.n_repeat_words for r in rules.apply_rules(df).collect()} == {d: brute(t)[4] for d, t in docs}
 
 
 def test_no_user_function_runs(spark):
