@@ -2,64 +2,56 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again before the next stage. All but the last return the
-columns of documents.
+columns of their input, further ones included, whatever their names, and give no rows
+for an empty table. Ids may repeat or be null; texts may be null, empty or of any length.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common, jaccard, mixing, packing, pii, rules
 
 
-def _stage(run):
-    """The results of earlier stages are written when one begins, so their working tables go."""
-
-    @functools.wraps(run)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, "pipeline")
-        with common.owned("pipeline"):
-            return run(spark, docs, sf_dir)
-
-    return stage
-
-
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the threshold table rejects."""
-    return rules.apply_rules(docs).filter("kept").select(*docs.columns)
+    """Drop the documents that the threshold table rejects.
+
+    Null, empty and short texts are rejected; repeated rows are judged alike and stay repeated.
+    """
+    return rules.kept_documents(docs)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the lowest id of each near-duplicate class; rows that repeat an id and a text count as copies too."""
-    classes = jaccard.near_duplicates(docs)
-    kept = docs.join(classes.filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    shared = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not shared.limit(1).count():  # every id stands once, so no row is a copy under its own id
-        return kept
-    once = kept.join(shared, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(shared, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """Keep one document of each near-duplicate class: the one with the lowest id, null ids last.
+
+    Rows that repeat an id and a text count as copies; rows that share an id only are
+    told apart by their text. Null texts and texts without words all stay.
+    """
+    return jaccard.distinct_documents(docs)
 
 
-@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; n_chars follows the new text."""
+    """Replace personal data by its kind; n_chars follows the new text.
+
+    Null texts stay null, with a null n_chars; equal texts change alike.
+    """
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it."""
+    """Repeat each document as often as the mix takes it.
+
+    Null and empty texts have no words, so they go; rows that repeat an id and a text are taken alike.
+    """
     return mixing.repeated(docs)
 
 
-@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of at most 2048 tokens."""
+    """Pieces of the mixed documents in sequences of at most 2048 tokens.
+
+    A null or empty text is its end token; repeated rows are separate documents; only doc_id and text are read.
+    """
     pieces = packing.pack_documents(docs, with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -77,8 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. The working tables of a stage go when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
