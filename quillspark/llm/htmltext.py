@@ -1,20 +1,26 @@
 """Main text of web pages.
 
 The standard library's parser streams events; they build lines (blocks of text with
-their text and tag sizes) and the open element of each. The text-to-tag ratio per
-line is smoothed with a Gaussian, and two-means clustering of the smoothed ratios
-sets the threshold; lines above it are the content regions. The article is the innermost
-<article> or <main> that holds most of their text, else the innermost container that
-holds all of them (a list, table, section or preformatted text is part of what is around
-it). Every line inside it is kept, short ones too, unless an element around it says that
-it is a menu, form, advert or the like; so is a page headline that stands before it.
+the sizes of their text, links and tags) and the tree of elements. The text-to-tag ratio per
+line, links not counted, is smoothed with a Gaussian, and two-means clustering of the
+smoothed ratios sets the threshold; lines above it are the content regions.
+
+The regions decide: the article is the innermost container that holds nearly all of
+their text (an <article> or <main> that holds most of it goes before), so what stands
+outside goes, whatever it is called. Inside, blocks without a region whose text is
+mostly links go, and on a page whose article is the body itself, what stands before the
+first and after the last region unless it is a paragraph or heading. Short lines of the
+article stay. Names, roles and tags of menus, forms, adverts and the like are hints: their
+text counts as nothing in the ratio, and they go from inside the article too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ BLOCK = frozenset(
 DROPPED = frozenset(
     "head title script style template noscript nav header footer aside button select option textarea input label dialog menu svg math canvas object iframe embed audio video map search".split()
 )
+#: Elements that never hold text of the page.
+TEXTLESS = frozenset("head title script style template svg math canvas object iframe embed audio video map".split())
 #: Elements that are dropped like named ones: not if the article stands inside.
 FORMS = frozenset(("form", "fieldset"))
 #: Elements that can be the article; a cell only where it holds further blocks, as in tables made for layout.
@@ -70,28 +78,37 @@ def _named(value: str) -> int:
     return found
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int  # characters of tags before and in it
+    links: int  # characters of link text
+    element: int  # innermost open element, -1 outside all
+
+
 class _Lines(HTMLParser):
-    """Collects lines as (text, tag characters, element path, whether an element of the path may be dropped)."""
+    """Collects lines and elements; an element is its name, parent and grade, so memory follows the page's size however deep it nests."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # name, element number, dropped
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, int, bool]] = []  # name, element, below a graded one
+        self.open: Counter[str] = Counter()  # how many elements of a name are open
         self.names: list[str] = []  # of each element
+        self.parents: list[int] = []  # of each element, always a lower number
         self.grades: list[int] = []  # of each element: how surely it is not the article
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.links = 0
 
     def cut(self) -> None:
         """End the current line."""
         text = _WHITE.sub(" ", "".join(self.text)).strip()
         self.text.clear()
         if text:
-            dropped = bool(self.stack) and self.stack[-1][2]
-            self.lines.append((text, self.tags, tuple(x[1] for x in self.stack), dropped))
+            self.lines.append(Line(text, self.tags, min(self.links, len(text)), self.stack[-1][1] if self.stack else -1))
             self.tags = 0
+        self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += len(tag) + 2 + sum(len(k) + len(v or "") + 4 for k, v in attrs)
@@ -105,15 +122,21 @@ class _Lines(HTMLParser):
             self._close_implied(tag)
         grade = self._grade(tag, attrs)
         parent = bool(self.stack) and self.stack[-1][2]
-        dropped = parent or grade > _NO
-        if dropped and not parent:
+        if grade > _NO and not parent:
             self.cut()
-        self.stack.append((tag, len(self.names), dropped))
+        self.parents.append(self.stack[-1][1] if self.stack else -1)
+        self.stack.append((tag, len(self.names), parent or grade > _NO))
+        self.open[tag] += 1
         self.names.append(tag)
         self.grades.append(grade)
 
+    def _close(self, at: int) -> None:
+        for name, _, _ in self.stack[at:]:
+            self.open[name] -= 1
+        del self.stack[at:]
+
     def _grade(self, tag: str, attrs: list) -> int:
-        inside = any(n == "article" for n, _, _ in self.stack)
+        inside = self.open["article"] > 0
         grade = _WEAKLY if tag in FORMS else _SURELY if tag in DROPPED and not (tag == "header" and inside) else _NO
         for k, v in attrs:
             if k == "hidden" or (k == "aria-hidden" and v == "true"):
@@ -128,11 +151,13 @@ class _Lines(HTMLParser):
     def _close_implied(self, tag: str) -> None:
         """A new block ends an open paragraph; a new item ends an open item of its list."""
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
+        if not any(self.open[name] for name in ("p", *ends)):
+            return
         stop = ("ul", "ol", "dl", "table", "select", "div", "article", "section", "main", "body", "td", "th", "nav", "aside", "footer", "header", "form", "blockquote")
         for at in range(len(self.stack) - 1, -1, -1):
             name = self.stack[at][0]
             if name == "p" or name in ends:
-                del self.stack[at:]
+                self._close(at)
                 return
             if name in stop:
                 return
@@ -146,17 +171,53 @@ class _Lines(HTMLParser):
         self.tags += len(tag) + 3
         if tag in BLOCK:
             self.cut()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                outside = at > 0 and self.stack[at - 1][2]
-                if self.stack[-1][2] != outside or any(x[0] in BLOCK for x in self.stack[at:]):
-                    self.cut()
-                del self.stack[at:]
-                return
+        if not self.open[tag]:
+            return
+        at = next(k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag)
+        outside = at > 0 and self.stack[at - 1][2]
+        if self.stack[-1][2] != outside or any(x[0] in BLOCK for x in self.stack[at:]):
+            self.cut()
+        self._close(at)
 
     def handle_data(self, data: str) -> None:
         if data:
             self.text.append(data)
+            if self.open["a"]:
+                self.links += len(data)
+
+    # --- sums and marks over the tree; a parent's number is lower than its children's
+
+    def sums(self, amounts: list[float]) -> list[float]:
+        """Of each element: the amounts of the lines inside."""
+        total = [0.0] * len(self.names)
+        for line, amount in zip(self.lines, amounts):
+            if line.element >= 0:
+                total[line.element] += amount
+        for e in range(len(total) - 1, -1, -1):
+            if self.parents[e] >= 0:
+                total[self.parents[e]] += total[e]
+        return total
+
+    def below(self, marks: list[bool]) -> list[bool]:
+        """Of each element: whether it or one around it is marked."""
+        out = marks[:]
+        for e, parent in enumerate(self.parents):
+            out[e] = out[e] or (parent >= 0 and out[parent])
+        return out
+
+    def around(self, e: int) -> set[int]:
+        """The element and all around it."""
+        out = set()
+        while e >= 0:
+            out.add(e)
+            e = self.parents[e]
+        return out
+
+    def block_of(self, e: int) -> str:
+        """Name of the nearest block around a line."""
+        while e >= 0 and self.names[e] not in BLOCK:
+            e = self.parents[e]
+        return self.names[e] if e >= 0 else "body"
 
 
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -180,103 +241,122 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _dropped(page: _Lines) -> list[bool]:
-    """Whether each line is dropped.
+def _hinted(page: _Lines) -> list[bool]:
+    """Whether names, roles or tags say of each line that it is not the article.
 
     A name, role or form does not drop what holds the largest article or main of the page
     (with half of the text, if a strong name stands around an article), nor, on a page
     without one, most of the text (three quarters, if the name is a strong one).
     """
     lines, names, grades = page.lines, page.names, page.grades
-    open_ = [i for i, x in enumerate(lines) if not x[3] or all(grades[e] < _SURELY for e in x[2])]
-    doubtful = [i for i in open_ if lines[i][3]]
-    drops = [True] * len(lines)
-    for i in open_:
-        drops[i] = False
-    if not doubtful:
-        return drops
-    total = sum(len(lines[i][0]) for i in open_)
-    within: dict[int, list[int]] = {}
-    for i in doubtful:
-        for e in lines[i][2]:
-            if grades[e]:
-                within.setdefault(e, []).append(i)
-    size = {e: sum(len(lines[i][0]) for i in at) for e, at in within.items()}
-    articles: dict[int, int] = {}
-    for i in open_:
-        for e in lines[i][2]:
-            if names[e] in ("article", "main"):
-                articles[e] = articles.get(e, 0) + len(lines[i][0])
+    surely = page.below([g == _SURELY for g in grades])
+    size = [0.0 if x.element >= 0 and surely[x.element] else float(len(x.text)) for x in lines]
+    total = sum(size)
+    held = page.sums(size)
     # Teasers beside a text without an article are no articles of their own.
-    largest = max((e for e, n in articles.items() if names[e] == "main" or n >= 0.05 * total), key=lambda e: (articles[e], e), default=None)
-    live = set(within)
-    # The largest first, so what stands around a region is settled before the region.
-    for e in sorted(within, key=lambda x: (-size[x], x)):
-        if any(x in live for x in lines[within[e][0]][2] if x < e):
-            continue
-        share, strong = size[e] / total, grades[e] == _STRONGLY
-        if largest is None:
-            keep = share >= (0.75 if strong else 0.5)
-        else:
-            keep = largest > e and any(largest in lines[i][2] for i in within[e]) and (not strong or share >= 0.5 or names[largest] == "main")
-        if keep:
-            live.discard(e)
-    for i in doubtful:
-        drops[i] = not live.isdisjoint(lines[i][2])
-    return drops
-
-
-def main_text(html: str, sigma: float = 1.0) -> list[str]:
-    """Blocks of the main text in page order."""
+    articles = [e for e, name in enumerate(names) if held[e] and (name == "main" or (name == "article" and held[e] >= 0.05 * total))]
+    largest = max(articles, key=lambda e: (held[e], e), default=None)
+    holding = page.around(largest) - {largest} if largest is not None else set()
+    drops = [False] * len(names)
+    # What stands around a region is settled before the region.
+    for e, grade in enumerate(grades):
+        parent = page.parents[e]
+        if parent >= 0 and drops[parent]:
+            drops[e] = True
+        elif grade:
+            share, strong = held[e] / total if total else 0.0, grade == _STRONGLY
+            if grade == _SURELY:
+                keep = False
+            elif largest is None:
+                keep = share >= (0.75 if strong else 0.5)
+            else:
+                keep = e in holding and (not strong or share >= 0.5 or names[largest] == "main")
+            drops[e] = not keep
+    return [x.element >= 0 and drops[x.element] for x in lines]
+
+
+#: The article holds this share of the regions' text; an <article> or <main> may hold less.
+MOST, MARKED = 0.9, 0.6
+#: A block without a region goes where links have this share of its text.
+LINKED = 0.5
+_LINK_BLOCKS = frozenset("div ul ol dl table section center".split())
+_FLAT = frozenset(("body", "html"))
+_STAY = frozenset("p pre blockquote figcaption li dt dd td th".split()) | _TITLES
+
+
+def main_text(html: str, sigma: float = 1.0, hints: bool = True, clustering: bool = True) -> list[str]:
+    """Blocks of the main text in page order.
+
+    For comparisons, `hints` off ignores what names, roles and tags say (but for
+    elements that never hold text), and `clustering` off takes every line for content.
+    """
     page = _Lines()
     page.feed(html)
     page.close()
     page.cut()
-    lines, drops = page.lines, _dropped(page)
+    lines, names = page.lines, page.names
+    never = page.below([name in TEXTLESS for name in names])
+    drops = _hinted(page) if hints else [x.element >= 0 and never[x.element] for x in lines]
     open_ = [i for i, x in enumerate(drops) if not x]
     if not open_:
         return []
-    sizes = np.array([0.0 if drop else float(len(x[0])) for x, drop in zip(lines, drops)])
-    ratio = np.log1p(sizes / np.array([max(1, x[1]) for x in lines]))
-    smooth = smoothed(ratio, sigma)
-    regions = smooth >= threshold(smooth)
-    weight: dict[int, float] = {}
-    total = 0.0
-    for i in open_:
-        if regions[i]:
-            total += sizes[i]
-            for element in lines[i][2]:
-                weight[element] = weight.get(element, 0.0) + sizes[i]
-    kept = open_
-    # The innermost article that holds most of the regions' text, else the container that holds all of it.
-    articles = [e for e, w in weight.items() if w >= 0.6 * total and page.names[e] in ("article", "main")]
+    sizes = [0.0 if drop else float(len(x.text)) for x, drop in zip(lines, drops)]
+    plain = np.array([0.0 if drop else float(len(x.text) - x.links) for x, drop in zip(lines, drops)])
+    smooth = smoothed(np.log1p(plain / np.array([max(1, x.tags) for x in lines])), sigma)
+    regions = (smooth >= threshold(smooth)) if clustering else np.ones(len(lines), bool)
+    found = page.sums([size if region else 0.0 for size, region in zip(sizes, regions)])
+    total = sum(size for size, region in zip(sizes, regions) if region)
+    articles = [e for e, w in enumerate(found) if hints and names[e] in ("article", "main") and total and w >= MARKED * total]
     if articles:
         holder = max(articles)
-        kept = [i for i in open_ if holder in lines[i][2]]
-    elif total:
-        holder = _container([lines[i][2] for i in open_ if regions[i]], page.names)
-        inside = {i for i in open_ if holder in lines[i][2]} if holder is not None else set(open_)
-        heads = [i for i in open_ if any(page.names[e] == "h1" for e in lines[i][2])]
-        if not inside.intersection(heads):
-            inside.update(i for i in heads if i < min(inside))
-        kept = sorted(inside)
-    return [lines[i][0] for i in kept]
-
-
-def _container(paths: list[tuple[int, ...]], names: list[str]) -> int | None:
-    """The innermost container around all paths; None where they share none."""
-    low, high = min(paths), max(paths)
-    n = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-    for at in range(n - 1, -1, -1):
-        name = names[low[at]]
-        if name in _CONTAINERS or (name in _CELLS and any(names[x] in BLOCK for path in paths for x in path[at + 1 :])):
-            return low[at]
+        inside = page.below([e == holder for e in range(len(names))])
+        return [lines[i].text for i in open_ if lines[i].element >= 0 and inside[lines[i].element]]
+    holder = _container(page, found, total)
+    inside = page.below([holder is None or e == holder for e in range(len(names))])
+    kept = [i for i in open_ if holder is None or (lines[i].element >= 0 and inside[lines[i].element])]
+    kept = _without_links(page, kept, regions, sizes, holder)
+    if holder is None or names[holder] in _FLAT:
+        kept = _between(page, kept, regions)
+    heads = page.below([name == "h1" for name in names])
+    heads = [i for i in open_ if lines[i].element >= 0 and heads[lines[i].element]]
+    if kept and not set(kept).intersection(heads):
+        kept = sorted({*kept, *(i for i in heads if i < kept[0])})
+    return [lines[i].text for i in kept]
+
+
+def _container(page: _Lines, found: list[float], total: float) -> int | None:
+    """The innermost container with MOST of the regions' text; None where no element holds it."""
+    blocks = [0] * len(page.names)  # blocks inside each element
+    for e in range(len(blocks) - 1, -1, -1):
+        if page.parents[e] >= 0:
+            blocks[page.parents[e]] += blocks[e] + (page.names[e] in BLOCK)
+    for e in range(len(found) - 1, -1, -1):
+        if total and found[e] >= MOST * total and (page.names[e] in _CONTAINERS or (page.names[e] in _CELLS and blocks[e])):
+            return e
     return None
 
 
+def _without_links(page: _Lines, kept: list[int], regions: np.ndarray, sizes: list[float], holder: int | None) -> list[int]:
+    """Without the blocks inside the holder that have no region and whose text is mostly links."""
+    count = page.sums([float(r) for r in regions])
+    links, text = page.sums([float(min(x.links, s)) for x, s in zip(page.lines, sizes)]), page.sums(sizes)
+    around = page.around(holder) if holder is not None else set()
+    menu = [e not in around and name in _LINK_BLOCKS and not count[e] and text[e] > 0 and links[e] >= LINKED * text[e] for e, name in enumerate(page.names)]
+    menu = page.below(menu)
+    return [i for i in kept if page.lines[i].element < 0 or not menu[page.lines[i].element]]
+
+
+def _between(page: _Lines, kept: list[int], regions: np.ndarray) -> list[int]:
+    """From the first to the last region, and the paragraphs and headings around."""
+    at = [i for i in kept if regions[i]]
+    if not at:
+        return kept
+    return [i for i in kept if at[0] <= i <= at[-1] or (page.block_of(page.lines[i].element) in _STAY and page.lines[i].links < LINKED * len(page.lines[i].text))]
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = ["\n\n".join(main_text(html.as_py() or "")) for html in batch.column(2)]
+        texts = ["\n\n".join(main_text(html.as_py() or "")) for html in batch.column(2)]  # one page at a time
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
