@@ -2,12 +2,15 @@
 
 The network is trained in numpy from labelled spans (here: a seeded generator of
 sentences around e-mail addresses, IP addresses, card and phone numbers in many
-notations, with look-alikes that carry no label). Over a document it reads
-overlapping windows on a fixed grid; every kind holds a digit or an at sign, so
-windows with neither cannot hold a span and are not computed. Emissions of
-overlapping windows are averaged and one Viterbi pass over each stretch of
-neighbouring windows decides globally. Decoded spans that pass their kind's
-check and touch no pattern span are added to the pattern spans.
+notations, with look-alikes that carry no label). Windows of WINDOW characters stand
+STRIDE apart over the whole text; emissions of overlapping windows are averaged, and
+one Viterbi path over the text decides globally. The CRF knows one hard constraint:
+characters further than STRIDE from the next digit or at sign are outside all spans, as
+every kind holds one. Between such characters the best path falls apart into
+stretches that do not depend on each other, so only the windows over stretches have to
+be computed, with the same result as computing all (a test compares the two).
+Decoded spans that pass their kind's check and touch no pattern span are added to
+the pattern spans.
 """
 
 from __future__ import annotations
@@ -79,7 +82,7 @@ def valid(kind: str, text: str) -> bool:
         return "@" in text.strip("@") and " " not in text
     if kind == "ip":
         parts = text.split(".")
-        return len(parts) == 4 and all(p.isdigit() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     return 10 <= len(digits) <= 15 and not re.search(r"[0-9]{11}", text)
@@ -235,7 +238,7 @@ def _gradients(model: Model, codes: np.ndarray, tags: np.ndarray) -> tuple[float
     return float((z - path).mean()), made
 
 
-def train(samples: list[tuple[str, list[Span]]], steps: int = 220, batch: int = 64, embed: int = 12, hidden: int = 20, rate: float = 0.02, seed: int = 3) -> Model:
+def train(samples: list[tuple[str, list[Span]]], steps: int = 400, batch: int = 64, embed: int = 12, hidden: int = 20, rate: float = 0.02, seed: int = 3) -> Model:
     """Fit a model to labelled spans with Adam; the same samples and seed give the same model."""
     rng = np.random.Generator(np.random.PCG64(seed))
     codes, tags = [], []
@@ -347,30 +350,92 @@ _HAS = np.zeros(256, bool)
 _HAS[[*range(0x30, 0x3A), 0x40]] = True
 
 
+def grid(length: int) -> range:
+    """Starts of the windows over a text; the last one reaches its end."""
+    return range(0, max(1, length - STRIDE), STRIDE)
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """[start, end) of neighbouring grid windows that hold a digit or an at sign."""
+    """[start, end) of the cells of STRIDE characters that hold a digit or an at sign, with one more cell on both sides, where they touch as one."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     hit = np.flatnonzero(((code >= 0x30) & (code <= 0x39)) | (code == 0x40))
     if not len(hit):
         return []
-    cells = np.unique(hit // STRIDE)
-    starts = np.unique(np.concatenate((np.maximum(cells - 1, 0), cells)))  # windows [s, s + WINDOW) that hold a hit
-    cuts = np.flatnonzero(np.diff(starts) > WINDOW // STRIDE) + 1
-    return [(int(g[0]) * STRIDE, min(len(text), int(g[-1]) * STRIDE + WINDOW)) for g in np.split(starts, cuts)]
-
-
-def viterbi(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The best tag path."""
-    best, back = score[0], np.empty(score.shape, np.int64)
-    for t in range(1, len(score)):
-        step = best[:, None] + trans
-        back[t] = step.argmax(0)
-        best = step.max(0) + score[t]
-    path = np.empty(len(score), np.int64)
-    path[-1] = best.argmax()
-    for t in range(len(score) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    cells = np.unique(np.add.outer(np.unique(hit // STRIDE), (-1, 0, 1)))
+    cells = cells[(cells >= 0) & (cells * STRIDE < len(text))]
+    return [(int(g[0]) * STRIDE, min(len(text), (int(g[-1]) + 1) * STRIDE)) for g in np.split(cells, np.flatnonzero(np.diff(cells) > 1) + 1)]
+
+
+#: Longer stretches are cut into chunks of CHUNK characters that step together.
+CHUNK = 1024
+
+
+def _paths(scores: list[np.ndarray], trans: np.ndarray, first: list[np.ndarray], last: list[np.ndarray]) -> list[np.ndarray]:
+    """The best tag path of each piece, all stepping together; `first` and `last` are added to the scores of its end tags."""
+    sizes = np.array([len(x) for x in scores])
+    steps, rows = int(sizes.max()), np.arange(len(scores))
+    table = np.zeros((steps, len(scores), trans.shape[0]))
+    for k, x in enumerate(scores):
+        table[: len(x), k] = x
+    best = table[0] + np.array(first)
+    back = np.empty(table.shape, np.int8)
+    for t in range(1, steps):
+        step = best[:, :, None] + trans
+        back[t] = step.argmax(1)
+        best = np.where((t < sizes)[:, None], step.max(1) + table[t], best)
+    path = np.empty((steps, len(scores)), np.int64)
+    now = (best + np.array(last)).argmax(1)
+    for t in range(steps - 1, -1, -1):
+        path[t] = now
+        if t:
+            now = np.where(t < sizes, back[t][rows, now], now)
+    return [path[:n, k] for k, n in enumerate(sizes)]
+
+
+def _long_path(score: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The best path of one long stretch: best scores of every chunk for every tag before and at its end, the best tags at the cuts, then all chunks between them."""
+    parts = [score[at : at + CHUNK].astype(float) for at in range(0, len(score), CHUNK)]
+    whole = np.array(parts[:-1])
+    best = trans[None] + whole[:, 0][:, None, :]
+    best[0] = first + whole[0, 0]
+    for t in range(1, CHUNK):
+        best = (best[:, :, :, None] + trans).max(2) + whole[:, t][:, None, :]
+    upto, back = best[0][0], []
+    for k in range(1, len(whole)):
+        step = upto[:, None] + best[k]
+        back.append(step.argmax(0))
+        upto = step.max(0)
+    tail = trans + parts[-1][0]
+    for x in parts[-1][1:]:
+        tail = (tail[:, :, None] + trans).max(1) + x
+    ends = [int((upto + (tail + last).max(1)).argmax())]
+    for b in reversed(back):
+        ends.append(int(b[ends[-1]]))
+    ends.reverse()
+    fixed = [np.where(np.arange(len(trans)) == e, 0.0, -np.inf) for e in ends]
+    return np.concatenate(_paths(parts, trans, [first, *[trans[e] for e in ends]], [*fixed, last]))
+
+
+def viterbi(scores: list[np.ndarray], trans: np.ndarray, at_start: list[bool], at_end: list[bool], batch: int = 256) -> list[np.ndarray]:
+    """The best tag path of each stretch; the tag before and after it is O, but for the ends of the text."""
+    trans = trans.astype(float)
+    none = np.zeros(len(trans))
+    first, last = [none if x else trans[0] for x in at_start], [none if x else trans[:, 0] for x in at_end]
+    paths: list[np.ndarray] = [np.empty(0, np.int64)] * len(scores)
+    order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
+    at = 0
+    while at < len(order):
+        size = len(scores[order[at]])
+        if size > 4 * CHUNK:
+            paths[order[at]] = _long_path(scores[order[at]], trans, first[order[at]], last[order[at]])
+            at += 1
+            continue
+        # Stretches of similar length step together.
+        group = [i for i in order[at : at + batch] if len(scores[i]) <= min(2 * size, 4 * CHUNK)]
+        for i, path in zip(group, _paths([scores[i] for i in group], trans, [first[i] for i in group], [last[i] for i in group])):
+            paths[i] = path
+        at += len(group)
+    return paths
 
 
 def model_spans(model: Model, texts: list[str], batch: int = 512) -> list[list[Span]]:
@@ -378,31 +443,35 @@ def model_spans(model: Model, texts: list[str], batch: int = 512) -> list[list[S
     where = [(i, a, b) for i, text in enumerate(texts) for a, b in stretches(text)]
     found: list[list[Span]] = [[] for _ in texts]
     codes = {i: char_codes(texts[i]) for i in {w[0] for w in where}}
-    windows = [(n, at) for n, (_, a, b) in enumerate(where) for at in range(a, max(a + 1, b - STRIDE), STRIDE)]
+    # Every window that reaches into a stretch, with all characters of the text that it covers.
+    windows = [(n, at) for n, (i, a, b) in enumerate(where) for at in grid(len(texts[i]))[max(0, a // STRIDE - 1) : -(-b // STRIDE)]]
     sums = [np.zeros((b - a, len(TAGS)), np.float32) for _, a, b in where]
     seen = [np.zeros((b - a, 1), np.float32) for _, a, b in where]
     for first in range(0, len(windows), batch):
         group = windows[first : first + batch]
         block = np.zeros((len(group), WINDOW), np.int64)
         for k, (n, at) in enumerate(group):
-            i, _, b = where[n]
-            part = codes[i][at : min(at + WINDOW, b)]
+            part = codes[where[n][0]][at : at + WINDOW]
             block[k, : len(part)] = part
         for (n, at), score in zip(group, emissions(model, block)):
             _, a, b = where[n]
-            size = min(WINDOW, b - at)
-            sums[n][at - a : at - a + size] += score[:size]
-            seen[n][at - a : at - a + size] += 1
-    for (i, a, _), total, times in zip(where, sums, seen):
-        path = viterbi(total / np.maximum(times, 1), model.trans)
-        kind = (path + 1) // 2
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], kind, [0]))) | np.concatenate((path % 2 == 1, [False])))
-        for s, e in zip(edge[:-1], edge[1:]):
-            if kind[s]:
-                found[i].append((a + int(s), a + int(e), KINDS[kind[s] - 1]))
+            low, high = max(a, at), min(b, at + WINDOW)
+            sums[n][low - a : high - a] += score[low - at : high - at]
+            seen[n][low - a : high - a] += 1
+    scores = [total / np.maximum(times, 1) for total, times in zip(sums, seen)]
+    paths = viterbi(scores, model.trans, [a == 0 for _, a, _ in where], [b == len(texts[i]) for i, _, b in where])
+    for (i, a, _), path in zip(where, paths):
+        found[i] += path_spans(path, a)
     return found
 
 
+def path_spans(path: np.ndarray, start: int = 0) -> list[Span]:
+    """Spans of a tag path that begins at `start`."""
+    kind = (path + 1) // 2
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], kind, [0]))) | np.concatenate((path % 2 == 1, [False])))
+    return [(start + int(s), start + int(e), KINDS[kind[s] - 1]) for s, e in zip(edge[:-1], edge[1:]) if kind[s]]
+
+
 def _added(text: str, base: list[Span], decoded: list[Span]) -> list[Span]:
     """Decoded spans, trimmed, that stand alone, pass their check and touch no pattern span."""
     out = []
@@ -437,19 +506,25 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
+def _spans_of(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[str | None], list[tuple[list[Span], list[Span]]]]]:
+    """(first, last, texts, spans) for runs of rows of about a megabyte of text."""
+    for first, last, data, offsets in text_slices(texts, 1 << 20):
+        has = np.concatenate(([0], np.cumsum(_HAS[data])))[offsets]
+        own = texts.slice(first, last - first).to_pylist()
+        spans: list[tuple[list[Span], list[Span]]] = [([], [])] * len(own)
+        rows = np.flatnonzero(np.diff(has)).tolist()  # a text without a digit or an at sign has no span
+        for i, found in zip(rows, text_spans(model, [own[i] for i in rows])):
+            spans[i] = found
+        yield first, last, own, spans
+
+
 def _find(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            n = len(texts)
-            base, every, clean = [""] * n, [""] * n, texts.to_pylist()
-            for first, last, data, offsets in text_slices(texts):
-                has = np.concatenate(([0], np.cumsum(_HAS[data])))[offsets]
-                rows = [first + int(i) for i in np.flatnonzero(np.diff(has))]
-                for i, (b, e) in zip(rows, text_spans(model, [clean[i] for i in rows])):
-                    base[i], every[i], clean[i] = spans_text(b), spans_text(e), redacted(clean[i], e)
-            columns = [pa.array(x, pa.string()) for x in (base, every, clean)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "base_spans", "spans", "redacted"])
+            for first, last, own, spans in _spans_of(model, batch.column("text")):
+                made = [spans_text(b) for b, _ in spans], [spans_text(e) for _, e in spans], [t and redacted(t, e) for t, (_, e) in zip(own, spans)]
+                columns = [pa.array(x, pa.string()) for x in made]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *columns], ["doc_id", "base_spans", "spans", "redacted"])
 
     return run
 
@@ -458,14 +533,9 @@ def _redact(model: Model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at)
-            clean = texts.to_pylist()
-            for first, last, data, offsets in text_slices(texts):
-                has = np.concatenate(([0], np.cumsum(_HAS[data])))[offsets]
-                rows = [first + int(i) for i in np.flatnonzero(np.diff(has))]
-                for i, (_, e) in zip(rows, text_spans(model, [clean[i] for i in rows])):
-                    clean[i] = redacted(clean[i], e)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, texts.type))
+            for first, last, own, spans in _spans_of(model, batch.column(at)):
+                clean = [t and redacted(t, e) for t, (_, e) in zip(own, spans)]
+                yield batch.slice(first, last - first).set_column(at, batch.schema.field(at), pa.array(clean, batch.column(at).type))
 
     return run
 
@@ -483,5 +553,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """`docs` with the personal data in `text_col` replaced by [EMAIL], [IP], [CARD] or [PHONE]; all rows and columns stay."""
+    """`docs` with the personal data in `text_col` replaced by [EMAIL], [IP], [CARD] or [PHONE]; all rows and columns stay, whatever their names.
+
+    Null texts stay null, empty ones empty; texts of any length are read whole; equal
+    texts change alike. Empty table: no rows.
+    """
     return docs.mapInArrow(_redact(model or default_model(docs.sparkSession), text_col), docs.schema)

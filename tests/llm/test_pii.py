@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,6 +38,11 @@ def brute(text):
     return ",".join(s[2] for s in sorted(spans))
 
 
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.default_model(spark)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="0123456789.@+-() ax_%\n", max_size=60) | st.text(alphabet="0159 -", max_size=60))
 def test_patterns(text):
@@ -62,9 +69,70 @@ def test_the_network_adds_spans(spark):
     assert "555-0187" not in rows[1].redacted and rows[2].spans == ""
 
 
-def test_gradients_match_differences():
-    import numpy as np
+def decoded_whole(model, text):
+    """Every window of the text, averaged; the plain best path over the whole text, with O alone where no digit or at sign is near."""
+    codes, total, seen = pii.char_codes(text), np.zeros((len(text), len(pii.TAGS))), np.zeros((len(text), 1))
+    for at in pii.grid(len(text)):
+        part = codes[at : at + pii.WINDOW]
+        total[at : at + pii.WINDOW] += pii.emissions(model, np.pad(part, (0, pii.WINDOW - len(part)))[None])[0][: len(part)]
+        seen[at : at + pii.WINDOW] += 1
+    score = total / np.maximum(seen, 1)
+    near = {i // pii.STRIDE + k for i, c in enumerate(text) if c in "0123456789@" for k in (-1, 0, 1)}
+    for i in range(len(text)):
+        if i // pii.STRIDE not in near:
+            score[i, 1:] = -1e9
+    best, back = score[0], []
+    for t in range(1, len(text)):
+        step = best[:, None] + model.trans
+        back.append(step.argmax(0))
+        best = step.max(0) + score[t]
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return pii.path_spans(np.array(path[::-1]))
+
+
+def test_decoding_equals_that_of_every_window(spark, model):
+    docs = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    texts = [t for t in docs if t and len(t) < 6000][:120] + [t for t, _ in pii.labelled_samples(40, seed=77)] + ["x", "@", "7" * 200, "a" * 31 + "5", "b" * 100 + "1.2.3.4", "call 212-555-0187"]
+    assert pii.model_spans(model, texts) == [decoded_whole(model, t) for t in texts]
+    assert pii.model_spans(model, texts[::-1]) == pii.model_spans(model, texts)[::-1]
+
+
+def test_long_stretches_are_decoded_in_chunks(model, monkeypatch):
+    text = " ".join(t for t, _ in pii.labelled_samples(30, seed=11)).replace("a", "1")
+    whole = pii.model_spans(model, [text])
+    monkeypatch.setattr(pii, "CHUNK", 37)
+    assert pii.model_spans(model, [text]) == whole == [decoded_whole(model, text)]
+
+
+def test_the_network_alone_on_held_out_text(spark, model):
+    """Exact spans of sentences that were not trained on, and spans of the tables' patterns that the network finds without the patterns."""
+    held = pii.labelled_samples(300, seed=99)
+    right = wanted = given = 0
+    for (_, want), got in zip(held, pii.model_spans(model, [t for t, _ in held])):
+        right, wanted, given = right + len(set(want) & set(got)), wanted + len(want), given + len(got)
+    assert right / wanted > 0.85 and right / given > 0.85
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    base = [pii.pattern_spans(t) for t in docs]
+    found = sum(any(g[2] == k and g[0] < b and a < g[1] for g in got) for spans, got in zip(base, pii.model_spans(model, docs)) for a, b, k in spans)
+    assert found / sum(map(len, base)) > 0.9
+
+
+def test_the_network_adds_what_the_patterns_miss(model):
+    """Notations without a pattern: of each kind most are added, and look-alikes are not."""
+    held = pii.labelled_samples(300, seed=123)
+    missed = caught = 0
+    for text, want in held:
+        base, every = pii.text_spans(model, [text])[0]
+        open_ = [s for s in want if all(s[1] <= a or b <= s[0] for a, b, _ in base)]
+        missed += len(open_)
+        caught += sum(any(a < s[1] and s[0] < b for a, b, _ in every) for s in open_)
+    assert missed > 50 and caught / missed > 0.75
+    assert pii.text_spans(model, ["version 1.2 of 2024-11-05, id 00FF 12:30, 1,000,000 and ²²² ٣٣٣"])[0][1] == []
 
+
+def test_gradients_match_differences():
     rng = np.random.Generator(np.random.PCG64(2))
     model = pii.Model(*[w.astype(np.float64) for w in pii._fresh(rng, 4, 3)])
     codes = rng.integers(0, pii.N_CHARS, (2, 7))
