@@ -63,8 +63,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document stored as 8-bit audio, and its features."""
-    return audio.sonify(_documents(spark, sf_dir), with_media=False)
+    """Every document stored as 8-bit audio: digests and features of what is read back, the clip, its active spans and its tensors."""
+    return audio.sonify(_documents(spark, sf_dir))
 
 
 QUERIES = {

@@ -1,4 +1,7 @@
+import cmath
 import hashlib
+import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -50,6 +53,67 @@ def test_polyphase_equals_filter_then_decimate():
     assert np.allclose(got, paired, atol=1e-5) and len(plain) > len(got)
 
 
+def plain_mel(samples):
+    """Frames x mels and energies of a short clip by sums over single samples and frequencies."""
+    x = [(int(v) - 128) / 128 for v in samples]
+    half = [[x[2 * i + p] for i in range(len(x) // 2)] for p in range(2)]
+    taps = [[float(audio._lowpass()[2 * k + p]) for k in range(8)] for p in range(2)]
+    signal = [sum(taps[p][k] * half[p][i - k] for p in range(2) for k in range(8) if i >= k) for i in range(len(x) // 2)]
+    frames = max(1, math.ceil((len(signal) - 256) / 128) + 1)
+    signal += [0.0] * ((frames - 1) * 128 + 256 - len(signal))
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    step = (mel(4000) - mel(40)) / 33
+    edges = [700 * (10 ** ((mel(40) + i * step) / 2595) - 1) for i in range(34)]
+    out, energy = [], []
+    for t in range(frames):
+        part = [signal[t * 128 + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / 255)) for i in range(256)]
+        energy.append(sum(v * v for v in part))
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * f * i / 256) for i, v in enumerate(part))) ** 2 for f in range(129)]
+        row = []
+        for m in range(32):
+            low, mid, high = edges[m : m + 3]
+            weights = [max(0.0, min((f * 31.25 - low) / (mid - low), (high - f * 31.25) / (high - mid))) for f in range(129)]
+            row.append(math.log(sum(w * v for w, v in zip(weights, power)) + 1e-6))
+        out.append(row)
+    return np.array(out), np.array(energy)
+
+
+def test_log_mel_and_summary_against_plain_sums():
+    text = "The clip of this text is short but has more than one frame. " * 30
+    media = audio.wav(audio.payload(text)[1])
+    feature, spans, tensors = audio.described(media)
+    mel, energy = plain_mel(audio.wav_samples(media))
+    table = audio.read_tensors(tensors)
+    got = np.concatenate([np.array(t.as_py() if hasattr(t, "as_py") else t, np.float32).reshape(audio.PATCH, audio.MELS) for t in table["log_mel"].combine_chunks().storage])
+    assert np.allclose(got[: len(mel)], mel, atol=2e-3) and np.all(got[len(mel) :] == np.log(np.float32(1e-6)))
+    assert spans == audio.segments(energy.astype(np.float32))
+    parts = dict(x.split("=") for x in feature.split(";", 3))
+    groups = mel.reshape(len(mel), 8, 4).mean(2)
+    want = [v for pair in zip(groups.mean(0), groups.std(0)) for v in pair]
+    numbers = [float(v) for v in feature.split("mel=")[1].replace(";", ",").split(",")]
+    assert (int(parts["frames"]), int(parts["segments"])) == (len(mel), len(spans)) and np.allclose(numbers, want, atol=0.012)
+
+
+def test_blocks_do_not_change_the_features():
+    samples = np.random.Generator(np.random.PCG64(4)).integers(0, 256, 50_001).astype(np.uint8)
+    whole = [np.concatenate(x) for x in zip(*audio.blocks(samples, 10**6))]
+    for size in (1, 7, 32, 64):
+        parts = [np.concatenate(x) for x in zip(*audio.blocks(samples, size))]
+        assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(whole, parts))
+    assert np.allclose(audio.resampled(samples, 100, 333), audio.resampled(samples)[100:333], atol=1e-6)
+
+
+def test_memory_follows_the_clip_not_its_frames():
+    media = audio.wav(bytes(range(256)) * (1 << 15))  # 8 MB
+    tracemalloc.start()
+    try:
+        _, _, tensors = audio.described(media)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < len(media) * 2.5 + 3 * len(tensors) + (4 << 20)
+
+
 def test_hysteresis():
     energy = np.array([1, 1, 9, 9, 3.2, 3, 1, 1, 9, 1], np.float32)
     spans = audio.segments(energy)
