@@ -117,19 +117,30 @@ RULES_SQL = rf"""
     judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)"""
 
 QUOTES_SQL = r"""
-    WITH RECURSIVE own AS (SELECT conv_id, turn, role, COALESCE(text, '') AS text FROM conversations),
+    WITH RECURSIVE own AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, COALESCE(text, '') AS text FROM conversations),
     split AS (
-        SELECT conv_id, turn, pos, ls[pos] AS line, regexp_extract(ls[pos], '^([ \t]*>)+[ \t]?') AS marks
+        SELECT rid, conv_id, turn, pos, ls[pos] AS line, regexp_extract(ls[pos], '^([ \t]*>)+[ \t]?') AS marks
         FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT *, string_split(text, chr(10)) AS ls FROM own))),
     parsed AS (
         SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, length(marks) + 1) AS content,
-               lower(trim(regexp_replace(substr(line, length(marks) + 1), '\s+', ' ', 'g'))) AS normal
+               lower(trim(regexp_replace(substr(line, length(marks) + 1), '[\s\xA0]+', ' ', 'g'))) AS normal
         FROM split),
-    quoted AS (SELECT * FROM parsed WHERE level > 0 AND normal <> ''),
-    writers AS (SELECT conv_id, normal, MIN(turn) AS writer FROM parsed WHERE level = 0 AND normal <> '' GROUP BY ALL),
-    votes AS (
-        SELECT conv_id, q.turn, level, writer, SUM(length(normal)) AS votes
-        FROM quoted q JOIN writers USING (conv_id, normal) WHERE writer < q.turn GROUP BY ALL),
+    marked AS (
+        SELECT *, CASE WHEN LAG(level) OVER (PARTITION BY rid ORDER BY pos) IS DISTINCT FROM level THEN 1 ELSE 0 END AS starts FROM parsed WHERE normal <> ''),
+    lines AS (SELECT *, SUM(starts) OVER (PARTITION BY rid ORDER BY pos) AS run FROM marked),
+    passages AS (SELECT rid, conv_id, turn, level, run, string_agg(normal, ' ' ORDER BY pos) AS passage FROM lines GROUP BY rid, conv_id, turn, level, run),
+    passage_writers AS (SELECT conv_id, passage, MIN(turn) AS writer FROM passages WHERE level = 0 GROUP BY ALL),
+    quoted AS (
+        SELECT q.*, CASE WHEN writer < q.turn THEN writer END AS writer
+        FROM passages q LEFT JOIN passage_writers USING (conv_id, passage) WHERE level > 0),
+    line_writers AS (SELECT conv_id, normal, MIN(turn) AS writer FROM lines WHERE level = 0 GROUP BY ALL),
+    found AS (
+        SELECT conv_id, turn, level, writer, length(passage) AS size FROM quoted WHERE writer IS NOT NULL
+        UNION ALL
+        SELECT l.conv_id, l.turn, l.level, w.writer, length(l.normal)
+        FROM lines l JOIN quoted q USING (rid, run) JOIN line_writers w ON w.conv_id = l.conv_id AND w.normal = l.normal
+        WHERE q.writer IS NULL AND w.writer < l.turn),
+    votes AS (SELECT conv_id, turn, level, writer, SUM(size) AS votes FROM found GROUP BY ALL),
     parents AS (
         SELECT conv_id, turn, writer AS parent
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, votes DESC, writer DESC) AS n FROM votes) WHERE n = 1),
@@ -137,17 +148,20 @@ QUOTES_SQL = r"""
         SELECT conv_id, turn, parent AS root, 1 AS depth FROM parents
         UNION ALL SELECT up.conv_id, up.turn, p.parent, depth + 1 FROM up JOIN parents p ON p.conv_id = up.conv_id AND p.turn = up.root),
     roots AS (SELECT conv_id, turn, MIN(root) AS root, MAX(depth) AS depth FROM up GROUP BY ALL),
-    counted AS (SELECT conv_id, turn, COUNT(*) AS n FROM quoted GROUP BY ALL),
+    counted AS (SELECT rid, COUNT(*) AS n FROM lines WHERE level > 0 GROUP BY ALL),
+    placed AS (
+        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY COALESCE(root, turn), turn) - 1 AS position
+        FROM (SELECT DISTINCT conv_id, turn FROM own WHERE conv_id IS NOT NULL AND turn IS NOT NULL) LEFT JOIN roots USING (conv_id, turn)),
     bare AS (
-        SELECT conv_id, turn, COALESCE(trim(string_agg(content, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT (regexp_matches(line,
+        SELECT rid, COALESCE(trim(string_agg(content, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT (regexp_matches(line,
                '^[ \t]*(On\b.*\bwrote|Am\b.*\bschrieb.*|Le\b.*\ba écrit|El\b.*\bescribió)[ \t]*:[ \t]*$') AND next > 0)), E' \t\r\n'), '') AS text
-        FROM (SELECT *, COALESCE(LEAD(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS next FROM parsed)
-        GROUP BY ALL HAVING MAX(level) > 0)
+        FROM (SELECT *, COALESCE(LEAD(level) OVER (PARTITION BY rid ORDER BY pos), 0) AS next FROM parsed)
+        GROUP BY rid HAVING MAX(level) > 0)
     SELECT o.conv_id, o.turn, o.role, COALESCE(b.text, o.text) AS text, p.parent AS parent_turn, COALESCE(r.root, o.turn) AS root_turn,
-           COALESCE(r.depth, 0) AS depth, COALESCE(c.n, 0) AS n_quoted_lines,
+           COALESCE(r.depth, 0) AS depth, position, COALESCE(c.n, 0) AS n_quoted_lines,
            '<|' || COALESCE(o.role, 'user') || '|>' || chr(10) || COALESCE(b.text, o.text) AS formatted
-    FROM own o LEFT JOIN bare b USING (conv_id, turn) LEFT JOIN parents p USING (conv_id, turn)
-    LEFT JOIN roots r USING (conv_id, turn) LEFT JOIN counted c USING (conv_id, turn)"""
+    FROM own o LEFT JOIN bare b USING (rid) LEFT JOIN parents p USING (conv_id, turn) LEFT JOIN placed USING (conv_id, turn)
+    LEFT JOIN roots r USING (conv_id, turn) LEFT JOIN counted c USING (rid)"""
 
 ORACLES = {
     "op9_chat_formatting": QUOTES_SQL,

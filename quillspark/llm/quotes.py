@@ -1,15 +1,17 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
 Quote marks at the start of a line give its nesting level; consecutive lines of one
-level are a passage. Every quoted line is normalised and hashed; equal hashes of
-unquoted lines in the same conversation name the message that wrote the line first.
-Quoted lines without such a hash may be wrapped anew or part of a line only: for them
-the passage is hashed in windows of `WINDOW` words, whole if it is shorter, and so are
-the unquoted passages of the conversation. Lines and windows of a message's lowest
-level vote, by their characters, for the message that it replies to. Replies lead to
-the root of their thread by following links in doubling steps, and a conversation
-in reply order is its rows by (root_turn, turn): a reply always stands after what
-it answers.
+level are a passage (empty lines part none). A passage's lines are normalised, joined and
+hashed; an equal hash of an unquoted passage in the same conversation names the
+message that wrote it first. A passage without such a hash quotes less or more than one
+passage: its lines are hashed one by one in the same way. Lines that still have no writer
+may be wrapped anew or be part of a line only: for them the passage is hashed in windows
+of `WINDOW` words, whole if it is shorter, and so are the unquoted passages of the
+conversation. Passages, lines and windows of a message's lowest level vote, by
+their characters, for the message that it replies to. Replies lead to the root of
+their thread by following links in doubling steps. A conversation in reply order
+is its messages by `position`: threads by their first turn, and in a thread every reply after
+what it answers.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import staged
+from quillspark.llm.common import running, scratch, staged
 
 MARKS = r"^([ \t]*>)+[ \t]?"
 #: Lines that introduce a quote.
@@ -112,55 +114,88 @@ def _windows(own: DataFrame, linked: DataFrame) -> DataFrame:
     return quoted.join(first, ["conv_id", "passage"]).filter("writer < turn").select("conv_id", "turn", "level", "writer", "size")
 
 
+def _passages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, passage, size and lines (their hashes and sizes) of every passage of several lines of one level."""
+    normal = F.transform(_parsed(F.col("text")), lambda x: F.struct(x.level.alias("level"), _normal(x.content).alias("normal")))
+    level = lambda i: F.get(F.col("lines"), i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (level(i - 1) != level(i)))
+    run = lambda begin, end: F.slice(F.col("lines"), begin + 1, end - begin)
+    runs = (
+        # Exploded from an array of one, so that the lines are made once and not again for each use.
+        messages.select("conv_id", "turn", F.explode(F.array(F.filter(normal, lambda x: x.normal != ""))).alias("lines"))
+        .filter(F.size("lines") > 0)
+        .withColumn("starts", F.concat(starts, F.array(F.size("lines"))))
+        .select("conv_id", "turn", F.explode(F.transform(F.sequence(F.lit(1), F.size("starts") - 1), lambda i: run(F.get(F.col("starts"), i - 1), F.get(F.col("starts"), i)))).alias("run"))
+    )
+    text = F.array_join(F.transform("run", lambda x: x.normal), " ")
+    lines = F.transform("run", lambda x: F.struct(F.xxhash64(F.col("conv_id"), x.normal).alias("passage"), F.length(x.normal).alias("size")))
+    return runs.select("conv_id", "turn", F.col("run")[0]["level"].alias("level"), F.xxhash64("conv_id", text).alias("passage"), F.length(text).alias("size"), lines.alias("lines"))
+
+
+def _first(written: DataFrame) -> DataFrame:
+    return written.groupBy("conv_id", "passage").agg(F.min("turn").alias("writer"))
+
+
+def _earlier(quoted: DataFrame, first: DataFrame) -> DataFrame:
+    """`quoted` with the writer of each hash, null where no earlier turn wrote it."""
+    joined = quoted.join(first, ["conv_id", "passage"], "left")
+    return joined.withColumn("writer", F.when(F.col("writer") < F.col("turn"), F.col("writer")))
+
+
+def _parents(own: DataFrame, quoting: Column) -> DataFrame:
+    """conv_id, turn, parent of every message whose quotes name one."""
+    quoted = staged(_passages(own.filter(quoting)).filter("level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL"), "quotes-quoted")
+    conversations = own.filter("turn IS NOT NULL").join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    written = _passages(conversations).filter("level = 0").select("conv_id", "turn", "passage", F.transform("lines", lambda x: x.passage).alias("lines"))
+    written = staged(written, "quotes-written")
+    passages = staged(_earlier(quoted, _first(written)), "quotes-passages")
+    each = lambda c: F.explode("lines").alias(c)
+    lines = passages.filter("writer IS NULL").select("conv_id", "turn", "level", each("line")).select("conv_id", "turn", "level", "line.passage", "line.size")
+    linked = staged(_earlier(lines, _first(written.select("conv_id", "turn", each("passage")))), "quotes-linked")
+    voting = ["conv_id", "turn", "level", "writer", "size"]
+    found = passages.filter("writer IS NOT NULL").select(*voting).unionByName(linked.filter("writer IS NOT NULL").select(*voting))
+    votes = found.unionByName(_windows(own, linked)).groupBy("conv_id", "turn", "level", "writer").agg(F.sum("size").alias("votes"))
+    best = F.max(F.struct((-F.col("level")).alias("near"), "votes", "writer"))["writer"]
+    return votes.groupBy("conv_id", "turn").agg(best.alias("parent"))
+
+
 def link(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text without quotes, parent_turn, root_turn, depth, n_quoted_lines, formatted.
+    """conv_id, turn, role, text without quotes, parent_turn, root_turn, depth, position, n_quoted_lines, formatted.
 
     One row per row of `messages`. A message without quotes that can be linked has
-    no parent and is its own root at depth 0. Of several messages that hold a line
+    no parent and is its own root at depth 0. Of several messages that hold a passage, line
     or window, the one with the lowest turn wrote it; only turns before the quoting one
-    count, and ties of votes go to the later turn. Text without quote marks is unchanged;
-    null text is empty. Null conversations or turns link to nothing. Rows that share
-    conversation and turn share a parent. Further columns are not read. Empty table: no rows.
+    count, and ties of votes go to the later turn. `position` counts the turns of a
+    conversation from 0 in reply order. Text without quote marks is unchanged;
+    null text is empty; texts of any length are read whole. Null conversations or turns
+    link to nothing and have no position. Rows that share conversation and turn share
+    parent and position. Further columns are not read. Empty table: no rows.
     """
     own = messages.select("conv_id", "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     quoting = F.col("text").rlike(r"(?m)^[ \t]*>")
-    lines = own.select("conv_id", "turn", F.explode(_parsed(F.col("text"))).alias("line")).select(
-        "conv_id", "turn", "line.level", _normal(F.col("line.content")).alias("normal")
-    )
-    quoted = (
-        own.filter(quoting)
-        .select("conv_id", "turn", F.explode(_parsed(F.col("text"))).alias("line"))
-        .select("conv_id", "turn", "line.level", _normal(F.col("line.content")).alias("normal"))
-        .filter("level > 0 AND normal <> ''")
-        .select("conv_id", "turn", "level", F.xxhash64("conv_id", "normal").alias("passage"), F.length("normal").alias("size"))
-    )
-    quoted = staged(quoted, "quotes-quoted")
-    first = staged(
-        lines.filter("level = 0 AND normal <> ''")
-        .groupBy("conv_id", F.xxhash64("conv_id", "normal").alias("passage"))
-        .agg(F.min("turn").alias("writer")),
-        "quotes-writers",
-    )
-    linked = quoted.join(first, ["conv_id", "passage"], "left").withColumn("writer", F.when(F.col("writer") < F.col("turn"), F.col("writer")))
-    linked = staged(linked, "quotes-linked")
-    windows = _windows(own, linked)
-    by_line = linked.filter("writer IS NOT NULL").select("conv_id", "turn", "level", "writer", "size")
-    votes = by_line.unionByName(windows).groupBy("conv_id", "turn", "level", "writer").agg(F.sum("size").alias("votes"))
-    best = F.max(F.struct((-F.col("level")).alias("near"), "votes", "writer"))["writer"]
-    parents = staged(votes.groupBy("conv_id", "turn").agg(best.alias("parent")), "quotes-parents")
-    counted = quoted.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quoted_lines"))
-    roots = staged(
-        counted.join(parents, ["conv_id", "turn"], "left").join(_roots(parents), ["conv_id", "turn"], "left"), "quotes-links"
-    )
+    with scratch(messages.sparkSession) as keep:
+        parents = staged(_parents(own, quoting), "quotes-parents")
+        links = staged(parents.join(_roots(parents), ["conv_id", "turn"]), "quotes-links")
+        turns = own.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct().join(links, ["conv_id", "turn"], "left")
+        turns = turns.withColumn("root", F.coalesce("root", "turn"))
+        placed = staged(running(turns, [F.col(c) for c in ("conv_id", "root", "turn")], {"rank": F.lit(1)}, "quotes-order"), "quotes-ranks")
+        first = placed.groupBy("conv_id").agg(F.min("rank").alias("first"))
+        placed = keep(placed.join(first, "conv_id").withColumn("position", F.col("rank") - F.col("first")).drop("rank", "first"), "quotes-turns")
 
     kept = F.filter(F.col("lines"), lambda x, i: (x.level == 0) & ~(x.content.rlike(ATTRIBUTION) & (F.coalesce(F.get(F.col("lines"), i + 1)["level"], F.lit(0)) > 0)))
     bare = F.btrim(F.array_join(F.transform(kept, lambda x: x.content), "\n"), F.lit(" \t\r\n"))
-    cleaned = own.withColumn("lines", F.when(quoting, _parsed(F.col("text")))).withColumn("text", F.when(F.col("lines").isNotNull(), bare).otherwise(F.col("text")))
-    return cleaned.join(roots, ["conv_id", "turn"], "left").select(
+    count = F.size(F.filter("lines", lambda x: (x.level > 0) & (_normal(x.content) != "")))
+    cleaned = own.withColumn("lines", F.when(quoting, _parsed(F.col("text")))).select(
+        "conv_id", "turn", "role",
+        F.when(F.col("lines").isNotNull(), bare).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("lines").isNotNull(), count).otherwise(0).cast("long").alias("n_quoted_lines"),
+    )
+    return cleaned.join(placed, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "text",
         F.col("parent").alias("parent_turn"),
         F.coalesce("root", "turn").alias("root_turn"),
         F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.coalesce("n_quoted_lines", F.lit(0)).alias("n_quoted_lines"),
+        "position",
+        "n_quoted_lines",
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), "text").alias("formatted"),
     )
