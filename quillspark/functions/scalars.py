@@ -23,6 +23,7 @@ LEVEL_AMOUNTS = {5: 400000, 4: 320000, 3: 280000, 2: 240000, 1: 200000}
 GRADE_AMOUNTS = {"S": 400000, "A++": 350000, "A+": 350000, "A": 300000, "B": 200000, "C": 150000, "F": 100000, "F-": 100000}
 SCORE_AMOUNTS = {100: 250000, 80: 190000, 60: 150000, 40: 120000, 20: 100000, 0: 0}
 SELECT_THRESHOLD = 80
+NO_ANSWER = "(답변 없음)"
 
 
 def lookup(values: dict, key: Column, default: Column | None = None) -> Column:
@@ -33,23 +34,24 @@ def lookup(values: dict, key: Column, default: Column | None = None) -> Column:
 
 def blank_to_null(c: Column) -> Column:
     """Null where the text is empty after trimming."""
-    return F.when(F.regexp_replace(c, r"(?U)^\s+|\s+$", "") != "", c)
+    return F.when(strip(c) != "", c)
 
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def normal_name(c: Column, zero_width: bool = False, inner_spaces: bool = False) -> Column:
     """A person's name without what forms append: trailing (…) groups and Latin letters, in any order and number.
 
-    `zero_width` also removes invisible characters, `inner_spaces` all blanks.
-    One alternative eats one token, so the pattern cannot backtrack exponentially.
+    `zero_width` also removes invisible characters, `inner_spaces` all blanks. The name is
+    read backwards from its end, whole runs and groups at a time and none of them
+    twice, so names of any length take linear time and no stack.
     """
     if zero_width:
         c = F.regexp_replace(c, "[​-‍­⁠﻿]", "")
-    c = strip(F.regexp_replace(c, r"(?U)(?:\([^)]*\)|[A-Za-z]|\s)+$", ""))
+    c = strip(F.reverse(F.regexp_replace(F.reverse(c), r"(?U)^(?:\)[^)]*\(|[A-Za-z\s]++)++", "")))
     return F.regexp_replace(c, r"(?U)\s+", "") if inner_spaces else c
 
 
@@ -95,6 +97,12 @@ def question_key(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"^\[([0-9]+-[0-9]+)\]", 1), F.lit(""))
 
 
+def natural_parts(key: Column) -> tuple[Column, Column, Column]:
+    """letters, n, m of a question key such as A12 or 3-1; m is 0 without one."""
+    number = lambda pattern: F.regexp_extract(key, pattern, 1).try_cast("int")
+    return F.regexp_extract(key, "^([A-Za-z]*)", 1).alias("letters"), number("^[A-Za-z]*([0-9]+)").alias("n"), F.coalesce(number("^[A-Za-z]*[0-9]+-([0-9]+)"), F.lit(0)).alias("m")
+
+
 def section_of(key: Column) -> Column:
     """section_<n> of a question key."""
     return F.concat(F.lit("section_"), F.substring_index(key, "-", 1))
@@ -124,11 +132,31 @@ def file_date_key(path: Column, modified: Column, long_first: bool = True) -> Co
 
 def clean_text(c: Column) -> Column:
     """Without control characters but tab and line feed, no blanks at line ends, at most one empty line in a row."""
-    c = F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F]", "")
-    c = F.regexp_replace(c, r"[ \t]+(?=\n)", "")
+    c = F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F]", "")
+    c = F.regexp_replace(c, r"(?<![ \t])[ \t]++(?=\n)", "")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+def answer_text(c: Column) -> Column:
+    """The trimmed answer, or the placeholder of an empty one."""
+    return F.coalesce(F.nullif(strip(c), F.lit("")), F.lit(NO_ANSWER))
+
+
+def student_type_of(tag: Column) -> Column:
+    """Type of a person by a tag: improved where the tag says so, else excellent."""
+    return F.when(F.contains(F.coalesce(tag, F.lit("")), F.lit("향상")), "성적향상").otherwise("성적우수")
+
+
+def parameter_number(c: Column) -> Column:
+    """A whole number of a URL parameter; null for blanks and other texts."""
+    return F.trim(c).try_cast("int")
+
+
+def needs_normalising(name: Column) -> Column:
+    """Candidates for a normal form: names with a Latin letter or an opening parenthesis."""
+    return name.rlike("[A-Za-z]") | F.contains(name, F.lit("("))
+
+
 def joined(sep: str, *parts: Column) -> Column:
     """Non-empty parts with `sep` between; null if there are none."""
     return F.nullif(F.concat_ws(sep, *[F.nullif(F.trim(p), F.lit("")) for p in parts]), F.lit(""))

@@ -16,6 +16,10 @@ IDENTITY_LABELS = {
 GUIDE_HINTS = ("작성용 키워드", "아래 키워드", "키워드를 참고", "선택하여 답변", "해당 셀을 삭제", "해당하는 것만", "구글폼에", "복사", "내용)")
 
 
+#: Character references and what they stand for, in the order of replacing.
+ENTITIES = {"&#13;": " ", "&lt;": "<", "&gt;": ">", "&amp;": "&", "&nbsp;": " "}
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once, however often the body and its lambdas name it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -27,15 +31,14 @@ def consecutive_distinct(lines: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """Visible text of simple HTML: styles dropped, the body kept, block ends as line feeds, tags removed, references decoded.
-
-    The body is cut by position, not by a lazy pattern over the whole page.
-    """
-    t = F.regexp_replace(html, r"(?is)<style[^>]*>.*?</style>", "")
-    t = F.when(t.rlike(r"(?i)<body"), F.regexp_replace(t, r"(?is)^.*?<body[^>]*>", "")).otherwise(t)
-    t = F.regexp_replace(t, r"(?i)</?(p|div|tr|br|li|h[1-6])[^>]*>", "\n")
+    """Visible text of simple HTML: styles as a blank, what follows the first body tag, block and cell ends as line feeds, tags removed, references decoded."""
+    t = F.regexp_replace(html, r"(?is)<style.*?</style>", " ")
+    # Cut once at the first body tag, so that nothing is scanned twice.
+    t = F.element_at(F.split(t, r"(?i)<body[^>]*>", 2), -1)
+    t = F.regexp_replace(t, r"(?i)</?(p|div|tr|td|th|br|li|h[1-6]|table)[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", "")
-    t = F.replace(F.replace(F.replace(F.replace(F.replace(t, F.lit("&#13;"), F.lit("")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&")), F.lit("&nbsp;"), F.lit(" "))
+    for name, char in ENTITIES.items():
+        t = F.replace(t, F.lit(name), F.lit(char))
     return F.regexp_replace(t, r"&[a-zA-Z]+;", " ")
 
 

@@ -1,7 +1,8 @@
 """Changes to a table as snapshot -> snapshot transformations.
 
-Parquet has no UPDATE; each function returns the new snapshot. All are idempotent:
-applying the same change twice gives the same rows as once.
+Parquet has no UPDATE; each function returns the new snapshot. Applying the same
+change twice gives the same rows as once, but for `toggled`, which takes itself back, and for
+rows with a null key, which `upsert` and `insert_if_absent` append each time.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.validate import violations
+
 
 def update_where(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
     """Set columns where the condition is true (null counts as false)."""
@@ -16,12 +19,13 @@ def update_where(df: DataFrame, condition: Column, **values: Column) -> DataFram
 
 
 def merge(df: DataFrame, updates: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
-    """Apply `updates` (unique by key) to matching rows.
+    """Apply `updates` to matching rows. Of several updates with one key the largest row counts, so rows never multiply.
 
     Rule per column: "overwrite" (blank becomes null), "prefer_new" (blank keeps the
     old value) or "fill" (only where the old value is blank). Other columns stay.
     """
-    new = updates.select(F.col(key).alias("_k"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in rules])
+    one = updates.groupBy(F.col(key).alias("_k")).agg(F.max(F.struct(*rules)).alias("_n"))
+    new = one.select("_k", F.lit(True).alias("_hit"), *[F.col(f"_n.{c}").alias(f"_n_{c}") for c in rules])
     both = df.join(new, F.col(key) == F.col("_k"), "left")
     blank = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c))
     value = {
@@ -33,9 +37,11 @@ def merge(df: DataFrame, updates: DataFrame, key: str, rules: dict[str, str]) ->
 
 
 def upsert(df: DataFrame, rows: DataFrame, key: str, update: list[str]) -> DataFrame:
-    """Update the named columns of matching rows, append the rest. Rows with a null key are appended."""
+    """Update the named columns of matching rows, append the rest, one row per key. Rows with a null key are all appended."""
     inserted = rows.join(df.select(key), key, "left_anti").select(*df.columns)
-    return merge(df, rows, key, dict.fromkeys(update, "overwrite")).unionByName(inserted)
+    largest = inserted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*[c for c in df.columns if c != key])).alias("_r")).select(key, "_r.*")
+    fresh = largest.select(*df.columns).unionByName(inserted.filter(F.col(key).isNull()))
+    return merge(df, rows, key, dict.fromkeys(update, "overwrite")).unionByName(fresh)
 
 
 def insert_if_absent(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,9 +70,17 @@ def normalised_where_changed(df: DataFrame, column: str, normal: Column) -> Data
     return df.withColumn(column, F.when((normal != "") & (normal != F.col(column)), normal).otherwise(F.col(column)))
 
 
-def rebuild(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Copy by position into a table with other column names."""
-    return df.toDF(*columns)
+def rebuild(df: DataFrame, columns: list[str], rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(copy by position into a table with other column names, how many of its rows break each rule)."""
+    copied = df.toDF(*columns)
+    return copied, violations(copied, rules)
+
+
+def drop_column(df: DataFrame, name: str) -> DataFrame:
+    """Without a column; one that is not there is an error, as for a table."""
+    if name not in df.columns:
+        raise KeyError(f"no column {name}")
+    return df.drop(name)
 
 
 def add_column(df: DataFrame, name: str, default: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.scalars import stable_id
+
 
 def by_name_and_phone(rows: DataFrame, people: DataFrame) -> DataFrame:
     """rows (row_id, name, phone) + person_id, how ('phone', 'name', 'new', 'ambiguous').
@@ -20,19 +22,49 @@ def by_name_and_phone(rows: DataFrame, people: DataFrame) -> DataFrame:
     return both.select(*rows.columns, person.alias("person_id"), how.alias("how"))
 
 
-def narrowed(rows: DataFrame, people: DataFrame, narrow: Column) -> DataFrame:
+def narrowed(rows: DataFrame, people: DataFrame, narrow: Column, own: list[str], theirs: list[str]) -> DataFrame:
     """row_id, person_id, how: by name; among several people, the one alone for whom `narrow` holds.
 
-    `rows` has row_id and name; `narrow` may use columns of both sides. Counts per
-    row come from one aggregation after the equi-join.
+    `rows` has row_id, name and the columns `own`; `people` has person_id, name and the
+    columns `theirs`; `narrow` compares the two. Names of one person are settled by
+    a count. For the others only the distinct values of a name meet, with counts of
+    the people behind them, so a name that very many rows and people share costs its
+    values, not its pairs.
+    """
+    named = people.groupBy("name").agg(F.count("*").alias("n"), F.min("person_id").alias("any_one"))
+    first = rows.join(named, "name", "left")
+    values = people.groupBy("name", *theirs).agg(F.count("*").alias("_people"), F.min("person_id").alias("_least"))
+    asked = first.filter("n > 1").select("name", *own).distinct()
+    fitting = asked.join(values, "name").filter(F.coalesce(narrow, F.lit(False))).groupBy("name", *own).agg(F.sum("_people").alias("fits"), F.min("_least").alias("fitting"))
+    same = F.col("a.name") == F.col("b.name")
+    for c in own:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    n = F.coalesce("n", F.lit(0))
+    how = F.when(n == 0, "unmatched").when(n == 1, "matched").when(F.col("fits") == 1, "narrowed").otherwise("ambiguous")
+    person = F.when(n == 1, F.col("any_one")).when((n > 1) & (F.col("fits") == 1), F.col("fitting"))
+    return first.alias("a").join(fitting.alias("b"), same, "left").select("row_id", person.alias("person_id"), how.alias("how"))
+
+
+def by_cohort(rows: DataFrame, people: DataFrame, closed: int = 5) -> DataFrame:
+    """row_id, person_id, how of rows (row_id, cohort, name) by the people of their cohort.
+
+    One person of the name is matched, several are ambiguous; without one the row is new, but unmatched in the
+    `closed` cohort, whose people are all known.
+    """
+    named = people.groupBy("cohort", "name").agg(F.count("*").alias("n"), F.min("person_id").alias("one"))
+    both = rows.join(named, ["cohort", "name"], "left")
+    how = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").when(F.col("cohort") == closed, "unmatched").otherwise("new")
+    return both.select("row_id", F.when(F.col("n") == 1, F.col("one")).alias("person_id"), how.alias("how"))
+
+
+def by_text(rows: DataFrame, questions: DataFrame, prefix: str = "question") -> DataFrame:
+    """rows (cohort, text, …) + question_id, known: the question of the cohort with the very same text (the last by id), else a new id.
+
+    Keys repeat, so the whole text decides; the new id follows from cohort and text, so rows of one new question share it.
     """
-    pairs = rows.join(people, "name", "left").withColumn("_fits", F.coalesce(narrow, F.lit(False)))
-    found = pairs.groupBy("row_id").agg(
-        F.count("person_id").alias("n"), F.min("person_id").alias("any_one"), F.sum(F.col("_fits").cast("int")).alias("fits"), F.min(F.when(F.col("_fits"), F.col("person_id"))).alias("fitting")
-    )
-    how = F.when(F.col("n") == 0, "unmatched").when(F.col("n") == 1, "matched").when(F.col("fits") == 1, "narrowed").otherwise("ambiguous")
-    person = F.when(F.col("n") == 1, F.col("any_one")).when((F.col("n") > 1) & (F.col("fits") == 1), F.col("fitting"))
-    return found.select("row_id", person.alias("person_id"), how.alias("how"))
+    known = questions.groupBy("cohort", "text").agg(F.max("question_id").alias("_found"))
+    both = rows.join(known, ["cohort", "text"], "left")
+    return both.select(*rows.columns, F.coalesce("_found", stable_id(prefix, F.col("cohort"), F.col("text"))).alias("question_id"), F.col("_found").isNotNull().alias("known"))
 
 
 def fees(best: DataFrame, people: DataFrame) -> DataFrame:

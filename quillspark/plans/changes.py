@@ -89,10 +89,24 @@ def delete_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The question columns of the parts move into a table of their own; returned joined back, one row per part."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    facts, questions = delta.split_dimension(parts, ["p_type", "p_brand"], "question")
-    return facts.join(questions, facts.question_id == questions.id).select("p_partkey", "p_type", "p_brand", (F.length("id") == 25).alias("has_id"))
+    """The question columns of the parts move into a table of their own: the parts with the ids that stand for them."""
+    return _split(spark, sf_dir)[0]
+
+
+def question_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that those ids lead to: one row per distinct question."""
+    return _split(spark, sf_dir)[1]
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return delta.split_dimension(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), ["p_type", "p_brand"], "question")
+
+
+def rebuilt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines copied by position into other names, without one column, and checked anew: how many rows break each rule."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_tax")
+    _, broken = delta.rebuild(delta.drop_column(lines, "l_tax"), ["id", "place", "amount", "flag"], {"amount": F.col("amount") <= 40, "flag": F.col("flag") != "R", "id": F.col("id").isNotNull()})
+    return broken
 
 
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,11 +160,12 @@ def symmetric_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders"
 _A = "SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS price FROM lineitem"
 _NEW = f"SELECT * REPLACE (price + 100 AS price) FROM ({_S}) WHERE o_orderstatus <> 'O'"
+_QUESTION = "'question_' || substr(sha256(p_type || chr(1) || p_brand), 1, 16)"
 _GONE = "(SELECT c_custkey FROM customer WHERE c_acctbal < 0)"
 
 QUERIES = {f.__name__: f for f in (
     first_per_url, backfill_case, backfill_from_children, conditional_update, merged_columns, upsert_by_key, insert_if_absent, replace_children, delete_in,
-    split_questions, cascade_delete, set_null_delete, restrict_check, orphan_check, unique_check, range_check, skip_done, symmetric_diff,
+    split_questions, question_dimension, rebuilt_table, cascade_delete, set_null_delete, restrict_check, orphan_check, unique_check, range_check, skip_done, symmetric_diff,
 )}
 
 ORACLES = {
@@ -182,7 +197,10 @@ ORACLES = {
         SELECT * FROM ({_A}) WHERE l_orderkey NOT IN (FROM pending)
         UNION ALL SELECT l_orderkey, 1, CAST(SUM(price) AS BIGINT) FROM ({_A}) WHERE l_orderkey IN (FROM pending) GROUP BY 1""",
     "delete_in": f"SELECT * FROM ({_A}) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')",
-    "split_questions": "SELECT p_partkey, p_type, p_brand, TRUE AS has_id FROM part",
+    "split_questions": f"SELECT p_partkey, {_QUESTION} AS question_id FROM part",
+    "question_dimension": f"SELECT DISTINCT {_QUESTION} AS id, p_type, p_brand FROM part",
+    "rebuilt_table": """
+        SELECT 'amount' AS rule, COUNT(*) FILTER (l_quantity > 40) AS n FROM lineitem UNION ALL SELECT 'flag', COUNT(*) FILTER (l_returnflag = 'R') FROM lineitem UNION ALL SELECT 'id', 0""",
     "cascade_delete": f"SELECT * FROM ({_S}) WHERE o_custkey NOT IN {_GONE}",
     "set_null_delete": f"SELECT * REPLACE (CASE WHEN o_custkey IN {_GONE} THEN NULL ELSE o_custkey END AS o_custkey) FROM ({_S})",
     "restrict_check": f"SELECT * FROM ({_S}) WHERE o_custkey IN {_GONE}",

@@ -112,35 +112,54 @@ def filtered_authors(
     return authors
 
 
-def essays(authors: DataFrame, submissions: DataFrame, answers: DataFrame, min_score: float | None = None, most: int = 300, **filters) -> DataFrame:
-    """One row per author with the largest status and score of the submissions and the number of answers, best first.
+def essays(
+    authors: DataFrame, submissions: DataFrame, answers: DataFrame, evaluations: DataFrame, scores: list[str], min_score: float | None = None, most: int = 300, **filters
+) -> DataFrame:
+    """One row per author with the largest value of every field of the submissions and evaluations and the number of answers.
 
-    `submissions` has author_id, submission_id, status, score; `answers` has
-    submission_id and answer_id. Children are reduced to one row per author before
-    they are joined; a minimum score drops authors without a score.
+    All three children have author_id: `submissions` also status and file_url, `answers`
+    answer_id, `evaluations` the columns `scores`, of which the first is the total, and
+    suspicion; largest texts go by code point. They are siblings, so each is reduced
+    to one row per author before the join. A minimum total drops authors without one.
+    Highest cohorts first, then highest totals.
     """
-    per_submission = answers.select("submission_id", "answer_id").repartition("submission_id").distinct().groupBy("submission_id").agg(F.count("*").alias("n"))
-    per_author = (
-        submissions.join(per_submission, "submission_id", "left")
-        .groupBy("author_id")
-        .agg(F.max("status").alias("status"), F.max("score").alias("score"), F.sum(F.coalesce("n", F.lit(0))).alias("n_answers"))
-    )
-    listed = filtered_authors(authors, **filters).join(per_author, "author_id", "left")
-    if min_score is not None:
-        listed = listed.filter(F.col("score") >= min_score)
-    return listed.withColumn("n_answers", F.coalesce("n_answers", F.lit(0)).cast("long")).orderBy(F.col("score").desc_nulls_last(), "author_id").limit(most)
+    largest = lambda df, names: df.groupBy("author_id").agg(*[F.max(c).alias(c) for c in names])
+    per_answer = answers.select("author_id", "answer_id").distinct().groupBy("author_id").agg(F.count("answer_id").alias("n_answers"))
+    judged = largest(evaluations, [*scores, "suspicion"])
+    listed = filtered_authors(authors, **filters)
+    if min_score is not None:  # such authors have an evaluation
+        listed = listed.join(judged.filter(F.col(scores[0]) >= min_score), "author_id")
+    else:
+        listed = listed.join(judged, "author_id", "left")
+    listed = listed.join(largest(submissions, ["status", "file_url"]), "author_id", "left").join(per_answer, "author_id", "left")
+    order = [F.col("cohort").desc_nulls_last(), F.col(scores[0]).desc_nulls_last(), "author_id"]
+    return listed.withColumn("n_answers", F.coalesce("n_answers", F.lit(0)).cast("long")).orderBy(*order).limit(most)
+
+
+def _essays(spark: SparkSession, sf_dir: str, **arguments) -> DataFrame:
+    """Here a supplier's lines are an author's answers, and a user's events the evaluations."""
+    authors = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("cohort"), F.col("c_mktsegment").alias("student_type"),
+        F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_nationkey").cast("string")).alias("final_university"),
+    )
+    submissions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("author_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("file_url"))
+    answers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("author_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("answer_id"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("author_id"), cents("value").alias("total"), (k % 10).alias("specificity"), (k % 7).alias("authenticity"), (k % 5).alias("narrative"), (k % 3).alias("usefulness"),
+        F.col("event_type").alias("suspicion"),
+    )
+    return essays(authors, submissions, answers, events, ["total", "specificity", "authenticity", "narrative", "usefulness"], **arguments)
 
 
 def essays_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 300 best authors of one type whose best score reaches a minimum."""
-    authors = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("cohort"), F.col("c_mktsegment").alias("student_type")
-    )
-    submissions = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("author_id"), F.col("o_orderkey").alias("submission_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score")
-    )
-    answers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").alias("answer_id"))
-    return essays(authors, submissions, answers, min_score=100_000, kind="BUILDING", name="customer#")
+    """The first 300 authors by cohort and best score."""
+    return _essays(spark, sf_dir)
+
+
+def essays_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors of one cohort, type, university and name whose best score reaches a minimum."""
+    return _essays(spark, sf_dir, cohort=6, kind="BUILDING", university="ING 6", name="customer#", min_score=100)
 
 
 def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +187,21 @@ def author_qna(spark: SparkSession, sf_dir: str, author: int | None = None) -> D
     )
 
 
+def evaluations_of_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter on a language reaches the scan of the documents."""
+    return evaluations_list(spark, sf_dir, lang="fr")
+
+
+def author_qna_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return author_qna(spark, sf_dir, author=7)
+
+
+def evaluations_null_as_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 documents by quality, a missing one counting as 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.select("doc_id", "quality").orderBy(F.coalesce("quality", F.lit(0)).desc(), "doc_id").limit(50)
+
+
 def articles(existing: DataFrame, candidates: DataFrame, most: int = 100) -> DataFrame:
     """All articles if there are any, else the `most` best candidates; decided inside the plan, by an anti join with one row at most."""
     any_ = F.broadcast(existing.select(F.lit(1).alias("_any")).limit(1))
@@ -222,6 +256,10 @@ QUERIES = {
     "totals_row": totals_row,
     "dashboard_join": dashboard_join,
     "essays_list": essays_list,
+    "essays_filtered": essays_filtered,
+    "evaluations_of_language": evaluations_of_language,
+    "evaluations_null_as_zero": evaluations_null_as_zero,
+    "author_qna_of_one": author_qna_of_one,
     "filter_options": filter_options,
     "evaluations_list": evaluations_list,
     "author_qna": author_qna,
@@ -244,6 +282,15 @@ _FEES = """
     SELECT c_nationkey AS cohort, CAST(COALESCE(SUM(CAST(round(c_acctbal * 100) AS BIGINT)), 0) AS BIGINT) AS fee,
            COUNT(CASE WHEN c_acctbal > 0 THEN 1 END) AS n_paid
     FROM customer GROUP BY c_nationkey"""
+#: The star of three siblings as one join, so every maximum and count runs over the multiplied rows.
+_ESSAYS = """
+    SELECT c_custkey AS author_id, c_name AS name, c_nationkey AS cohort, c_mktsegment AS student_type, c_mktsegment || ' ' || c_nationkey AS final_university,
+           MAX(o_orderstatus) AS status, MAX(o_orderpriority) AS file_url, COUNT(DISTINCT l_orderkey * 10 + l_linenumber) AS n_answers,
+           MAX(CAST(round(value * 100) AS BIGINT)) AS total, MAX(CAST(props->>'$.k' AS INTEGER) % 10) AS specificity, MAX(CAST(props->>'$.k' AS INTEGER) % 7) AS authenticity,
+           MAX(CAST(props->>'$.k' AS INTEGER) % 5) AS narrative, MAX(CAST(props->>'$.k' AS INTEGER) % 3) AS usefulness, MAX(event_type) AS suspicion
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_suppkey = c_custkey LEFT JOIN events ON user_id = c_custkey
+    WHERE {where} GROUP BY c_custkey, c_name, c_nationkey, c_mktsegment HAVING {having}
+    ORDER BY cohort DESC NULLS LAST, total DESC NULLS LAST, author_id LIMIT 300"""
 _CANDIDATES = """
     SELECT CAST(NULL AS BIGINT) AS id, c_custkey AS author_id, c_name AS name, 'draft' AS article_status,
            MAX(CAST(round(o_totalprice * 100) AS BIGINT)) AS score
@@ -262,12 +309,18 @@ ORACLES = {
     "dashboard_join": f"""
         SELECT cohort, n_authors, n_answers, COALESCE(fee, 0) AS fee, CAST(SUM(fee) OVER () AS BIGINT) AS fee_of_all
         FROM ({_COHORTS}) c LEFT JOIN ({_FEES}) f USING (cohort)""",
-    "essays_list": """
-        SELECT c_custkey AS author_id, c_name AS name, c_nationkey AS cohort, c_mktsegment AS student_type, MAX(o_orderstatus) AS status,
-               MAX(o_totalprice) AS score, COUNT(DISTINCT l_orderkey * 10 + l_linenumber) AS n_answers
-        FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey
-        WHERE c_mktsegment = 'BUILDING' AND c_name ILIKE '%customer#%'
-        GROUP BY ALL HAVING MAX(o_totalprice) >= 100000 ORDER BY score DESC NULLS LAST, author_id LIMIT 300""",
+    "essays_list": _ESSAYS.format(where="TRUE", having="TRUE"),
+    "essays_filtered": _ESSAYS.format(
+        where="c_nationkey = 6 AND c_mktsegment = 'BUILDING' AND c_mktsegment || ' ' || c_nationkey ILIKE '%ING 6%' AND c_name ILIKE '%customer#%'",
+        having="MAX(CAST(round(value * 100) AS BIGINT)) >= 100",
+    ),
+    "evaluations_of_language": """
+        SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE lang = 'fr'
+        ORDER BY quality DESC NULLS LAST, n_chars DESC NULLS LAST, doc_id LIMIT 500""",
+    "evaluations_null_as_zero": "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY COALESCE(quality, 0) DESC, doc_id LIMIT 50",
+    "author_qna_of_one": """
+        SELECT o_custkey, l_orderkey, l_linenumber, p_name AS question, p_type AS category, l_quantity AS answer
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey = 7""",
     "filter_options": "SELECT DISTINCT c_nationkey AS cohort, c_mktsegment AS student_type FROM customer ORDER BY ALL",
     "evaluations_list": """
         SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)

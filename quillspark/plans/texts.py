@@ -46,20 +46,57 @@ def segment_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.segments(turns, "conv_id", marks).select("conv_id", "segment", "key", "header", "body")
 
 
+#: Lines of manuscripts, chosen by a number of the data: sections, questions of both templates, guides that look like questions, body.
+LINES = ("A. 시기별 질문", "A1. first one", "plain", "[1-2] bracketed", " B. 주제별 질문 ", "B12. 둘째", "[3-1]과 같은 guide", "", "[4] alone", "C. no question here", "more", "A.질문", "[5-1]", "B3.tight")
+
+
+def _manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manuscript per user, one line per event."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    line = F.element_at(F.array(*[F.lit(x) for x in LINES]), k % len(LINES) + 1)
+    line = F.when(line.isin("plain", "more"), F.concat(line, F.lit(" "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))).otherwise(line)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), line.alias("line"))
+
+
 def manuscript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lettered manuscripts, one per customer: section lines name the category of the questions after them."""
-    c = table(spark, sf_dir, "customer")
-    lines = F.array(F.col("c_name"), F.lit("A. 시기 질문"), F.lit("dropped"), F.lit("A1. first"), F.col("c_mktsegment"), F.lit(""), F.lit("end"), F.lit("B. 주제별 질문"), F.lit("B2. second"), F.col("c_name"))
-    rows = c.select(F.col("c_custkey").alias("doc"), F.posexplode(lines).alias("pos", "line"))
-    return T.segments(rows, "doc", T.markers(F.col("line"), lettered=True))
+    """Lettered manuscripts: section lines name the category of the questions after them."""
+    return T.segments(_manuscripts(spark, sf_dir), "doc", T.markers(F.col("line"), lettered=True))
+
+
+def manuscript_segments_bracketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manuscripts with [n] and [n-m] questions."""
+    return T.segments(_manuscripts(spark, sf_dir), "doc", T.markers(F.col("line"), lettered=False))
+
+
+#: Lines of an identity block, chosen by a number of the data.
+FIELDS = ("이름", "", "* remark", "나이", "value", "소속 관&반", "", "other", "최종대학", "* note", "이름", "no label")
 
 
 def identity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields after known labels: blank lines, remarks and other labels do not count as values."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    line = F.element_at(F.array(*[F.lit(x) for x in FIELDS]), k % len(FIELDS) + 1)
+    line = F.when(line.isin("value", "other"), F.concat(line, F.lit(" "), F.col("event_id").cast("string"))).otherwise(line)
+    return T.identity(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), line.alias("line")), "doc")
+
+
+def boilerplate_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default share: a guide line in a third of the documents is boilerplate, one in a fifth is not."""
+    guide = lambda n, text: F.when(F.col("doc_id") % n == 0, F.lit(text))
+    lines = F.array_compact(F.array(guide(3, "가이드 하나"), guide(5, " second guide "), F.col("source"), guide(4, "quarter"), guide(2, "")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(lines).alias("pos", "line"))
+    return T.boilerplate(rows, "lang", "doc_id", "line")
+
+
+def html_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of tables: cells, headers and rows end a line."""
     c = table(spark, sf_dir, "customer")
-    lines = F.array(F.lit("이름"), F.lit(""), F.col("c_name"), F.lit("나이"), F.lit("* remark"), F.lit("소속 관&반"), F.col("c_mktsegment"), F.lit("최종대학"), F.lit(""), F.lit(""), F.lit(""), F.lit("late"), F.lit("이름"), F.lit("second"))
-    rows = c.select(F.col("c_custkey").alias("doc"), F.posexplode(lines).alias("pos", "line"))
-    return T.identity(rows, "doc")
+    page = F.concat(
+        F.lit("<html><STYLE>td{}</style><body class='x'><table border=1><tr><th>name</th><td>"), F.col("c_name"), F.lit("</td><TD>a&#13;b &lt;"), F.col("c_mktsegment"),
+        F.lit("&gt;&copy;</TD></tr></table>after<h2>"), F.col("c_nationkey").cast("string"), F.lit("</h2><p>x<br>x</body></html>"),
+    )
+    lines = T.consecutive_distinct(T.text_lines(T.html_to_text(page)))
+    return c.select("c_custkey", F.array_join(lines, "|").alias("lines"))
 
 
 def consecutive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +143,7 @@ def score_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    html_to_text, boilerplate_lines, strip_boilerplate, segment_turns, manuscript_segments, identity_lookup, consecutive_dedup, scored_replies, scoring_jobs,
+    html_to_text, html_table_text, boilerplate_lines, boilerplate_quarter, strip_boilerplate, segment_turns, manuscript_segments, manuscript_segments_bracketed, identity_lookup, consecutive_dedup, scored_replies, scoring_jobs,
     json_flatten, score_columns,
 )}
 
@@ -116,12 +153,31 @@ _COMMON = f"""
     JOIN (SELECT lang, COUNT(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) USING (lang) WHERE c >= greatest(3, floor(n * {RATIO}::DOUBLE))"""
 _DISTINCT = "list_filter({0}, lambda x, i: x <> '' AND (i = 1 OR x <> {0}[i - 1]))"
 
+
+def _segments_sql(key: str, section: str) -> str:
+    """Gathering of lines under markers, for expressions of a line's question key and section."""
+    listed = ", ".join(f"'{x}'" for x in LINES)
+    return rf"""
+        WITH e AS (
+            SELECT user_id AS doc, event_id AS pos, CASE WHEN l IN ('plain', 'more') THEN l || ' ' || event_type || ' ' || event_id ELSE l END AS line
+            FROM (SELECT *, ([{listed}])[CAST(props->>'$.k' AS INTEGER) % {len(LINES)} + 1] AS l FROM events)),
+        m AS (SELECT *, nullif({key}, '') AS key FROM e),
+        s AS (SELECT *, CASE WHEN key IS NULL THEN nullif({section}, '') END AS part FROM m),
+        r AS (
+            SELECT *, SUM(CASE WHEN key IS NOT NULL OR part IS NOT NULL THEN 1 ELSE 0 END) OVER w AS segment, LAST_VALUE(part IGNORE NULLS) OVER w AS named
+            FROM s WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING))
+        SELECT doc, CAST(segment AS BIGINT) AS segment, MAX(key) AS key, MAX(CASE WHEN key IS NOT NULL THEN trim(line) END) AS header,
+               MAX(CASE WHEN key IS NOT NULL THEN named END) AS section,
+               trim(COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (key IS NULL AND part IS NULL), ''), E' \t\n') AS body
+        FROM r GROUP BY doc, segment HAVING MAX(key) IS NOT NULL"""
+
+
 ORACLES = {
     "html_to_text": rf"""
-        WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<style[^>]*>.*?</style>', '', 'g') AS t FROM pages),
+        WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<style.*?</style>', ' ', 'g') AS t FROM pages),
         b AS (SELECT page_id, CASE WHEN regexp_matches(t, '(?i)<body') THEN regexp_replace(t, '(?is)^.*?<body[^>]*>', '') ELSE t END AS t FROM a),
-        c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(p|div|tr|br|li|h[1-6])[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM b),
-        d AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(t, '&#13;', ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&nbsp;', ' '), '&[a-zA-Z]+;', ' ', 'g') AS t FROM c),
+        c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(p|div|tr|td|th|br|li|h[1-6]|table)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM b),
+        d AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(t, '&#13;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&nbsp;', ' '), '&[a-zA-Z]+;', ' ', 'g') AS t FROM c),
         e AS (SELECT page_id, list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'))) AS l FROM d),
         f AS (SELECT page_id, {_DISTINCT.format("l")} AS l FROM e)
         SELECT page_id, array_to_string(l, chr(10)) AS text, len(l) AS n_lines FROM f""",
@@ -139,13 +195,26 @@ ORACLES = {
         SELECT conv_id, CAST(segment AS BIGINT) AS segment, MAX(CASE WHEN role = 'user' THEN 'q' || turn END) AS key, MAX(CASE WHEN role = 'user' THEN text END) AS header,
                trim(COALESCE(string_agg(text, chr(10) ORDER BY turn) FILTER (role <> 'user'), ''), E' \t\n') AS body
         FROM run WHERE segment > 0 GROUP BY conv_id, segment""",
-    "manuscript_segments": """
-        SELECT c_custkey AS doc, CAST(2 AS BIGINT) AS segment, 'A1' AS key, 'A1. first' AS header, 'A' AS section, c_mktsegment || chr(10) || chr(10) || 'end' AS body FROM customer
-        UNION ALL SELECT c_custkey, 4, 'B2', 'B2. second', 'B', c_name FROM customer""",
-    "identity_lookup": """
-        SELECT c_custkey AS doc, 'name' AS field, c_name AS value FROM customer
-        UNION ALL SELECT c_custkey, 'birth', c_mktsegment FROM customer
-        UNION ALL SELECT c_custkey, 'hall_class', c_mktsegment FROM customer""",
+    "manuscript_segments": _segments_sql(r"regexp_extract(trim(line), '^([ABC][0-9]+)\.', 1)", r"regexp_extract(trim(line), '^([ABC])\.\s*.+질문', 1)"),
+    "manuscript_segments_bracketed": _segments_sql(r"regexp_extract(trim(line), '^\[([0-9]+(-[0-9]+)?)\]\s+\S', 1)", "''"),
+    "identity_lookup": f"""
+        WITH e AS (
+            SELECT user_id AS doc, event_id AS pos, CASE WHEN l IN ('value', 'other') THEN l || ' ' || event_id ELSE l END AS line
+            FROM (SELECT *, ([{", ".join(f"'{x}'" for x in FIELDS)}])[CAST(props->>'$.k' AS INTEGER) % {len(FIELDS)} + 1] AS l FROM events)),
+        labels AS (SELECT unnest([{", ".join(f"{{'label': '{k}', 'field': '{v}'}}" for k, v in T.IDENTITY_LABELS.items())}], recursive := true)),
+        near AS (SELECT *, LEAD(line, 1) OVER w AS l1, LEAD(line, 2) OVER w AS l2, LEAD(line, 3) OVER w AS l3 FROM e WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+        found AS (
+            SELECT doc, field, pos, list_filter([l1, l2, l3], lambda x: x <> '' AND NOT starts_with(x, '*') AND x NOT IN ({", ".join(f"'{k}'" for k in T.IDENTITY_LABELS)}))[1] AS value
+            FROM near JOIN labels ON trim(line) = label)
+        SELECT doc, field, arg_min(value, pos) AS value FROM found WHERE value IS NOT NULL GROUP BY doc, field""",
+    "boilerplate_quarter": """
+        WITH l AS (
+            SELECT doc_id, lang, unnest([CASE WHEN doc_id % 3 = 0 THEN '가이드 하나' END, CASE WHEN doc_id % 5 = 0 THEN ' second guide ' END, source, CASE WHEN doc_id % 4 = 0 THEN 'quarter' END]) AS line FROM documents),
+        held AS (SELECT lang, trim(line) AS line, COUNT(DISTINCT doc_id) AS c FROM l WHERE trim(line) <> '' GROUP BY ALL),
+        n AS (SELECT lang, COUNT(*) AS n FROM documents GROUP BY lang)
+        SELECT lang, line, c FROM held JOIN n USING (lang) WHERE c >= greatest(3, CAST(floor(n * 0.25) AS BIGINT))""",
+    "html_table_text": """
+        SELECT c_custkey, 'name|' || c_name || '|a b <' || c_mktsegment || '>|after|' || c_nationkey || '|x' AS lines FROM customer""",
     "consecutive_dedup": f"""
         SELECT doc_id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS lines_md5
         FROM (SELECT doc_id, {_DISTINCT.format("s")} AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))""",

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from quillspark.functions.scalars import clean_text, normal_name
 from quillspark.functions.text import consecutive_distinct, html_to_text, text_lines
 from quillspark.sources.hwp import hwp_text
 
@@ -40,12 +41,11 @@ def _plain(xml: str) -> str:
 
 
 def hwpx_text(data: bytes) -> str:
-    """Sections in order of name; a paragraph is a line."""
+    """Sections in order of name; a run of text is a line."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = sorted(n for n in z.namelist() if re.fullmatch(r"Contents/section[0-9]+\.xml", n))
         parts = [z.read(n).decode("utf-8", "replace") for n in names]
-    runs = (re.findall(r"<hp:t(?:\s[^>]*)?>(.*?)</hp:t>|(</hp:p>)", p, re.S) for p in parts)
-    return "".join("\n" if end else _plain(t) for part in runs for t, end in part)
+    return "\n".join(_plain(t) for part in parts for t in re.findall(r"<hp:t(?:\s[^>]*)?>(.*?)</hp:t>", part, re.S))
 
 
 def docx_text(data: bytes) -> str:
@@ -81,12 +81,13 @@ def _extracted(kind: pd.Series, content: pd.Series) -> pd.Series:
 def extract(files: DataFrame) -> DataFrame:
     """path and text of listed files, by extension; unreadable files give empty text.
 
-    Web pages run through the column functions of `html_to_text` after decoding.
+    Web pages run through the column functions of `html_to_text` after decoding; every
+    text ends in `clean_text`.
     """
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     raw = files.select("path", kind.alias("kind"), _extracted(kind, F.col("content")).alias("raw"))
     page = F.array_join(consecutive_distinct(text_lines(html_to_text(F.col("raw")))), "\n")
-    return raw.select("path", F.when(F.col("kind").isin("html", "xhtml"), page).otherwise(F.col("raw")).alias("text"))
+    return raw.select("path", clean_text(F.when(F.col("kind").isin("html", "xhtml"), page).otherwise(F.col("raw"))).alias("text"))
 
 
 @pandas_udf(StringType())
@@ -99,6 +100,11 @@ def nfc(c: Column) -> Column:
     return _nfc(c)
 
 
+def composed_name(c: Column) -> Column:
+    """A person's name composed, without invisible characters and blanks, cut by `normal_name`."""
+    return normal_name(nfc(c), zero_width=True, inner_spaces=True)
+
+
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 

@@ -1,5 +1,6 @@
 """Properties of the table operators."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -40,7 +41,11 @@ def test_merge_rules(spark):
 def test_normal_form_and_columns(spark):
     old, _ = snapshot(spark)
     assert [r.name for r in delta.normalised_where_changed(old, "name", F.upper("name")).orderBy("id").collect()] == ["A", "B", None]
-    assert delta.rebuild(old, ["a", "b", "c"]).columns == ["a", "b", "c"]
+    copied, broken = delta.rebuild(old, ["a", "b", "c"], {"a": F.col("a").isNotNull(), "none": F.lit(False)})
+    assert copied.columns == ["a", "b", "c"] and {r.rule: r.n for r in broken.collect()} == {"a": old.filter(F.col(old.columns[0]).isNull()).count(), "none": old.count()}
+    assert delta.drop_column(copied, "b").columns == ["a", "c"]
+    with pytest.raises(KeyError):
+        delta.drop_column(copied, "z")
     assert delta.add_column(old, "fee", F.lit(0)).filter("fee = 0").count() == 3
     facts, dimension = delta.split_dimension(old, ["name"], "n")
     assert dimension.count() == 3 and facts.columns == ["id", "univ", "n_id"]
@@ -59,7 +64,7 @@ def test_matches_partition_the_rows(spark):
     given = spark.createDataFrame([(10, "a", "1"), (11, "a", ""), (12, "b", "3"), (13, "c", "9"), (14, "d", "1"), (15, None, None)], "row_id int, name string, phone string")
     got = {r.row_id: (r.person_id, r.how) for r in match.by_name_and_phone(given, people).collect()}
     assert got == {10: (1, "phone"), 11: (None, "ambiguous"), 12: (4, "phone"), 13: (5, "name"), 14: (None, "new"), 15: (None, "new")}
-    narrow = {r.row_id: (r.person_id, r.how) for r in match.narrowed(given.select("row_id", "name", F.col("phone").alias("p")), people, F.col("p") == F.col("phone")).collect()}
+    narrow = {r.row_id: (r.person_id, r.how) for r in match.narrowed(given.select("row_id", "name", F.col("phone").alias("p")), people, F.col("p") == F.col("phone"), ["p"], ["phone"]).collect()}
     assert narrow[10] == (1, "narrowed") and narrow[11][1] == "ambiguous" and narrow[13] == (5, "matched") and narrow[14][1] == "unmatched"
 
 
