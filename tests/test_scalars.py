@@ -80,3 +80,18 @@ def test_ids_are_stable(spark, values):
     first, second = (column(spark, lambda c: S.stable_id("x", c), values) for _ in range(2))
     assert first == second and all(re.fullmatch("x_[0-9a-f]{16}", v) for v in first)
     assert len(set(first)) == len(set(values))
+
+
+def test_very_long_cells(spark):
+    """Runs, groups and blanks of 100,000 characters, at the end of a name and inside it, take linear time and no stack."""
+    n = 100_000
+    values = ["김" + "a" * n, "김" + "(b)" * n, "a" * n + "김", "(" * n + ")김", "김" + " a(x)" * n, "b" * n, "(" * n, "김" + " " * n + "철 " + "\t" * n, ")" * n]
+    assert column(spark, S.normal_name, values) == [loop(v) if v.count("(") < 9 and len(v) < 2 * n else w for v, w in zip(values, ["김", "김", "a" * n + "김", "(" * n + ")김", "김", "", "(" * n, "김" + " " * n + "철", ")" * n])]
+    assert column(spark, S.clean_text, ["x" + " " * n + "y" + " " * n + "\n" * n + "z\x7f"]) == ["x" + " " * n + "y\n\nz\x7f"]
+
+
+def test_small_cells(spark):
+    assert column(spark, S.answer_text, [" a ", " \n", None]) == ["a", "(답변 없음)", "(답변 없음)"]
+    assert column(spark, S.parameter_number, ["7", " 8 ", "", "x", None]) == [7, 8, None, None, None]
+    assert column(spark, S.student_type_of, ["성적향상자", "우수", None]) == ["성적향상", "성적우수", "성적우수"]
+    assert column(spark, S.needs_normalising, ["김A", "김(", "김철수"]) == [True, True, False]
