@@ -86,7 +86,8 @@ def test_very_long_cells(spark):
     """Runs, groups and blanks of 100,000 characters, at the end of a name and inside it, take linear time and no stack."""
     n = 100_000
     values = ["김" + "a" * n, "김" + "(b)" * n, "a" * n + "김", "(" * n + ")김", "김" + " a(x)" * n, "b" * n, "(" * n, "김" + " " * n + "철 " + "\t" * n, ")" * n]
-    assert column(spark, S.normal_name, values) == [loop(v) if v.count("(") < 9 and len(v) < 2 * n else w for v, w in zip(values, ["김", "김", "a" * n + "김", "(" * n + ")김", "김", "", "(" * n, "김" + " " * n + "철", ")" * n])]
+    want = ["김", "김", "a" * n + "김", "(" * n + ")김", "김", "", "(" * n, "김" + " " * n + "철", ")" * n]
+    assert column(spark, S.normal_name, values) == want
     assert column(spark, S.clean_text, ["x" + " " * n + "y" + " " * n + "\n" * n + "z\x7f"]) == ["x" + " " * n + "y\n\nz\x7f"]
 
 
