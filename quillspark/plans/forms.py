@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars as S
 from quillspark.operators import dedup, match, sheets
+from quillspark.operators.order import placed
 from quillspark.plans.reports import cents
 from quillspark.sources.tables import table
 
@@ -89,10 +90,10 @@ def mode_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def natural_sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct keys with their place in natural order (letters, then number); the window spans the keys alone."""
+    """Distinct keys with their place in natural order (letters, then number)."""
     keys = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key")).distinct()
     letters, number = F.regexp_extract("key", "^([A-Za-z]+)", 1), F.regexp_extract("key", "([0-9]+)$", 1).try_cast("int")
-    return keys.withColumn("place", F.row_number().over(Window.orderBy(letters, F.coalesce(number, F.lit(0)), "key")))
+    return placed(keys, [letters, F.coalesce(number, F.lit(0)), F.col("key")])
 
 
 def name_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

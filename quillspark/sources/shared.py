@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 _own: list[str] = []
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,5 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A folder below the shared one that nobody else writes to."""
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    """A folder below the shared one that nobody else writes to; it goes at the end of the process."""
+    _delete_at_exit(spark)
+    _paths.append(f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, if the session still runs."""
+    if spark.sparkContext._jsc is None:
+        return
+    for item in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(item)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gone = set(paths)
+    _paths[:] = [x for x in _paths if x not in gone]
+
+
+@functools.cache
+def _delete_at_exit(spark: SparkSession) -> None:
+    atexit.register(lambda: delete_paths(spark, list(_paths)))
