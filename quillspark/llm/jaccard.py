@@ -123,13 +123,17 @@ def _describe(n: int, rows: int, bands: int):
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label): every node of `edges` (src, dst) with the lowest node that it is connected to.
+    """(node, label): every node of `edges` (src, dst) with the lowest node that it is connected to. A node has a bounded number of edges as src.
 
     Each round lowers labels to the least among neighbours, then follows the label
     of the label, so paths shorten by half; the driver sees one count a round.
     Every round is a written table: a lost executor costs no more than that round.
     """
-    both = staged(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{name}-edges")
+    # A node's targets hang on the lowest of them instead of on the node, so that nodes with the same targets share those edges.
+    low = edges.groupBy("src").agg(F.min("dst").alias("low"), F.collect_set("dst").alias("all"))
+    others = low.filter(F.size("all") > 1).select(F.col("low").alias("src"), F.explode("all").alias("dst")).filter("src <> dst").distinct()
+    fewer = staged(low.select("src", F.col("low").alias("dst")).unionByName(others), f"{name}-fewer")
+    both = staged(fewer.union(fewer.select("dst", "src")).distinct(), f"{name}-edges")
     labels = staged(both.groupBy(F.col("src").alias("node")).agg(F.least("node", F.min("dst")).alias("label")), f"{name}-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
@@ -260,16 +264,18 @@ def _routes(candidate: DataFrame, banded: DataFrame, sizes: DataFrame, threshold
     block = F.when(F.col("large"), F.col("class") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("n_blocks"))).otherwise(F.lit(0))
     placed = staged(sized.join(cut, ["label", "class"]).select("node", "label", "large", block.cast("long").alias("block")), "jaccard-placed")
 
-    inside = banded.join(placed.filter("large").drop("large"), "node")
-    there = inside.groupBy("band", F.col("block").alias("other")).agg(F.count("*").alias("n"))
+    # Each bucket lists its blocks once; a representative gathers the different lists of its buckets, whose members it never meets one by one.
+    inside = staged(banded.join(placed.filter("large").drop("large"), "node"), "jaccard-inside")
+    there = inside.groupBy("band", "block").agg((F.count("*") > 1).alias("more")).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("block", "more"))).alias("blocks"))
+    met = inside.join(there, "band").groupBy("node", "label", "block").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
     class_of = lambda c: F.shiftright(c, 32)
-    met = inside.join(there, "band").filter((F.abs(class_of(F.col("block")) - class_of(F.col("other"))) <= 1) & ((F.col("block") != F.col("other")) | (F.col("n") > 1)))
+    own = F.col("block")
+    wanted = F.filter("blocks", lambda x: (F.abs(class_of(x.block) - class_of(own)) <= 1) & ((x.block != own) | x.more))
     # A block meets itself in the group (block, block) and another block in (low, high).
-    group = F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other"))
-    far = met.select("node", "label", "block", "other").distinct()
-    near = placed.filter("NOT large").select("node", "label", "block", F.col("block").alias("other"))
-    to = near.unionByName(far).select("node", F.struct(group.alias("group"), (F.col("block") == F.col("other")).alias("same"), "block").alias("route"))
-    return to.groupBy("node").agg(F.collect_list("route").alias("routes"))
+    route = lambda other: F.struct(F.xxhash64("label", F.least(own, other), F.greatest(own, other)).alias("group"), (other == own).alias("same"), own.alias("block"))
+    far = met.select("node", F.array_distinct(F.transform(wanted, lambda x: route(x.block))).alias("routes"))
+    near = placed.filter("NOT large").select("node", F.array(route(own)).alias("routes"))
+    return near.unionByName(far)
 
 
 def _linked(
