@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import contextvars
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,29 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import delete_paths, fresh_path
+
 #: White space of the word definition `[^\x20\x09-\x0D]+`, as bytes and as a Java class.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
 #: Tables that live until release() or the end of the process; in a scope its own list stands here instead.
 _lasting: list[str] = []
 _scope: contextvars.ContextVar[list[str]] = contextvars.ContextVar("quillspark_scope", default=_lasting)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode without it."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="quillspark-"))
-    return _own_dir[0]
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -45,10 +31,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     the innermost scratch() around the call, else it lasts until release() or the end of the process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    if not _lasting:
-        atexit.register(release, spark)
     _scope.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -73,20 +57,12 @@ def scratch(spark: SparkSession):
     finally:
         _scope.reset(token)
         outer.extend(kept)
-        _delete(spark, own)
-
-
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    for item in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(item)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_paths(spark, own)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that results of this process read; their DataFrames can no longer be evaluated."""
-    _delete(spark, _lasting)
+    delete_paths(spark, _lasting)
     _lasting.clear()
 
 
