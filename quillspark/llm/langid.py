@@ -124,7 +124,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return train([])
     each = max(1, min(rows_per_lang, most_rows // len(counts)))
     bounds = labelled.sparkSession.createDataFrame([(r["lang"], key_bound(each, r["n"], r["first"])) for r in counts], "lang string, bound long")
-    taken = rows.join(bounds, "lang").filter("order_key <= bound").select("order_key", "lang", "text")
+    # One row per language, all of which the driver has just seen.
+    taken = rows.join(F.broadcast(bounds), "lang").filter("order_key <= bound").select("order_key", "lang", "text")
     made = taken.mapInArrow(_sampled, "order_key long, lang string, slots binary, counts binary").collect()
     made.sort(key=lambda r: (r["order_key"], bytes(r["slots"]), bytes(r["counts"]), r["lang"]))
     return train([(r["lang"], np.frombuffer(r["slots"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32)) for r in made])
