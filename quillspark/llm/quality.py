@@ -113,15 +113,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     )
     classes = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("order_key").alias("first")).collect()
     count = sum(r["n"] for r in classes)
-    wanted = F.lit(False)
+    wanted = first = F.lit(False)
     for r in classes:
         wanted = wanted | ((F.col("label") == r["label"]) & (F.col("order_key") <= key_bound(most_rows, count, r["first"])))
+        first = first | ((F.col("label") == r["label"]) & (F.col("order_key") == r["first"]))
     made = rows.filter(wanted).mapInArrow(_featured, "order_key long, label int, slots binary, values binary")
     # The sample has a bounded number of rows, so one task can put it in order.
     size = F.octet_length("slots") + F.octet_length("values")
-    kept = made.withColumn("first", F.row_number().over(Window.partitionBy("label").orderBy("order_key", "slots")) == 1)
     in_order = Window.orderBy(F.col("first").desc(), "order_key", "slots").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sample = kept.withColumn("so_far", F.sum(size).over(in_order)).filter((F.col("so_far") <= most_bytes) | F.col("first")).collect()
+    sample = made.withColumn("first", first).withColumn("so_far", F.sum(size).over(in_order)).filter((F.col("so_far") <= most_bytes) | F.col("first")).collect()
     sample.sort(key=lambda r: (r["order_key"], bytes(r["slots"]), r["label"]))
     return train([(r["label"], np.frombuffer(r["slots"], np.uint32).astype(np.int64), np.frombuffer(r["values"], np.float32).astype(float)) for r in sample])
 
