@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import audio, htmltext, jaccard, langid, mixing, packing, pii, quality, quotes, rules
+from quillspark.llm import audio, htmltext, jaccard, langid, lexical, licences, mixing, packing, pii, quality, quotes, rules, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,32 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.sonify(_documents(spark, sf_dir))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered licence templates of every document."""
+    found = licences.scan(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding, with the exact deviation and the error of the whitening."""
+    rows, model, error = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]).cast("array<double>")
+    return rows.select("id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        F.col("id").alias("vec_id"),
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -78,6 +104,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_media_columns": op10_media_columns,
+    "op11_license_scans": op11_license_scans,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for ws in rules.STOP_WORDS.values() for w in ws}))
@@ -163,7 +192,28 @@ QUOTES_SQL = r"""
     FROM own o LEFT JOIN bare b USING (rid) LEFT JOIN parents p USING (conv_id, turn) LEFT JOIN placed USING (conv_id, turn)
     LEFT JOIN roots r USING (conv_id, turn) LEFT JOIN counted c USING (rid)"""
 
+#: The letters that are lower-cased, and the runs that are terms.
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH_SQL = f"""
+    WITH words AS (SELECT rid, doc_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS rid, * FROM documents)),
+    asked AS (
+        SELECT item, item_id, term, COUNT(*) AS times
+        FROM (SELECT item, item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS item, * FROM benchmark)) GROUP BY ALL),
+    lengths AS (SELECT rid, doc_id, COUNT(*) AS n FROM words GROUP BY ALL),
+    totals AS (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS l FROM lengths),
+    found AS (SELECT rid, term, COUNT(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM found, totals GROUP BY term, docs),
+    impacts AS (
+        SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // l))) AS impact
+        FROM found JOIN lengths USING (rid) JOIN weights USING (term), totals),
+    scored AS (SELECT item, item_id, rid, doc_id, CAST(SUM(times * impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING SUM(times * impact) > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored) WHERE rank <= 10"""
+
 ORACLES = {
+    "op13_ranked_lexical_search": SEARCH_SQL,
     "op9_chat_formatting": QUOTES_SQL,
     "op7_quality_rules": f"""{RULES_SQL}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
