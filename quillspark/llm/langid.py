@@ -112,14 +112,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Centroids from a bounded sample of rows with a language: those with the lowest hashed ids, whole texts.
 
     About `rows_per_lang` rows of each language, fewer where there are so many
-    languages that this would exceed `most_rows` in all, but one row at least of every
-    language; a row is 6 * SLOTS bytes (48 KB) at most, so the driver holds 400 MB at most
-    and usually a fifth of it. The driver sees one count per language.
+    languages that this would exceed `most_rows` in all. Of more than `most_rows` languages
+    the most frequent are learned, equal counts by name: the sample has one row of each, and rarer values belong to no
+    centroid. A row is 6 * SLOTS bytes (48 KB) at most, so the driver holds 400 MB at most
+    and usually a fifth of it, with `most_rows` counts at most.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(
         sample_key("lang", id_col).alias("order_key"), F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col).cast("string")).alias("text")
     )
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("order_key").alias("first")).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("order_key").alias("first")).orderBy(F.desc("n"), "lang").limit(most_rows).collect()
     if not counts:
         return train([])
     each = max(1, min(rows_per_lang, most_rows // len(counts)))

@@ -14,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import held_out, key_bound, mix, run_hashes, sample_key, text_slices
+from quillspark.llm.common import held_out, key_bound, mix, run_hashes, sample_key, scratch, staged, text_slices
 
 SLOTS = 1 << 20
 #: Values are relative frequencies times this.
 SCALE = 16.0
+#: Ranges of the sample's keys whose sizes decide how much of it is taken.
+RANGES = 1000
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -99,13 +101,23 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*head, *[pa.array(x, pa.binary()) for x in made]], ["order_key", "label", "slots", "values"])
 
 
+def _ranges_within(sizes: dict[int, int], most_bytes: int) -> int:
+    """The first range of keys that, with all before it, exceeds most_bytes; RANGES + 1 if none does."""
+    total = 0
+    for at in sorted(sizes):
+        total += sizes[at]
+        if total > most_bytes:
+            return at
+    return RANGES + 1
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most_rows: int = 6000, most_bytes: int = 256 << 20) -> tuple[np.ndarray, float]:
     """Weights and bias from rows with a label of 0 or 1.
 
     The sample is bounded: about `most_rows` rows with the lowest hashed ids, whole
-    texts, of each label one at least, and of these in hash order as many as have
-    `most_bytes` of sparse features. Those features come to the driver, where the
-    sequential fit runs. Null labels are left out; several labels of one document are
+    texts, of each label one at least, and of these in hash order as many whole ranges of
+    hashes (RANGES in all) as have `most_bytes` of sparse features. Those features come to the driver, where the
+    sequential fit runs; no other task sees more of them than its own share of the sample. Null labels are left out; several labels of one document are
     as many rows. Without labels every weight is 0 and scores are 0.5.
     """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
@@ -117,11 +129,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     for r in classes:
         wanted = wanted | ((F.col("label") == r["label"]) & (F.col("order_key") <= key_bound(most_rows, count, r["first"])))
         first = first | ((F.col("label") == r["label"]) & (F.col("order_key") == r["first"]))
-    made = rows.filter(wanted).mapInArrow(_featured, "order_key long, label int, slots binary, values binary")
-    # The sample has a bounded number of rows, so one task can put it in order.
+    if not classes:
+        return train([])
     size = F.octet_length("slots") + F.octet_length("values")
-    in_order = Window.orderBy(F.col("first").desc(), "order_key", "slots").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sample = made.withColumn("first", first).withColumn("so_far", F.sum(size).over(in_order)).filter((F.col("so_far") <= most_bytes) | F.col("first")).collect()
+    share = F.least(F.expr(f"order_key div {max(1, key_bound(most_rows, count) // RANGES)}"), F.lit(RANGES))
+    with scratch(labelled.sparkSession):
+        made = staged(rows.filter(wanted).mapInArrow(_featured, "order_key long, label int, slots binary, values binary"), "quality-sample")
+        sizes = made.groupBy(share.alias("range")).agg(F.sum(size).alias("size")).collect()
+        sample = made.filter((share < _ranges_within({r["range"]: r["size"] for r in sizes}, most_bytes)) | first).collect()
     sample.sort(key=lambda r: (r["order_key"], bytes(r["slots"]), r["label"]))
     return train([(r["label"], np.frombuffer(r["slots"], np.uint32).astype(np.int64), np.frombuffer(r["values"], np.float32).astype(float)) for r in sample])
 

@@ -27,10 +27,6 @@ STOP_WORDS = {
 }
 
 
-#: Texts below this many words sort their windows with the position in the low bits of the hash.
-POSITIONS = 1 << 20
-
-
 class Rule(NamedTuple):
     """numerator / denominator must lie in [least, most], each a fraction (above, below) or None.
 
@@ -74,13 +70,17 @@ def _chars(text: Column, dropped: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, dropped, ""))).cast("long")
 
 
+def _window_hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`document` (a struct of all columns of `docs`) and the counts that the rules read; null text is empty.
 
     n_repeat_words needs the words inside 3-word windows that occur twice or more.
-    Each window is one 64-bit hash. A text whose windows all differ stops there; else
-    the windows are sorted as (44 hash bits, position) and neighbours that agree
-    in all 64 bits mark their positions. From 2**20 words on, whole hashes are sorted.
+    Each window has a 64-bit hash, and a text whose hashes all differ stops there. Else
+    its windows are sorted by hash, words and position, so that equal windows are
+    neighbours whatever their hashes; neighbours with the same words mark their positions.
     """
     stops = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws})])
     t = F.col("t")
@@ -90,27 +90,20 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES)))
         .withColumn("n", F.size("words"))
     )
-    window = lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(3)])
-    windowed = base.withColumn(
-        "tri", F.when(F.col("n") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 3), window))
-    ).withColumn("lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
-    low = POSITIONS - 1
-    small = F.col("n") <= low
-    keys = F.sort_array(F.transform("tri", lambda h, i: F.shiftleft(F.shiftright(h, 20), 20).bitwiseOR(i.cast("long"))))
-    wide = F.sort_array(F.transform("tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    repeats = F.size(F.array_distinct("tri")) < F.size("tri")
-    keyed = windowed.withColumn("keys", F.when(repeats & small, keys)).withColumn("wide", F.when(repeats & ~small, wide))
-
-    none = F.array().cast("array<int>")
-    at = lambda x: x.bitwiseAND(F.lit((1 << 20) - 1).cast("long")).cast("int")
-    same = lambda a, b: F.when(
-        (F.shiftright(a, 20) == F.shiftright(b, 20)) & (F.get(F.col("tri"), at(a)) == F.get(F.col("tri"), at(b))), F.array(at(a), at(b))
-    ).otherwise(none)
-    pairs = lambda c, f: F.flatten(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), f))
-    marked = F.when(F.col("keys").isNotNull(), pairs(F.col("keys"), same)).when(
-        F.col("wide").isNotNull(), pairs(F.col("wide"), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(none))
+    word = lambda i: F.get(F.col("words"), i)
+    hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: _window_hash(word(i), word(i + 1), word(i + 2)))
+    hashed = base.withColumn("tri", F.when(F.col("n") < 3, F.array().cast("array<bigint>")).otherwise(hashes)).withColumn(
+        "lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(marked), lambda i: F.array(i, i + 1, i + 2)))))
+    windows = F.transform("tri", lambda h, i: F.struct(h.alias("h"), word(i).alias("a"), word(i + 1).alias("b"), word(i + 2).alias("c"), i.alias("i")))
+    sorted_ = hashed.withColumn("windows", F.when(F.size(F.array_distinct("tri")) < F.size("tri"), F.sort_array(windows)))
+    same = lambda x, y: (x.h == y.h) & (x.a == y.a) & (x.b == y.b) & (x.c == y.c)
+    next_ = F.slice("windows", F.lit(2), F.size("windows"))
+    pairs = F.zip_with(F.slice("windows", F.lit(1), F.size("windows") - 1), next_, lambda x, y: F.when(same(x, y), F.array(x.i, y.i)))
+    marked = sorted_.withColumn("marked", F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs)))))
+    # Each marked window covers three words, less those that the next one covers too.
+    own = F.transform("marked", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("marked"), k + 1) - p, F.lit(3))))
+    covered = F.aggregate(own, F.lit(0), lambda total, x: total + x)
     long = lambda c, name: c.cast("long").alias(name)
     found = F.struct(
         long(F.col("n"), "n_words"),
@@ -124,7 +117,7 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         long(F.size(F.array_intersect("words", stops)), "n_stop_words"),
     )
     # One generated row per document: conditions on a count stand above it, so that the arrays are made once and not again for each condition.
-    return keyed.select("document", F.inline(F.array(found)))
+    return marked.select("document", F.inline(F.array(found)))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -140,5 +133,8 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of `docs` that the threshold table keeps, with all their columns."""
+    """The rows of `docs` that the threshold table keeps, with all their columns, whatever their names.
+
+    Null, empty and short texts go; repeated rows are judged alike and all stay or all go; an empty table gives no rows.
+    """
     return apply_rules(docs, text_col, rules).filter("kept").select("document.*")

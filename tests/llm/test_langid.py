@@ -111,6 +111,8 @@ def test_many_languages_and_ties(spark):
     rows = [(i * 10 + k, " ".join("".join(rng.choices(a, k=6)) for _ in range(20)), f"l{i:03}") for i, a in enumerate(alphabets) for k in range(4)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=600)
     assert set(model.langs) == {f"l{i:03}" for i in range(300)} and len(model.langs) <= 1200
+    few = langid.fit(spark.createDataFrame(rows + [(9000 + k, rows[40][1], "l010") for k in range(3)] + [(9100, rows[1000][1], "l250")], "doc_id long, text string, lang string"), most_rows=20)
+    assert set(few.langs) == {"l010", "l250", *[f"l{i:03}" for i in range(19) if i != 10]}
     same = [(i, "one and the same text for both", lang) for i, lang in enumerate(["b", "a", "c"])]
     tied = langid.fit(spark.createDataFrame(same, "doc_id long, text string, lang string"))
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame(same, "doc_id long, text string, lang string"), tied).collect()} == {"a"}

@@ -119,6 +119,12 @@ def test_bounded_sample_keeps_every_label(spark):
     assert 0 < np.count_nonzero(small) < np.count_nonzero(weights)
 
 
+def test_bounded_bytes_of_large_texts():
+    assert quality._ranges_within({0: 5, 1: 5, 9: 5}, 12) == 9
+    assert quality._ranges_within({3: 5, 1: 5}, 10) == quality.RANGES + 1
+    assert quality._ranges_within({7: 50, 8: 1}, 10) == 7 and quality._ranges_within({}, 1) == quality.RANGES + 1
+
+
 def test_two_labels_of_one_document(spark):
     docs = spark.createDataFrame([(1, "good words", "x"), (3, "bad words", "x"), (4, "both", "x")], "doc_id long, text string, label string")
     labels = spark.createDataFrame([(1, 1), (3, 0), (4, 1), (4, 0)], "doc_id long, quality int")

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from conftest import DATA, assert_same
 from edge import ROWS, edge, empty
 from quillspark.llm import rules
@@ -44,16 +46,25 @@ def test_edge_rows_and_empty(spark):
     assert {r.kept for r in rules.kept_documents(edge(spark)).select("kept").collect()} <= {"x"}
 
 
-def test_texts_of_very_many_words(spark, monkeypatch):
-    """Texts beyond the short keys sort whole hashes; both ways give the same counts."""
+def test_windows_whose_hashes_agree(spark, monkeypatch):
+    """Repeats are found by the words, at every length, also where nearly all hashes collide."""
     rng = random.Random(7)
-    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 90)))) for i in range(80)]
-    docs += [(1000, " ".join(f"w{i % 700_001}" for i in range(1_100_000))), (1001, " ".join(f"w{i}" for i in range(1_060_000)))]
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 90)))) for i in range(80)]
+    docs += [(100, "w630076 x y q1 w995378 x y q2 w630076 x y q3"), (101, "w136773 x y q1 w6731918 x y q2 w136773 x y q3"), (102, " ".join(f"u{i}" for i in range(900)))]
+    docs += [(103, " ".join(f"w{i % 7001}" for i in range(11_000)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    exact = {d: brute(t)[4] for d, t in docs}
+    assert exact[100] == exact[101] == 6 and exact[102] == 0
+    assert {r.document.doc_id: r.n_repeat_words for r in rules.apply_rules(df).collect()} == exact
+    for bits in (8, 1):
+        monkeypatch.setattr(rules, "_window_hash", lambda *ws, m=(1 << bits) - 1: F.xxhash64(*ws).bitwiseAND(F.lit(m)))
+        assert {r.document.doc_id: r.n_repeat_words for r in rules.apply_rules(df).collect()} == exact
+
+
+def test_texts_of_very_many_words(spark):
+    docs = [(1000, " ".join(f"w{i % 700_001}" for i in range(1_100_000))), (1001, " ".join(f"w{i}" for i in range(1_060_000)))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    monkeypatch.setattr(rules, "POSITIONS", 8)
-    wide = {r.document.doc_id: r.n_repeat_words for r in rules.apply_rules(df).collect()}
-    monkeypatch.undo()
-    assert wide == {r.document.doc_id: r.n_repeat_words for r in rules.apply_rules(df).collect()} == {d: brute(t)[4] for d, t in docs}
+    assert {r.document.doc_id: r.n_repeat_words for r in rules.apply_rules(df).collect()} == {d: brute(t)[4] for d, t in docs}
 
 
 def test_no_user_function_runs(spark):
