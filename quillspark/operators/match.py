@@ -45,6 +45,44 @@ def narrowed(rows: DataFrame, people: DataFrame, narrow: Column, own: list[str],
     return first.alias("a").join(fitting.alias("b"), same, "left").select("row_id", person.alias("person_id"), how.alias("how"))
 
 
+def grams(value: Column, most: int) -> Column:
+    """The distinct substrings of 1 to `most` characters."""
+    starts = F.sequence(F.lit(1), F.length(value))
+    every = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.length(value) - i + 1)), lambda n: F.substring(value, i, n))))
+    return F.when(F.length(value) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def narrowed_by_prefix(rows: DataFrame, people: DataFrame, own: str, theirs: str, width: int = 4) -> DataFrame:
+    """row_id, person_id, how as from `narrowed`: among people of one name the one alone whose value holds the first `width` characters of the row's value, or the other way round.
+
+    `rows` has row_id, name and `own`; `people` has person_id, name and `theirs`; empty and null values fit nobody.
+    An index of substrings turns containment into equal keys, and no pair of a row and a person is made: people are counted
+    per (name, substring) and per (name, prefix), the people that fit in both ways per both, and a row
+    looks up its counts. Those are A + B - (A and B); a single person that fits is the least of A and B.
+    """
+    named = people.groupBy("name").agg(F.count("*").alias("n"), F.min("person_id").alias("any_one"))
+    first = rows.join(named, "name", "left")
+    head = lambda c: F.substring(c, 1, width)
+    count = [F.sum("_people").alias("k"), F.min("_least").alias("least")]
+    values = people.filter(F.col(theirs) != "").groupBy("name", F.col(theirs).alias("v")).agg(F.count("*").alias("_people"), F.min("person_id").alias("_least"))
+    # A name that many people share has many substrings; each is a key of its own.
+    holding = values.select("name", head(F.col("v")).alias("prefix"), F.explode(grams(F.col("v"), width)).alias("gram"), "_people", "_least")
+    both = holding.groupBy("name", "gram", "prefix").agg(*count)
+    by_gram = both.groupBy("name", "gram").agg(F.sum("k").alias("k"), F.min("least").alias("least"))
+    by_prefix = values.groupBy("name", head(F.col("v")).alias("prefix")).agg(*count)
+    asked = first.filter((F.col("n") > 1) & (F.col(own) != "")).select("name", F.col(own).alias("u")).distinct()
+    a = asked.select("name", "u", head(F.col("u")).alias("gram")).join(by_gram, ["name", "gram"]).select("name", "u", "k", "least")
+    parts = asked.select("name", "u", head(F.col("u")).alias("gram"), F.explode(grams(F.col("u"), width)).alias("prefix"))
+    b = parts.join(by_prefix, ["name", "prefix"]).select("name", "u", "k", "least")
+    twice = parts.join(both, ["name", "gram", "prefix"]).select("name", "u", (-F.col("k")).alias("k"), F.lit(None).cast(b.schema["least"].dataType).alias("least"))
+    fitting = a.unionByName(b).unionByName(twice).groupBy("name", "u").agg(F.sum("k").alias("fits"), F.min("least").alias("fitting")).withColumnRenamed("name", "_name")
+    found = first.join(fitting, (F.col("name") == F.col("_name")) & (F.col(own) == F.col("u")), "left")
+    n = F.coalesce("n", F.lit(0))
+    alone = (n > 1) & (F.col("fits") == 1)
+    how = F.when(n == 0, "unmatched").when(n == 1, "matched").when(alone, "narrowed").otherwise("ambiguous")
+    return found.select("row_id", F.when(n == 1, F.col("any_one")).when(alone, F.col("fitting")).alias("person_id"), how.alias("how"))
+
+
 def by_cohort(rows: DataFrame, people: DataFrame, closed: int = 5) -> DataFrame:
     """row_id, person_id, how of rows (row_id, cohort, name) by the people of their cohort.
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import changes, editing, forms, intake, reports, storage, texts
+from quillspark.plans import changes, editing, editorial, forms, intake, reports, storage, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (reports, changes, forms, texts, editing, intake, storage):
+for module in (reports, changes, forms, texts, editing, editorial, intake, storage):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

@@ -55,7 +55,7 @@ def match_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name that several people have is narrowed by the leading characters of another field."""
     people = _people(spark, sf_dir).select("person_id", "name", F.col("phone").alias("univ"))
     rows = people.select(F.col("person_id").alias("row_id"), "name", F.substring("univ", 1, 6).alias("own_univ"))
-    return match.narrowed(rows, people, S.same_university(F.col("own_univ"), F.col("univ")), ["own_univ"], ["univ"])
+    return match.narrowed_by_prefix(rows, people, "own_univ", "univ")
 
 
 def fee_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _paths: list[str] = []
@@ -46,3 +46,10 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
 @functools.cache
 def _delete_at_exit(spark: SparkSession) -> None:
     atexit.register(lambda: delete_paths(spark, list(_paths)))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written to the shared folder and read back: what follows is recomputed from there when an executor is lost."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
