@@ -154,10 +154,11 @@ def whiten(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     measured on what was written. Further columns are not read. Empty table: no rows, error 0.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    x = integer_rows(rows, "vector").select("id", "_x")
+    # Ids go as texts, since pandas would turn whole numbers beside a null into floats.
+    x = integer_rows(rows, "vector").select(F.col("id").cast("string").alias("id"), "_x")
     model = fit(x, most)
-    kind = rows.schema["id"].dataType.simpleString()
-    out = staged(x.mapInPandas(_projected(model), f"id {kind}, deviation long, whitened array<double>"), "whitened")
+    made = x.mapInPandas(_projected(model), "id string, deviation long, whitened array<double>")
+    out = staged(made.withColumn("id", F.col("id").cast(rows.schema["id"].dataType)), "whitened")
     k = len(model.values)
     if not k:
         return out, model, 0.0

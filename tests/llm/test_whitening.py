@@ -50,7 +50,7 @@ def test_query_against_plain_sums(spark):
 def test_nulls_repeats_and_lengths(spark):
     rows = [
         (1, [1.0, 2.0, 0.5], 0), (1, [1.0, 2.0, 0.5], 0), (None, [0.0, -1.0, 3.0], None), (3, None, 1), (4, [1.0, None, 2.0], 1), (5, [float("nan"), 1.0, 1.0], 1),
-        (6, [float("inf"), 1.0, 1.0], 1), (7, [2.5, 1.0], 1), (8, [], 1), (9, [-0.01, 0.7, 9.0], None),
+        (6, [float("inf"), 1.0, 1.0], 1), (7, [2.5, 1.0], 1), (2**60 + 1, [], 1), (9, [-0.01, 0.7, 9.0], None),
     ]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS id", "'x' AS _x", "'x' AS row")
     out, model, error = whitening.whiten(df)
