@@ -5,6 +5,7 @@ Each document's lines meet in one row, so the alignment runs in tasks; documents
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Hashable, Iterator, Sequence
@@ -14,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.editing import sentences
-from quillspark.sources.shared import written
 
 #: Sentences of a document, on either side, that may hold a token which makes them candidates for each other.
 RARE = 20
+#: Rows that a task gathers before it hands them on.
+ROWS = 20_000
+_WORD = re.compile(r"[^\W_]+")
 
 
 def longest_increasing(values: Sequence[int]) -> list[int]:
@@ -97,15 +100,19 @@ def changes(a: Sequence[str], b: Sequence[str]) -> Iterator[tuple[str, int, int,
 
 
 def _hunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["key", "hunk", "kind", "before_at", "before_n", "after_at", "after_n", "before", "after"]
     for batch in batches:
-        out = []
+        out: list[tuple] = []
         for key, before, after in zip(batch["key"], batch["before"], batch["after"]):
             a, b = ([] if x is None else x.split("\n") for x in (before, after))
             for n, (kind, i, k, j, m) in enumerate(changes(a, b)):
                 kept = kind == "kept"
                 out.append((key, n, kind, i, k, j, m, [] if kept else a[i : i + k], [] if kept else b[j : j + m]))
+            if len(out) >= ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         if out:
-            yield pd.DataFrame(out, columns=["key", "hunk", "kind", "before_at", "before_n", "after_at", "after_n", "before", "after"])
+            yield pd.DataFrame(out, columns=columns)
 
 
 def _side_by_side(before: DataFrame, after: DataFrame, key: str, value: Column) -> DataFrame:
@@ -136,41 +143,54 @@ def applied(before: DataFrame, made: DataFrame, key: str, text: str) -> DataFram
     return both.select(F.col("key").alias(key), F.when(F.size(new) > 0, F.array_join(new, "\n")).alias(text))
 
 
-def _sentence_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Kept sentences with both places, the others with one; `nth` counts equal ones of the same side."""
-    for batch in batches:
-        out = []
-        for key, a, b in zip(batch["key"], batch["before"], batch["after"]):
-            a, b = ([] if x is None else list(x) for x in (a, b))
-            kept = aligned(a, b)
-            out += [(key, i, j, a[i], 0) for i, j in kept]
-            for side, units, have in ((0, a, {i for i, _ in kept}), (1, b, {j for _, j in kept})):
-                seen: dict[str, int] = defaultdict(int)
-                for at, unit in enumerate(units):
-                    if at not in have:
-                        seen[unit] += 1
-                        out.append((key, None if side else at, at if side else None, unit, seen[unit]))
-        if out:
-            made = pd.DataFrame(out, columns=["key", "before_at", "after_at", "sentence", "nth"])
-            yield made.astype({"before_at": "Int32", "after_at": "Int32"})
-
-
-def _one_to_one(pairs: DataFrame) -> DataFrame:
-    """Pairs (key, i, j, similarity) without a common end, the most similar first, then the earliest.
-
-    In every round a pair counts that is the best of both its ends; what it touches goes. Equal to taking
-    pairs one by one in that order, and each round of all documents is one pass. The driver sees a count a round.
-    """
-    order = F.struct((-F.col("similarity")).alias("less"), "i", "j")
-    taken = None
-    left = written(pairs, "sentence-candidates")
-    while left.head(1):
-        for_i = left.groupBy("key", "i").agg(F.min(order).alias("_b")).select("key", "_b.i", "_b.j")
-        for_j = left.groupBy("key", "j").agg(F.min(order).alias("_b")).select("key", "_b.i", "_b.j")
-        mutual = written(left.join(for_i.join(for_j, ["key", "i", "j"]), ["key", "i", "j"], "left_semi"), "sentence-matches")
-        taken = mutual if taken is None else taken.unionByName(mutual)
-        left = written(left.join(mutual.select("key", "i"), ["key", "i"], "left_anti").join(mutual.select("key", "j"), ["key", "j"], "left_anti"), "sentence-candidates")
-    return pairs.limit(0) if taken is None else taken
+def _tokens(sentence: str) -> set[str]:
+    return set(_WORD.findall(sentence.lower()))
+
+
+def told_apart(a: Sequence[str], b: Sequence[str], least: float) -> list[tuple[str, int | None, int | None, float]]:
+    """(kind, place before, place after, similarity) of every sentence of one document, as sentence_report says."""
+    out: list[tuple[str, int | None, int | None, float]] = [("kept", i, j, 1.0) for i, j in aligned(a, b)]
+    kept_a, kept_b = {i for _, i, _, _ in out}, {j for _, _, j, _ in out}
+    left, right = [i for i in range(len(a)) if i not in kept_a], [j for j in range(len(b)) if j not in kept_b]
+    # The first, second ... of equal sentences go together.
+    again: dict[str, list[int]] = defaultdict(list)
+    for j in reversed(right):
+        again[b[j]].append(j)
+    moved = {i: again[a[i]].pop() for i in left if again.get(a[i])}
+    out += [("moved", i, j, 1.0) for i, j in moved.items()]
+    have = set(moved.values())
+    old, new = ({k: _tokens(units[k]) for k in rest} for units, rest in ((a, [i for i in left if i not in moved]), (b, [j for j in right if j not in have])))
+    holding: dict[str, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+    for side, bags in enumerate((old, new)):
+        for k, bag in bags.items():
+            for token in bag:
+                holding[token][side].append(k)
+    near = {(i, j) for x, y in holding.values() if len(x) <= RARE and len(y) <= RARE for i in x for j in y}
+    alike = sorted((-shared / (len(old[i]) + len(new[j]) - shared), i, j) for i, j in near for shared in [len(old[i] & new[j])])
+    done: tuple[set[int], set[int]] = (set(), set())
+    for less, i, j in alike:
+        if -less >= least and i not in done[0] and j not in done[1]:
+            done[0].add(i)
+            done[1].add(j)
+            out.append(("changed", i, j, -less))
+    return out + [("missing", i, None, 0.0) for i in old if i not in done[0]] + [("added", None, j, 0.0) for j in new if j not in done[1]]
+
+
+def _reported(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "kind", "before_at", "after_at", "before", "after", "similarity"]
+        for batch in batches:
+            out: list[tuple] = []
+            for key, a, b in zip(batch["key"], batch["before"], batch["after"]):
+                a, b = ([] if x is None else list(x) for x in (a, b))
+                out += [(key, kind, i, j, None if i is None else a[i], None if j is None else b[j], alike) for kind, i, j, alike in told_apart(a, b, least)]
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=columns).astype({"before_at": "Int32", "after_at": "Int32"})
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns).astype({"before_at": "Int32", "after_at": "Int32"})
+
+    return run
 
 
 def sentence_report(before: DataFrame, after: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
@@ -180,29 +200,8 @@ def sentence_report(before: DataFrame, after: DataFrame, key: str, text: str, le
     order; 'changed' are a missing and an added sentence at least `least` similar (shared distinct words by all of both), matched
     one to one per document, the most similar first, equal ones by place; the others are 'missing' or 'added'. Candidates share a
     word that at most RARE sentences left over on each side hold, so a document of very many sentences costs its words, not its pairs.
-    Keys stand once on each side; texts that are null or not there have no sentences.
+    Keys stand once on each side; texts that are null or not there have no sentences. Both texts of a document meet once, in one row.
     """
-    units = sentences(F.col(text).cast("string"))
-    pairs = _side_by_side(before, after, key, units).mapInPandas(_sentence_pairs, "key string, before_at int, after_at int, sentence string, nth int")
-    rows = written(pairs.withColumn("key", F.col("key").cast(before.schema[key].dataType)), "sentences")
-    none = F.lit(None)
-    kept = rows.filter("nth = 0").select("key", F.lit("kept").alias("kind"), "before_at", "after_at", F.col("sentence").alias("before"), F.col("sentence").alias("after"), F.lit(1.0).alias("similarity"))
-    old = rows.filter("nth > 0 AND before_at IS NOT NULL").select("key", "sentence", "nth", "before_at")
-    new = rows.filter("nth > 0 AND after_at IS NOT NULL").select("key", "sentence", "nth", "after_at")
-    both = old.join(new, ["key", "sentence", "nth"], "full")
-    moved = both.filter("before_at IS NOT NULL AND after_at IS NOT NULL").select("key", F.lit("moved").alias("kind"), "before_at", "after_at", F.col("sentence").alias("before"), F.col("sentence").alias("after"), F.lit(1.0).alias("similarity"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    rest = written(both.filter("before_at IS NULL OR after_at IS NULL").select("key", "before_at", "after_at", "sentence", tokens.alias("tokens")), "sentences-left")
-    gone = rest.filter("before_at IS NOT NULL").select("key", F.col("before_at").alias("i"), F.col("sentence").alias("before"), F.col("tokens").alias("_a"))
-    fresh = rest.filter("after_at IS NOT NULL").select("key", F.col("after_at").alias("j"), F.col("sentence").alias("after"), F.col("tokens").alias("_b"))
-    counted = rest.select("key", "before_at", "after_at", F.explode("tokens").alias("token")).groupBy("key", "token").agg(F.count("before_at").alias("_n"), F.count("after_at").alias("_m"))
-    rare = counted.filter(f"_n BETWEEN 1 AND {RARE} AND _m BETWEEN 1 AND {RARE}").select("key", "token")
-    ends = gone.select("key", "i", F.explode("_a").alias("token")).join(rare, ["key", "token"]).join(fresh.select("key", "j", F.explode("_b").alias("token")), ["key", "token"])
-    near = ends.select("key", "i", "j").distinct().join(gone, ["key", "i"]).join(fresh, ["key", "j"])
-    shared = F.size(F.array_intersect("_a", "_b"))
-    similarity = shared / (F.size("_a") + F.size("_b") - shared)
-    matched = _one_to_one(near.select("key", "i", "j", "before", "after", similarity.alias("similarity")).filter(F.col("similarity") >= least))
-    changed = matched.select("key", F.lit("changed").alias("kind"), F.col("i").alias("before_at"), F.col("j").alias("after_at"), "before", "after", "similarity")
-    missing = gone.join(matched.select("key", "i"), ["key", "i"], "left_anti").select("key", F.lit("missing").alias("kind"), F.col("i").alias("before_at"), none.cast("int").alias("after_at"), "before", none.cast("string").alias("after"), F.lit(0.0).alias("similarity"))
-    added = fresh.join(matched.select("key", "j"), ["key", "j"], "left_anti").select("key", F.lit("added").alias("kind"), none.cast("int").alias("before_at"), F.col("j").alias("after_at"), none.cast("string").alias("before"), "after", F.lit(0.0).alias("similarity"))
-    return kept.unionByName(moved).unionByName(changed).unionByName(missing).unionByName(added)
+    schema = "key string, kind string, before_at int, after_at int, before string, after string, similarity double"
+    made = _side_by_side(before, after, key, sentences(F.col(text).cast("string"))).mapInPandas(_reported(least), schema)
+    return made.withColumn("key", F.col("key").cast(before.schema[key].dataType))
