@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.scalars import strip
+
 #: Identity labels and their fields; hints that mark a guide line.
 IDENTITY_LABELS = {
     "이름": "name", "나이(생년)": "birth", "나이": "birth", "소속 관&반": "hall_class", "소속 관 반": "hall_class", "소속관반": "hall_class",
@@ -44,7 +46,7 @@ def html_to_text(html: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     """Lines with inner blanks collapsed and ends trimmed."""
-    return F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f\x0B]+", " ")))
+    return F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(x, r"[ \t\r\f\x0B]+", " ")))
 
 
 def exploded_lines(docs: DataFrame, doc: str, text: Column) -> DataFrame:
@@ -58,7 +60,7 @@ def markers(line: Column, lettered: bool) -> dict[str, Column]:
     Lettered manuscripts mark `A1. …` and sections `A. …질문…`; the others `[n] …` or
     `[n-m] …`, where a blank must follow, so that guides like `[3-1]과` are body.
     """
-    s = F.trim(line)
+    s = strip(line)
     none = F.lit(None).cast("string")
     if lettered:
         key = F.nullif(F.regexp_extract(s, r"^([ABC][0-9]+)\.", 1), F.lit(""))
@@ -89,7 +91,7 @@ def segments(lines: DataFrame, doc: str, marks: dict[str, Column]) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_at"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
     return (
         run.groupBy(doc, "segment")
-        .agg(F.max("_key").alias("key"), F.max("_header").alias("header"), F.max(F.when(F.col("_key").isNotNull(), F.col("_named"))).alias("section"), F.btrim(body, F.lit(" \t\n")).alias("body"))
+        .agg(F.max("_key").alias("key"), F.max("_header").alias("header"), F.max(F.when(F.col("_key").isNotNull(), F.col("_named"))).alias("section"), strip(body).alias("body"))
         .filter("key IS NOT NULL")
     )
 
@@ -100,9 +102,9 @@ def identity(lines: DataFrame, doc: str, labels: dict[str, str] = IDENTITY_LABEL
     Empty lines, lines that start with `*` and other labels do not fit.
     """
     order = Window.partitionBy(doc).orderBy("pos")
-    field = F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.trim("line"))
+    field = F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), strip(F.col("line")))
     fits = lambda c: F.when((c != "") & ~c.startswith("*") & ~c.isin(*labels), c)
-    nearest = F.coalesce(*[fits(F.trim(F.lead("line", k).over(order))) for k in (1, 2, 3)])
+    nearest = F.coalesce(*[fits(strip(F.lead("line", k).over(order))) for k in (1, 2, 3)])
     return (
         lines.select(doc, "pos", field.alias("field"), nearest.alias("value"))
         .filter("field IS NOT NULL AND value IS NOT NULL")
@@ -117,7 +119,7 @@ def boilerplate(units: DataFrame, key: str, unit: str, line: str, min_count: int
     `units` has one row per line of a unit (a segment). Counting is two
     aggregations with partial sums; a line that every unit holds costs no more.
     """
-    s = units.select(key, unit, F.trim(F.col(line)).alias("line"))
+    s = units.select(key, unit, strip(F.col(line)).alias("line"))
     number = s.groupBy(key).agg(F.countDistinct(unit).alias("n"))
     held = s.filter("line <> ''").distinct().groupBy(key, "line").agg(F.count("*").alias("c"))
     return held.join(number, key).filter(F.col("c") >= F.greatest(F.lit(min_count).cast("long"), F.floor(F.col("n") * min_ratio))).select(key, "line", "c")
@@ -133,6 +135,6 @@ def is_guide(line: Column, hints: tuple[str, ...] = GUIDE_HINTS) -> Column:
 
 def stripped(lines: DataFrame, doc: str, key: str, common: DataFrame, hints: tuple[str, ...] = GUIDE_HINTS) -> DataFrame:
     """doc, body: trimmed lines of each document without boilerplate and guide lines, joined by line feeds."""
-    s = lines.select(doc, key, "pos", F.trim("line").alias("line")).filter(~is_guide(F.col("line"), hints))
+    s = lines.select(doc, key, "pos", strip(F.col("line")).alias("line")).filter(~is_guide(F.col("line"), hints))
     kept = s.join(common.select(key, "line"), [key, "line"], "left_anti")
     return kept.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.scalars import SCORE_AMOUNTS, lookup
-from quillspark.operators import delta, dedup, scoring, validate
+from quillspark.operators import delta, dedup, history, scoring, validate
 from quillspark.plans.reports import cents
 from quillspark.sources.tables import table
 
@@ -163,12 +163,48 @@ _NEW = f"SELECT * REPLACE (price + 100 AS price) FROM ({_S}) WHERE o_orderstatus
 _QUESTION = "'question_' || substr(sha256(p_type || chr(1) || p_brand), 1, 16)"
 _GONE = "(SELECT c_custkey FROM customer WHERE c_acctbal < 0)"
 
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with repeated rows and keys, and a later state: some gone, some twice as often, some with another flag."""
+    old = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    stay = old.filter("NOT (l_returnflag = 'R' AND l_linenumber % 3 = 0)")
+    new = stay.withColumn("l_returnflag", F.when(F.col("l_suppkey") % 5 == 0, F.lit("X")).otherwise(F.col("l_returnflag")))
+    return old, new.unionByName(new.filter("l_suppkey % 7 = 0"))
+
+
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed changes between two states of a table, with both images."""
+    changes = history.difference(*_snapshots(spark, sf_dir), ["l_orderkey", "l_linenumber"])
+    images = [F.col(side)[c].alias(f"{side}_{c[2:]}") for side in ("before", "after") for c in ("l_suppkey", "l_returnflag")]
+    return changes.select("action", "l_orderkey", "l_linenumber", *images, "times")
+
+
+def snapshot_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later state, from the earlier one and the changes alone."""
+    old, new = _snapshots(spark, sf_dir)
+    return history.replayed(old, history.difference(old, new, ["l_orderkey", "l_linenumber"]))
+
+
 QUERIES = {f.__name__: f for f in (
     first_per_url, backfill_case, backfill_from_children, conditional_update, merged_columns, upsert_by_key, insert_if_absent, replace_children, delete_in,
-    split_questions, question_dimension, rebuilt_table, cascade_delete, set_null_delete, restrict_check, orphan_check, unique_check, range_check, skip_done, symmetric_diff,
+    split_questions, question_dimension, rebuilt_table, cascade_delete, set_null_delete, restrict_check, orphan_check, unique_check, range_check, skip_done, symmetric_diff, snapshot_changes, snapshot_replayed,
 )}
 
+_SNAPSHOTS = """
+    old AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag FROM lineitem),
+    later AS (SELECT * REPLACE (CASE WHEN l_suppkey % 5 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag) FROM old WHERE NOT (l_returnflag = 'R' AND l_linenumber % 3 = 0)),
+    new AS (FROM later UNION ALL FROM later WHERE l_suppkey % 7 = 0)"""
+
 ORACLES = {
+    "snapshot_replayed": f"WITH {_SNAPSHOTS} FROM new",
+    "snapshot_changes": f"""
+        WITH {_SNAPSHOTS},
+        gone AS (SELECT *, COUNT(*) AS n FROM (FROM old EXCEPT ALL FROM new) GROUP BY ALL), come AS (SELECT *, COUNT(*) AS n FROM (FROM new EXCEPT ALL FROM old) GROUP BY ALL),
+        one AS (
+            SELECT l_orderkey, l_linenumber FROM gone JOIN come c USING (l_orderkey, l_linenumber) GROUP BY ALL HAVING COUNT(*) = 1 AND SUM(gone.n) = 1 AND SUM(c.n) = 1)
+        SELECT 'update' AS action, l_orderkey, l_linenumber, gone.l_suppkey AS before_suppkey, gone.l_returnflag AS before_returnflag, come.l_suppkey AS after_suppkey, come.l_returnflag AS after_returnflag, 1 AS times
+        FROM one JOIN gone USING (l_orderkey, l_linenumber) JOIN come USING (l_orderkey, l_linenumber)
+        UNION ALL SELECT 'delete', l_orderkey, l_linenumber, l_suppkey, l_returnflag, NULL, NULL, n FROM gone ANTI JOIN one USING (l_orderkey, l_linenumber)
+        UNION ALL SELECT 'insert', l_orderkey, l_linenumber, NULL, NULL, l_suppkey, l_returnflag, n FROM come ANTI JOIN one USING (l_orderkey, l_linenumber)""",
     "first_per_url": """
         SELECT page_id, url, host FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)
         QUALIFY COALESCE(host, '') = '' OR row_number() OVER (PARTITION BY host ORDER BY page_id) = 1""",

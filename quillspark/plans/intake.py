@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.functions import scalars as S
 from quillspark.operators import fees, match, scoring, sheets
@@ -119,6 +120,28 @@ def _fees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return fees.appended(spark, extracts, "cohort int, student_type string, amount long")
 
 
+def _raw_fees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fee cells as sheets hold them: numbers, words where a number should be, and blanks; one sheet lacks a column."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    amount = F.when(F.col("l_linenumber") % 7 == 0, F.lit("n/a")).when(F.col("l_linenumber") % 5 == 0, F.lit(" ")).otherwise((F.col("l_linenumber") * 1000).cast("string"))
+    sources = {
+        "lines": lines.select(F.col("l_orderkey").alias("name"), (F.col("l_suppkey") % 9).cast("string").alias("cohort"), amount.alias("amount")),
+        "orders": orders.select(F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey").cast("string")).alias("name"), F.when(F.col("o_orderkey") % 6 == 0, F.lit("6기")).otherwise(F.lit(" 7 ")).alias("cohort"), F.col("o_custkey").alias("amount")),
+        "broken": orders.select(F.col("o_orderkey").alias("name")),
+    }
+    return fees.quarantined(sources, StructType.fromDDL("name string, cohort int, amount long"), required=("name", "amount"))
+
+
+def fees_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and fees per source and cohort, of rows without a wrong cell."""
+    return _raw_fees(spark, sf_dir)[0].groupBy("src", "cohort").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+
+
+def fees_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong cells by source, column and reason, with an example."""
+    return _raw_fees(spark, sf_dir)[1].groupBy("src", "column", "reason").agg(F.count("*").alias("n"), F.min("value").alias("example"))
+
+
 def small_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders of empty answers, numbers of URL parameters and an injected time."""
     c = table(spark, sf_dir, "customer")
@@ -160,7 +183,7 @@ def question_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     sheet_rows, sheet_answers, sheet_reviews, extracted_files, composed_names, question_lookup, match_by_cohort, name_candidates, class_filter, fee_histogram, fee_totals,
-    fee_extract_report, small_cells, jobs_of_a_range, activity_log, essays_in_two_sections, question_order,
+    fee_extract_report, fees_checked, fees_rejected, small_cells, jobs_of_a_range, activity_log, essays_in_two_sections, question_order,
 )}
 
 _ROWS = """
@@ -175,6 +198,11 @@ _FEES = """
     UNION ALL SELECT 8, '성적우수', o_orderkey % 3 * 50000 FROM orders WHERE o_orderstatus = 'P'"""
 _HISTOGRAM = f"SELECT cohort, student_type, CAST(amount AS BIGINT) AS amount, COUNT(*) AS n FROM ({_FEES}) WHERE amount IS NOT NULL GROUP BY ALL"
 
+_CELLS = """cells AS (
+    SELECT 'lines' AS src, CAST(l_orderkey AS VARCHAR) AS name, CAST(l_suppkey % 9 AS INTEGER) AS cohort, false AS bad_cohort,
+           CASE WHEN l_linenumber % 7 = 0 THEN 'n/a' WHEN l_linenumber % 5 = 0 THEN ' ' END AS raw, CASE WHEN l_linenumber % 7 > 0 AND l_linenumber % 5 > 0 THEN l_linenumber * 1000 END AS amount FROM lineitem
+    UNION ALL SELECT 'orders', CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey AS VARCHAR) END, 7, o_orderkey % 6 = 0, NULL, o_custkey FROM orders)"""
+
 ORACLES = {
     "sheet_rows": f"""
         WITH p AS ({_PEOPLE}), r AS ({_ROWS})
@@ -221,6 +249,15 @@ ORACLES = {
         SELECT cohort, student_type, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(n * amount) AS BIGINT) AS total, string_agg(amount || ':' || n, ',' ORDER BY amount) AS amounts
         FROM ({_HISTOGRAM}) GROUP BY ALL""",
     "fee_extract_report": "SELECT 'level' AS src, TRUE AS ok UNION ALL SELECT 'grade', TRUE UNION ALL SELECT 'amount', TRUE UNION ALL SELECT 'broken', FALSE",
+    "fees_checked": f"""
+        WITH {_CELLS} SELECT src, cohort, COUNT(*) AS n, CAST(SUM(amount) AS BIGINT) AS total FROM cells WHERE name IS NOT NULL AND NOT bad_cohort AND amount IS NOT NULL GROUP BY 1, 2""",
+    "fees_rejected": f"""
+        WITH {_CELLS}
+        SELECT src, 'name' AS column, 'missing' AS reason, COUNT(*) AS n, NULL::VARCHAR AS example FROM cells WHERE name IS NULL GROUP BY 1
+        UNION ALL SELECT src, 'cohort', 'not a int', COUNT(*), '6기' FROM cells WHERE bad_cohort GROUP BY 1
+        UNION ALL SELECT src, 'amount', 'not a bigint', COUNT(*), 'n/a' FROM cells WHERE raw = 'n/a' GROUP BY 1
+        UNION ALL SELECT src, 'amount', 'missing', COUNT(*), ' ' FROM cells WHERE raw = ' ' GROUP BY 1
+        UNION ALL SELECT 'broken', unnest(['cohort', 'amount']), 'no such column', 1, NULL""",
     "small_cells": """
         SELECT c_custkey, CASE WHEN c_nationkey % 3 = 1 THEN c_name ELSE '(답변 없음)' END AS answer, CASE WHEN c_nationkey % 4 = 1 THEN c_nationkey END AS cohort, '2024-03-01 00:00:00' AS updated_at FROM customer""",
     "jobs_of_a_range": """

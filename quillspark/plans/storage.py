@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
 from quillspark.functions import scalars as S
-from quillspark.operators import delta, scoring
+from quillspark.operators import delta, rounds, scoring
 from quillspark.plans.reports import cents
 from quillspark.sources import documents, seed, sinks, tables
 from quillspark.sources.shared import fresh_path
@@ -66,6 +66,18 @@ def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("version", "o_orderstatus", "note").agg(F.count("*").alias("n"))
 
 
+def scored_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in scorer that refuses some messages: calls in rounds over a written state, with the attempts of each row."""
+
+    def scorer(message: str) -> str:
+        if message.endswith("3"):
+            raise ValueError("no answer")
+        return message[::-1]
+
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.concat_ws("-", "o_orderpriority", "o_custkey").alias("message"))
+    return rounds.score_in_rounds(rows, scorer, fresh_path(spark, "rounds"), attempts=3, pause=0.0, errors=(ValueError,))
+
+
 def scored_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in scorer over messages: replies, and an error after all attempts."""
 
@@ -150,11 +162,14 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    bound_scan, bound_row, csv_grid, json_round_trip, json_list, snapshot_versions, scored_batch, resumed_batch, written_back, match_report, normal_where_changed, seed_counts,
+    bound_scan, bound_row, csv_grid, json_round_trip, json_list, snapshot_versions, scored_batch, scored_in_rounds, resumed_batch, written_back, match_report, normal_where_changed, seed_counts,
     packed_files, workbook_cells,
 )}
 
 ORACLES = {
+    "scored_in_rounds": """
+        SELECT o_orderkey AS row, CASE WHEN o_custkey % 10 = 3 THEN 3 ELSE 1 END AS attempts, CASE WHEN o_custkey % 10 <> 3 THEN reverse(o_orderpriority || '-' || o_custkey) END AS reply,
+               CASE WHEN o_custkey % 10 = 3 THEN 'ValueError: no answer' END AS error FROM orders""",
     "bound_scan": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey >= 5",
     "bound_row": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7",
     "csv_grid": """SELECT CAST(c_custkey AS VARCHAR) AS _c0, 'a "b", ' || c_name || chr(10) || 'next' AS _c1, CASE WHEN c_nationkey > 9 THEN c_mktsegment END AS _c2 FROM customer""",

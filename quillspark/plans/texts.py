@@ -47,7 +47,7 @@ def segment_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of manuscripts, chosen by a number of the data: sections, questions of both templates, guides that look like questions, body.
-LINES = ("A. 시기별 질문", "A1. first one", "plain", "[1-2] bracketed", " B. 주제별 질문 ", "B12. 둘째", "[3-1]과 같은 guide", "", "[4] alone", "C. no question here", "more", "A.질문", "[5-1]", "B3.tight")
+LINES = ("A. 시기별 질문", "A1. first one", "plain", "[1-2] bracketed", " B. 주제별 질문 ", "B12. 둘째", "[3-1]과 같은 guide", "", "[4] alone", "C. no question here", "more", "A.질문", "[5-1]", "B3.tight", "\tA2. after a tab", "\u3000B4. after a wide blank\u00a0", "\u00a0C. 선택 질문\t", "\u2003[6] spaced")
 
 
 def _manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def manuscript_segments_bracketed(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 #: Lines of an identity block, chosen by a number of the data.
-FIELDS = ("이름", "", "* remark", "나이", "value", "소속 관&반", "", "other", "최종대학", "* note", "이름", "no label")
+FIELDS = ("이름", "", "* remark", "나이", "value", "소속 관&반", "", "other", "최종대학", "* note", "이름", "no label", "\u3000", "\t나이", "\u00a0* remark", " \u2003최종대학\u3000", "\tvalued\u00a0")
 
 
 def identity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def identity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boilerplate_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default share: a guide line in a third of the documents is boilerplate, one in a fifth is not."""
     guide = lambda n, text: F.when(F.col("doc_id") % n == 0, F.lit(text))
-    lines = F.array_compact(F.array(guide(3, "가이드 하나"), guide(5, " second guide "), F.col("source"), guide(4, "quarter"), guide(2, "")))
+    lines = F.array_compact(F.array(guide(3, "가이드 하나"), guide(5, "\tsecond guide\u3000"), F.col("source"), guide(4, "quarter"), guide(2, "")))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(lines).alias("pos", "line"))
     return T.boilerplate(rows, "lang", "doc_id", "line")
 
@@ -148,8 +148,11 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _LINES = "SELECT doc_id, lang, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)"
+#: The white space that is trimmed.
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_strip = lambda c: f"trim({c}, '{_SPACES}')"
 _COMMON = f"""
-    SELECT lang, line, c FROM (SELECT lang, trim(line) AS line, COUNT(DISTINCT doc_id) AS c FROM ({_LINES}) WHERE trim(line) <> '' GROUP BY 1, 2)
+    SELECT lang, line, c FROM (SELECT lang, {_strip("line")} AS line, COUNT(DISTINCT doc_id) AS c FROM ({_LINES}) WHERE {_strip("line")} <> '' GROUP BY 1, 2)
     JOIN (SELECT lang, COUNT(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) USING (lang) WHERE c >= greatest(3, floor(n * {RATIO}::DOUBLE))"""
 _DISTINCT = "list_filter({0}, lambda x, i: x <> '' AND (i = 1 OR x <> {0}[i - 1]))"
 
@@ -166,9 +169,9 @@ def _segments_sql(key: str, section: str) -> str:
         r AS (
             SELECT *, SUM(CASE WHEN key IS NOT NULL OR part IS NOT NULL THEN 1 ELSE 0 END) OVER w AS segment, LAST_VALUE(part IGNORE NULLS) OVER w AS named
             FROM s WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING))
-        SELECT doc, CAST(segment AS BIGINT) AS segment, MAX(key) AS key, MAX(CASE WHEN key IS NOT NULL THEN trim(line) END) AS header,
+        SELECT doc, CAST(segment AS BIGINT) AS segment, MAX(key) AS key, MAX(CASE WHEN key IS NOT NULL THEN {_strip('line')} END) AS header,
                MAX(CASE WHEN key IS NOT NULL THEN named END) AS section,
-               trim(COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (key IS NULL AND part IS NULL), ''), E' \t\n') AS body
+               {_strip("COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (key IS NULL AND part IS NULL), '')")} AS body
         FROM r GROUP BY doc, segment HAVING MAX(key) IS NOT NULL"""
 
 
@@ -178,25 +181,25 @@ ORACLES = {
         b AS (SELECT page_id, CASE WHEN regexp_matches(t, '(?i)<body') THEN regexp_replace(t, '(?is)^.*?<body[^>]*>', '') ELSE t END AS t FROM a),
         c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(p|div|tr|td|th|br|li|h[1-6]|table)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM b),
         d AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(t, '&#13;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&nbsp;', ' '), '&[a-zA-Z]+;', ' ', 'g') AS t FROM c),
-        e AS (SELECT page_id, list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'))) AS l FROM d),
+        e AS (SELECT page_id, list_transform(string_split(t, chr(10)), lambda x: {_strip("regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g')")}) AS l FROM d),
         f AS (SELECT page_id, {_DISTINCT.format("l")} AS l FROM e)
         SELECT page_id, array_to_string(l, chr(10)) AS text, len(l) AS n_lines FROM f""",
     "boilerplate_lines": _COMMON,
     "strip_boilerplate": rf"""
         WITH common AS ({_COMMON}),
-        kept AS (SELECT doc_id, lang, pos, trim(line) AS line FROM ({_LINES}))
+        kept AS (SELECT doc_id, lang, pos, {_strip('line')} AS line FROM ({_LINES}))
         SELECT doc_id, length(body) AS n_chars, md5(body) AS body_md5 FROM (
             SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM kept
             WHERE line <> '' AND NOT starts_with(line, '※') AND NOT starts_with(line, '*') AND {" AND ".join(f"NOT contains(line, '{h}')" for h in T.GUIDE_HINTS)}
               AND NOT EXISTS (SELECT 1 FROM common c WHERE c.lang = kept.lang AND c.line = kept.line)
             GROUP BY doc_id)""",
-    "segment_turns": r"""
+    "segment_turns": rf"""
         WITH run AS (SELECT *, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM conversations)
         SELECT conv_id, CAST(segment AS BIGINT) AS segment, MAX(CASE WHEN role = 'user' THEN 'q' || turn END) AS key, MAX(CASE WHEN role = 'user' THEN text END) AS header,
-               trim(COALESCE(string_agg(text, chr(10) ORDER BY turn) FILTER (role <> 'user'), ''), E' \t\n') AS body
+               {_strip("COALESCE(string_agg(text, chr(10) ORDER BY turn) FILTER (role <> 'user'), '')")} AS body
         FROM run WHERE segment > 0 GROUP BY conv_id, segment""",
-    "manuscript_segments": _segments_sql(r"regexp_extract(trim(line), '^([ABC][0-9]+)\.', 1)", r"regexp_extract(trim(line), '^([ABC])\.\s*.+질문', 1)"),
-    "manuscript_segments_bracketed": _segments_sql(r"regexp_extract(trim(line), '^\[([0-9]+(-[0-9]+)?)\]\s+\S', 1)", "''"),
+    "manuscript_segments": _segments_sql(rf"regexp_extract({_strip('line')}, '^([ABC][0-9]+)\.', 1)", rf"regexp_extract({_strip('line')}, '^([ABC])\.\s*.+질문', 1)"),
+    "manuscript_segments_bracketed": _segments_sql(rf"regexp_extract({_strip('line')}, '^\[([0-9]+(-[0-9]+)?)\]\s+\S', 1)", "''"),
     "identity_lookup": f"""
         WITH e AS (
             SELECT user_id AS doc, event_id AS pos, CASE WHEN l IN ('value', 'other') THEN l || ' ' || event_id ELSE l END AS line
@@ -204,13 +207,13 @@ ORACLES = {
         labels AS (SELECT unnest([{", ".join(f"{{'label': '{k}', 'field': '{v}'}}" for k, v in T.IDENTITY_LABELS.items())}], recursive := true)),
         near AS (SELECT *, LEAD(line, 1) OVER w AS l1, LEAD(line, 2) OVER w AS l2, LEAD(line, 3) OVER w AS l3 FROM e WINDOW w AS (PARTITION BY doc ORDER BY pos)),
         found AS (
-            SELECT doc, field, pos, list_filter([l1, l2, l3], lambda x: x <> '' AND NOT starts_with(x, '*') AND x NOT IN ({", ".join(f"'{k}'" for k in T.IDENTITY_LABELS)}))[1] AS value
-            FROM near JOIN labels ON trim(line) = label)
+            SELECT doc, field, pos, list_filter(list_transform([l1, l2, l3], lambda x: {_strip('x')}), lambda x: x <> '' AND NOT starts_with(x, '*') AND x NOT IN ({", ".join(f"'{k}'" for k in T.IDENTITY_LABELS)}))[1] AS value
+            FROM near JOIN labels ON {_strip('line')} = label)
         SELECT doc, field, arg_min(value, pos) AS value FROM found WHERE value IS NOT NULL GROUP BY doc, field""",
-    "boilerplate_quarter": """
+    "boilerplate_quarter": f"""
         WITH l AS (
-            SELECT doc_id, lang, unnest([CASE WHEN doc_id % 3 = 0 THEN '가이드 하나' END, CASE WHEN doc_id % 5 = 0 THEN ' second guide ' END, source, CASE WHEN doc_id % 4 = 0 THEN 'quarter' END]) AS line FROM documents),
-        held AS (SELECT lang, trim(line) AS line, COUNT(DISTINCT doc_id) AS c FROM l WHERE trim(line) <> '' GROUP BY ALL),
+            SELECT doc_id, lang, unnest([CASE WHEN doc_id % 3 = 0 THEN '가이드 하나' END, CASE WHEN doc_id % 5 = 0 THEN '\tsecond guide\u3000' END, source, CASE WHEN doc_id % 4 = 0 THEN 'quarter' END]) AS line FROM documents),
+        held AS (SELECT lang, {_strip('line')} AS line, COUNT(DISTINCT doc_id) AS c FROM l WHERE {_strip('line')} <> '' GROUP BY ALL),
         n AS (SELECT lang, COUNT(*) AS n FROM documents GROUP BY lang)
         SELECT lang, line, c FROM held JOIN n USING (lang) WHERE c >= greatest(3, CAST(floor(n * 0.25) AS BIGINT))""",
     "html_table_text": """

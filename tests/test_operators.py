@@ -97,6 +97,17 @@ def test_guides_are_not_markers(spark):
     assert got == [("3-1", "※ guide\nbody"), ("4", "")]
 
 
+def test_white_space_around_lines(spark):
+    lines = ["\tA1. q one", "\u3000body\u00a0", "\u3000A2. q two", "\tx* hint", "B3. three", "\t* guide", "\u00a0※ guide"]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(lines)], "doc int, pos int, line string")
+    got = sorted((r.key, r.header, r.body) for r in T.segments(df, "doc", T.markers(F.col("line"), lettered=True)).collect())
+    assert got == [("A1", "A1. q one", "body"), ("A2", "A2. q two", "x* hint"), ("B3", "B3. three", "* guide\n\u00a0※ guide")]
+    known = spark.createDataFrame([(1, i, v) for i, v in enumerate(["\u3000이름", "\u3000", "\t* remark", "\u00a0Kim\t"])], "doc int, pos int, line string")
+    assert [(r.field, r.value) for r in T.identity(known, "doc").collect()] == [("name", "Kim")]
+    none = df.select("doc", "line").limit(0)
+    assert [r.body for r in T.stripped(df.withColumn("k", F.lit("k")), "doc", "k", none.select(F.lit("k").alias("k"), "line")).collect()] == ["A1. q one\nbody\nA2. q two\nx* hint\nB3. three"]
+
+
 def test_a_stopped_batch_goes_on(spark):
     df = spark.createDataFrame([(i, f"m{i}") for i in range(20)], "row long, message string")
 
