@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType
 from quillspark.functions import scalars as S
 from quillspark.operators import delta, rounds, scoring
 from quillspark.plans.reports import cents
-from quillspark.sources import documents, seed, sinks, tables
+from quillspark.sources import commits, documents, seed, sinks, tables
 from quillspark.sources.shared import fresh_path
 from quillspark.sources.tables import table
 
@@ -66,6 +66,25 @@ def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("version", "o_orderstatus", "note").agg(F.count("*").alias("n"))
 
 
+def committed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions and answers loaded as one commit, then changed as one; a load on top of the older state is refused, and what is read is whole."""
+    root = fresh_path(spark, "commits")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    first = commits.commit(spark, root, {"submissions": orders.filter("o_orderstatus <> 'P'"), "answers": lines}, commits.state(spark, root))
+    finished = commits.read(spark, root, "submissions", first).filter("o_orderstatus = 'F'")
+    answers = delta.delete_in(commits.read(spark, root, "answers", first), finished.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    commits.commit(spark, root, {"submissions": finished, "answers": answers}, first)
+    try:
+        commits.commit(spark, root, {"answers": lines.limit(0)}, first)
+    except commits.ConflictError:
+        pass
+    now = commits.state(spark, root)
+    by_status = commits.read(spark, root, "submissions", now).groupBy(F.lit("submissions").alias("table"), F.col("o_orderstatus").alias("part"))
+    by_line = commits.read(spark, root, "answers", now).groupBy(F.lit("answers").alias("table"), F.col("l_linenumber").cast("string").alias("part"))
+    return by_status.agg(F.count("*").alias("n")).unionByName(by_line.agg(F.count("*").alias("n")))
+
+
 def scored_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in scorer that refuses some messages: calls in rounds over a written state, with the attempts of each row."""
 
@@ -162,11 +181,14 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    bound_scan, bound_row, csv_grid, json_round_trip, json_list, snapshot_versions, scored_batch, scored_in_rounds, resumed_batch, written_back, match_report, normal_where_changed, seed_counts,
+    bound_scan, bound_row, csv_grid, json_round_trip, json_list, snapshot_versions, scored_batch, committed_load, scored_in_rounds, resumed_batch, written_back, match_report, normal_where_changed, seed_counts,
     packed_files, workbook_cells,
 )}
 
 ORACLES = {
+    "committed_load": """
+        SELECT 'submissions' AS table, o_orderstatus AS part, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 2
+        UNION ALL SELECT 'answers', CAST(l_linenumber AS VARCHAR), COUNT(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 2""",
     "scored_in_rounds": """
         SELECT o_orderkey AS row, CASE WHEN o_custkey % 10 = 3 THEN 3 ELSE 1 END AS attempts, CASE WHEN o_custkey % 10 <> 3 THEN reverse(o_orderpriority || '-' || o_custkey) END AS reply,
                CASE WHEN o_custkey % 10 = 3 THEN 'ValueError: no answer' END AS error FROM orders""",

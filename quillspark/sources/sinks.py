@@ -11,10 +11,10 @@ from quillspark.operators.scoring import remaining
 def write_snapshot(df: DataFrame, path: str, version: str) -> str:
     """Write one version of a table beside the earlier ones and return its folder; a reader never sees half of it.
 
-    Snapshots are immutable, so a transformation may read the version before while the next is written.
+    Snapshots are immutable: writing a version that is there is an error. So a transformation may read the version before while the next is written.
     """
     target = f"{path.rstrip('/')}/version={version}"
-    df.write.mode("overwrite").parquet(target)
+    df.write.parquet(target)
     return target
 
 
