@@ -3,12 +3,12 @@
 The network is trained in numpy from labelled spans (here: a seeded generator of
 sentences around e-mail addresses, IP addresses, card and phone numbers in many
 notations, with look-alikes that carry no label). Windows of WINDOW characters stand
-STRIDE apart over the whole text; emissions of overlapping windows are averaged, and
-one Viterbi path over the text decides globally. The CRF knows one hard constraint:
-characters further than STRIDE from the next digit or at sign are outside all spans, as
-every kind holds one. Between such characters the best path falls apart into
-stretches that do not depend on each other, so only the windows over stretches have to
-be computed, with the same result as computing all (a test compares the two).
+STRIDE apart over every character of the text; emissions of overlapping windows are
+averaged, and the best tag path over the whole text decides globally. What the best run
+of tags other than O through a character could gain over O alone is bounded from above;
+where that is below zero, every best path has O. Such characters part the path into
+stretches that do not depend on each other, so only stretches are stepped through, with
+the same result (a test compares with the plain best path of every window).
 Decoded spans that pass their kind's check and touch no pattern span are added to
 the pattern spans.
 """
@@ -90,7 +90,9 @@ def valid(kind: str, text: str) -> bool:
 
 # --- the network -------------------------------------------------------------
 
-WINDOW, STRIDE = 64, 32
+WINDOW, STRIDE = 256, 224
+#: Windows of training.
+TRAIN_WINDOW, TRAIN_STRIDE = 64, 32
 _ALPHABET = {c: i + 1 for i, c in enumerate("0123456789@.+-()_ %\n:=\"',;/#&$*|")}
 _LETTER, _UPPER, _OTHER, _HEX = (len(_ALPHABET) + i for i in range(1, 5))
 N_CHARS = len(_ALPHABET) + 5
@@ -103,7 +105,7 @@ def char_codes(text: str) -> np.ndarray:
     return _CODE[np.minimum(code, 0x300)]
 
 
-_CODE = np.full(0x301, _LETTER, np.int64)
+_CODE = np.full(0x301, _LETTER, np.uint8)
 for _c in range(0x301):
     if chr(_c) in _ALPHABET:
         _CODE[_c] = _ALPHABET[chr(_c)]
@@ -185,12 +187,44 @@ def _lstm_back(x, wx, wh, keep, grad):
     return x.reshape(-1, x.shape[2]).T @ flat, dwh, flat.sum(0), dz @ wx.T
 
 
+def _scores(model: Model, codes: np.ndarray) -> np.ndarray:
+    """Tag scores of a batch of windows: windows x characters -> characters x tags x windows, so that all inner loops run along the windows."""
+    n, steps = codes.shape
+    hidden, embed = model.wh.shape[1], model.embed.shape[1]
+    codes, vectors = np.ascontiguousarray(codes.T), np.ascontiguousarray(model.embed.T)
+    # sigmoid(x) = (1 + tanh(x / 2)) / 2: gates are kept doubled, and so are the hidden states, whose weights are halved.
+    half = np.where(np.arange(4 * hidden) < 3 * hidden, 0.5, 1).astype(np.float32)[:, None]
+    out = np.concatenate((model.out.T / 2, model.out_b[:, None]), axis=1)
+    score = np.empty((steps, len(TAGS), n), np.float32)
+    states = np.empty((steps, hidden, n), np.float32)
+    both = np.ones((2 * hidden + 1, n), np.float32)
+    for d, order in enumerate((range(steps), range(steps - 1, -1, -1))):
+        weights = half * np.concatenate((model.wh[d].T / 2, model.wx[d].T, model.b[d][:, None]), axis=1)
+        given = np.ones((hidden + embed + 1, n), np.float32)
+        h, x = given[:hidden], given[hidden:-1]
+        h[:] = 0
+        c, tc, z = np.zeros((hidden, n), np.float32), np.empty((hidden, n), np.float32), np.empty((4 * hidden, n), np.float32)
+        gates, i, f, o, g = z[: 3 * hidden], z[:hidden], z[hidden : 2 * hidden], z[2 * hidden : 3 * hidden], z[3 * hidden :]
+        for t in order:
+            np.take(vectors, codes[t], axis=1, out=x, mode="clip")
+            np.tanh(np.matmul(weights, given, out=z), out=z)
+            gates += 1
+            c *= f
+            i *= g
+            c += i
+            c *= 0.5
+            np.multiply(o, np.tanh(c, out=tc), out=h)
+            if d == 0:
+                states[t] = h
+            else:
+                both[:hidden], both[hidden:-1] = states[t], h
+                np.matmul(out, both, out=score[t])
+    return score
+
+
 def emissions(model: Model, codes: np.ndarray) -> np.ndarray:
     """Tag scores of a batch of windows: windows x characters -> windows x characters x tags."""
-    x = model.embed[codes.T]
-    ahead = _lstm(x, model.wx[0], model.wh[0], model.b[0])
-    back = _lstm(x[::-1], model.wx[1], model.wh[1], model.b[1])[::-1]
-    return (np.concatenate((ahead, back), axis=2) @ model.out + model.out_b).transpose(1, 0, 2)
+    return _scores(model, codes).transpose(2, 0, 1)
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -238,7 +272,7 @@ def _gradients(model: Model, codes: np.ndarray, tags: np.ndarray) -> tuple[float
     return float((z - path).mean()), made
 
 
-def train(samples: list[tuple[str, list[Span]]], steps: int = 400, batch: int = 64, embed: int = 12, hidden: int = 20, rate: float = 0.02, seed: int = 3) -> Model:
+def train(samples: list[tuple[str, list[Span]]], steps: int = 600, batch: int = 64, embed: int = 8, hidden: int = 8, rate: float = 0.02, seed: int = 3) -> Model:
     """Fit a model to labelled spans with Adam; the same samples and seed give the same model."""
     rng = np.random.Generator(np.random.PCG64(seed))
     codes, tags = [], []
@@ -249,9 +283,9 @@ def train(samples: list[tuple[str, list[Span]]], steps: int = 400, batch: int =
             tag[start:end] = first + 1
             tag[start] = first
         code = char_codes(text)
-        for at in range(0, max(1, len(text) - STRIDE), STRIDE):
-            part = slice(at, at + WINDOW)
-            fill = (0, WINDOW - len(code[part]))
+        for at in range(0, max(1, len(text) - TRAIN_STRIDE), TRAIN_STRIDE):
+            part = slice(at, at + TRAIN_WINDOW)
+            fill = (0, TRAIN_WINDOW - len(code[part]))
             codes.append(np.pad(code[part], fill))
             tags.append(np.pad(tag[part], fill))
     codes, tags = np.array(codes), np.array(tags)
@@ -346,24 +380,88 @@ def default_model(spark: SparkSession) -> Model:
 
 # --- decoding ----------------------------------------------------------------
 
-_HAS = np.zeros(256, bool)
-_HAS[[*range(0x30, 0x3A), 0x40]] = True
-
-
 def grid(length: int) -> range:
     """Starts of the windows over a text; the last one reaches its end."""
-    return range(0, max(1, length - STRIDE), STRIDE)
+    return range(0, max(1, length - (WINDOW - STRIDE)), STRIDE)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """[start, end) of the cells of STRIDE characters that hold a digit or an at sign, with one more cell on both sides, where they touch as one."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    hit = np.flatnonzero(((code >= 0x30) & (code <= 0x39)) | (code == 0x40))
-    if not len(hit):
-        return []
-    cells = np.unique(np.add.outer(np.unique(hit // STRIDE), (-1, 0, 1)))
-    cells = cells[(cells >= 0) & (cells * STRIDE < len(text))]
-    return [(int(g[0]) * STRIDE, min(len(text), (int(g[-1]) + 1) * STRIDE)) for g in np.split(cells, np.flatnonzero(np.diff(cells) > 1) + 1)]
+class _Bounds(NamedTuple):
+    """Upper bounds of what transitions are worth in a run of tags other than O, above those of O.
+
+    `enter` and `stay` are by tag, for the run's first and its further characters;
+    `leave` is for its end. What a first tag gains by the step to its second one is
+    moved to its entry, so that `stay` does not count it over and over. `edge` covers the
+    transitions that a run lacks at the ends of the text.
+    """
+
+    enter: np.ndarray
+    stay: np.ndarray
+    leave: float
+    edge: float
+
+
+def _bounds(trans: np.ndarray) -> _Bounds:
+    moved = np.zeros(len(TAGS))
+    first = np.arange(1, len(TAGS), 2)
+    moved[first] = np.maximum(0, trans[first, first + 1] - trans[first + 1, first + 1])
+    even = trans - moved[:, None] + moved - trans[0, 0]
+    return _Bounds(even[0, 1:], even[1:, 1:].max(0), float(even[1:, 0].max()), float(2 * np.abs(even).max() + moved.max()))
+
+
+def _gains(model: Model, texts: list[np.ndarray], batch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By text, the most that each character can gain as a run's first and as a further character, from every window over it."""
+    windows = [(i, at) for i, t in enumerate(texts) if len(t) for at in grid(len(t))]
+    bounds = _bounds(model.trans.astype(float))
+    enter, stay = (x.astype(np.float32)[:, None] for x in (bounds.enter, bounds.stay))
+    lap = WINDOW - STRIDE
+    gains = [np.empty((2, len(t)), np.float32) for t in texts]
+    before = np.zeros((lap, len(TAGS)), np.float32)  # what the window before says of the characters that it shares
+    made = np.empty((2, WINDOW, batch), np.float32)
+    for first in range(0, len(windows), batch):
+        group = windows[first : first + batch]
+        score = _scores(model, _block(texts, group))
+        ends = score[STRIDE:].copy()
+        told = np.concatenate((before[:, :, None], ends[:, :, :-1]), axis=2)
+        goes_on = np.array([at > 0 for _, at in group])
+        score[:lap] = np.where(goes_on, (score[:lap] + told) / 2, score[:lap])
+        before = ends[:, :, -1]
+        for t in range(WINDOW):
+            np.subtract((score[t, 1:] + enter).max(0), score[t, 0], out=made[0, t, : len(group)])
+            np.subtract((score[t, 1:] + stay).max(0), score[t, 0], out=made[1, t, : len(group)])
+        for k, (i, at) in enumerate(group):
+            size = min(WINDOW, len(texts[i]) - at)
+            gains[i][:, at : at + size] = made[:, :size, k]
+    yield from gains
+
+
+def _block(texts: list[np.ndarray], group: list[tuple[int, int]]) -> np.ndarray:
+    """The characters of windows, given by text and start; windows beyond a text's end are padded."""
+    block = np.zeros((len(group), WINDOW), np.int64)
+    for k, (i, at) in enumerate(group):
+        part = texts[i][at : at + WINDOW]
+        block[k, : len(part)] = part
+    return block
+
+
+def stretches(model: Model, texts: list[np.ndarray], batch: int = 1024) -> list[list[tuple[int, int]]]:
+    """By text, [start, end) of the stretches outside which every best path has O."""
+    out = []
+    bounds = _bounds(model.trans.astype(float))
+    for enter, stay in _gains(model, texts, batch):
+        if not len(enter):
+            out.append([])
+            continue
+        enter, stay = enter.astype(float), stay.astype(float)
+        for end in (0, -1):
+            enter[end] += bounds.edge
+            stay[end] += bounds.edge
+        line = np.cumsum(stay)
+        upto = line + np.maximum.accumulate(enter - line)  # the best run that ends here
+        after = np.maximum.accumulate(line[::-1])[::-1] - line  # the most that going on adds
+        unsure = np.concatenate(([False], upto + np.maximum(after, 0) + bounds.leave > -1e-3, [False]))
+        edges = np.flatnonzero(np.diff(unsure)).tolist()
+        out.append(list(zip(edges[::2], edges[1::2])))
+    return out
 
 
 #: Longer stretches are cut into chunks of CHUNK characters that step together.
@@ -438,27 +536,24 @@ def viterbi(scores: list[np.ndarray], trans: np.ndarray, at_start: list[bool], a
     return paths
 
 
-def model_spans(model: Model, texts: list[str], batch: int = 512) -> list[list[Span]]:
+def model_spans(model: Model, texts: list[str], batch: int = 1024) -> list[list[Span]]:
     """Decoded spans of each text, before any check."""
-    where = [(i, a, b) for i, text in enumerate(texts) for a, b in stretches(text)]
     found: list[list[Span]] = [[] for _ in texts]
-    codes = {i: char_codes(texts[i]) for i in {w[0] for w in where}}
-    # Every window that reaches into a stretch, with all characters of the text that it covers.
-    windows = [(n, at) for n, (i, a, b) in enumerate(where) for at in grid(len(texts[i]))[max(0, a // STRIDE - 1) : -(-b // STRIDE)]]
+    codes = [char_codes(t) for t in texts]
+    where = [(i, a, b) for i, own in enumerate(stretches(model, codes, batch)) for a, b in own]
+    # Every window that reaches into a stretch, once more: its scores, not only their bounds.
+    windows = [(n, at) for n, (i, a, b) in enumerate(where) for at in grid(len(texts[i]))[max(0, -(-(a + 1 - WINDOW) // STRIDE)) : -(-b // STRIDE)]]
     sums = [np.zeros((b - a, len(TAGS)), np.float32) for _, a, b in where]
     seen = [np.zeros((b - a, 1), np.float32) for _, a, b in where]
     for first in range(0, len(windows), batch):
         group = windows[first : first + batch]
-        block = np.zeros((len(group), WINDOW), np.int64)
+        score = _scores(model, _block(codes, [(where[n][0], at) for n, at in group]))
         for k, (n, at) in enumerate(group):
-            part = codes[where[n][0]][at : at + WINDOW]
-            block[k, : len(part)] = part
-        for (n, at), score in zip(group, emissions(model, block)):
             _, a, b = where[n]
             low, high = max(a, at), min(b, at + WINDOW)
-            sums[n][low - a : high - a] += score[low - at : high - at]
+            sums[n][low - a : high - a] += score[low - at : high - at, :, k]
             seen[n][low - a : high - a] += 1
-    scores = [total / np.maximum(times, 1) for total, times in zip(sums, seen)]
+    scores = [total / times for total, times in zip(sums, seen)]
     paths = viterbi(scores, model.trans, [a == 0 for _, a, _ in where], [b == len(texts[i]) for i, _, b in where])
     for (i, a, _), path in zip(where, paths):
         found[i] += path_spans(path, a)
@@ -508,14 +603,9 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def _spans_of(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[str | None], list[tuple[list[Span], list[Span]]]]]:
     """(first, last, texts, spans) for runs of rows of about a megabyte of text."""
-    for first, last, data, offsets in text_slices(texts, 1 << 20):
-        has = np.concatenate(([0], np.cumsum(_HAS[data])))[offsets]
+    for first, last, _, _ in text_slices(texts, 1 << 20):
         own = texts.slice(first, last - first).to_pylist()
-        spans: list[tuple[list[Span], list[Span]]] = [([], [])] * len(own)
-        rows = np.flatnonzero(np.diff(has)).tolist()  # a text without a digit or an at sign has no span
-        for i, found in zip(rows, text_spans(model, [own[i] for i in rows])):
-            spans[i] = found
-        yield first, last, own, spans
+        yield first, last, own, text_spans(model, [t or "" for t in own])
 
 
 def _find(model: Model):

@@ -69,18 +69,36 @@ def test_the_network_adds_spans(spark):
     assert "555-0187" not in rows[1].redacted and rows[2].spans == ""
 
 
+def plain_emissions(model, codes):
+    """Tag scores of one window, written from the equations of the LSTM."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    hidden = model.wh.shape[1]
+    halves = []
+    for d, order in enumerate((range(len(codes)), range(len(codes) - 1, -1, -1))):
+        h, c, states = np.zeros(hidden), np.zeros(hidden), np.zeros((len(codes), hidden))
+        for t in order:
+            z = model.embed[codes[t]] @ model.wx[d] + h @ model.wh[d] + model.b[d]
+            i, f, o = (sigmoid(z[k * hidden : (k + 1) * hidden]) for k in range(3))
+            c = f * c + i * np.tanh(z[3 * hidden :])
+            h = states[t] = o * np.tanh(c)
+        halves.append(states)
+    return np.concatenate(halves, axis=1) @ model.out + model.out_b
+
+
+def test_emissions_equal_the_equations(model):
+    codes = np.random.Generator(np.random.PCG64(4)).integers(0, pii.N_CHARS, (5, pii.WINDOW))
+    assert np.allclose(pii.emissions(model, codes), [plain_emissions(model, c) for c in codes], atol=1e-3)
+
+
 def decoded_whole(model, text):
-    """Every window of the text, averaged; the plain best path over the whole text, with O alone where no digit or at sign is near."""
+    """Every window over every character, averaged, and the plain best path over the whole text, with no constraint."""
     codes, total, seen = pii.char_codes(text), np.zeros((len(text), len(pii.TAGS))), np.zeros((len(text), 1))
     for at in pii.grid(len(text)):
         part = codes[at : at + pii.WINDOW]
         total[at : at + pii.WINDOW] += pii.emissions(model, np.pad(part, (0, pii.WINDOW - len(part)))[None])[0][: len(part)]
         seen[at : at + pii.WINDOW] += 1
-    score = total / np.maximum(seen, 1)
-    near = {i // pii.STRIDE + k for i, c in enumerate(text) if c in "0123456789@" for k in (-1, 0, 1)}
-    for i in range(len(text)):
-        if i // pii.STRIDE not in near:
-            score[i, 1:] = -1e9
+    assert seen.all()
+    score = total / seen
     best, back = score[0], []
     for t in range(1, len(text)):
         step = best[:, None] + model.trans
@@ -95,10 +113,29 @@ def decoded_whole(model, text):
 def test_decoding_equals_that_of_every_window(spark, model):
     docs = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     texts = [t for t in docs if t and len(t) < 6000][:120] + [t for t, _ in pii.labelled_samples(40, seed=77)] + ["x", "@", "7" * 200, "a" * 31 + "5", "b" * 100 + "1.2.3.4", "call 212-555-0187"]
+    texts += ["@mail" * 200, "x" * 600 + "a.b@c.example", "no digit and no sign at all " * 40, "5", "é" * 300, "z" * (pii.WINDOW - 3) + "anna@post.example " + "y" * pii.STRIDE]
     assert pii.model_spans(model, texts) == [decoded_whole(model, t) for t in texts]
     assert pii.model_spans(model, texts[::-1]) == pii.model_spans(model, texts)[::-1]
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.floats(0.3, 4), st.lists(st.text(alphabet="0123456789@.+- ax\n", max_size=700), min_size=1, max_size=3))
+def test_decoding_of_any_weights_equals_that_of_every_window(seed, scale, texts):
+    """Stretches are bounds, not habits of one model: random transitions and outputs, so that spans start and end anywhere."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    fresh = pii._fresh(rng, 4, 3)
+    outside = np.where(np.arange(len(pii.TAGS)) == 0, np.float32(scale), 0).astype(np.float32)
+    random = fresh._replace(trans=(scale * rng.standard_normal(fresh.trans.shape)).astype(np.float32), out_b=outside, out=(scale * fresh.out).astype(np.float32))
+    assert pii.model_spans(random, texts) == [decoded_whole(random, t) if t else [] for t in texts]
+
+
+def test_stretches_leave_most_of_a_plain_text_out(model):
+    text = "plain words stand here without any number at all, line by line. " * 200 + "call 212-555-0187 now. " + "and more plain words follow. " * 200
+    own = pii.stretches(model, [pii.char_codes(text)])[0]
+    at = text.index("212")
+    assert any(a <= at and at + 12 <= b for a, b in own) and sum(b - a for a, b in own) < len(text) / 10
+
+
 def test_long_stretches_are_decoded_in_chunks(model, monkeypatch):
     text = " ".join(t for t, _ in pii.labelled_samples(30, seed=11)).replace("a", "1")
     whole = pii.model_spans(model, [text])
