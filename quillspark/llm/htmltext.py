@@ -6,12 +6,14 @@ line, links not counted, is smoothed with a Gaussian, and two-means clustering o
 smoothed ratios sets the threshold; lines above it are the content regions.
 
 The regions decide: the article is the innermost container that holds nearly all of
-their text (an <article> or <main> that holds most of it goes before), so what stands
-outside goes, whatever it is called. Inside, blocks without a region whose text is
+their text (an <article> or <main> that holds most of it goes before, with the headline in
+front of it and the sections and paragraphs beside it in <main> that hold regions), so what
+stands outside goes, whatever it is called. Inside, blocks without a region whose text is
 mostly links go, and on a page whose article is the body itself, what stands before the
 first and after the last region unless it is a paragraph or heading. Short lines of the
 article stay. Names, roles and tags of menus, forms, adverts and the like are hints: their
-text counts as nothing in the ratio, and they go from inside the article too.
+text counts as nothing in the ratio, and they go from inside the article too. So do
+elements that are not displayed, and a titled list of comments at the end of the page.
 """
 
 from __future__ import annotations
@@ -61,6 +63,11 @@ _HEADS = frozenset("entry post article story content section".split())
 _TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NO, _WEAKLY, _STRONGLY, _SURELY = range(4)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+#: A style that hides an element.
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: A title over what readers wrote.
+_COMMENTS = re.compile(r"(?:\d+ |reader |readers' |user )*comments?(?: ?\(\d+\))?:?", re.I)
+_LISTS = frozenset(("ol", "ul", "dl"))
 _WHITE = re.compile(r"[\s\xa0]+")
 
 
@@ -141,6 +148,8 @@ class _Lines(HTMLParser):
         for k, v in attrs:
             if k == "hidden" or (k == "aria-hidden" and v == "true"):
                 return _SURELY
+            if k == "style" and v and _HIDDEN.search(v):
+                grade = max(grade, _STRONGLY)  # a page may hide its text until a script runs
             if k == "role" and v in _ROLES:
                 grade = max(grade, _WEAKLY)
             elif v and (k == "class" or (k == "id" and tag not in _TITLES)) and tag not in ("html", "body", "article", "main"):
@@ -213,10 +222,15 @@ class _Lines(HTMLParser):
             e = self.parents[e]
         return out
 
-    def block_of(self, e: int) -> str:
-        """Name of the nearest block around a line."""
+    def block_element(self, e: int) -> int:
+        """The nearest block around a line, -1 outside all."""
         while e >= 0 and self.names[e] not in BLOCK:
             e = self.parents[e]
+        return e
+
+    def block_of(self, e: int) -> str:
+        """Name of the nearest block around a line."""
+        e = self.block_element(e)
         return self.names[e] if e >= 0 else "body"
 
 
@@ -272,7 +286,37 @@ def _hinted(page: _Lines) -> list[bool]:
             else:
                 keep = e in holding and (not strong or share >= 0.5 or names[largest] == "main")
             drops[e] = not keep
-    return [x.element >= 0 and drops[x.element] for x in lines]
+    out = [x.element >= 0 and drops[x.element] for x in lines]
+    comments = page.below(_comments(page, held, total))
+    told = [x.element >= 0 and comments[x.element] for x in lines]
+    if any(told):
+        last = max(i for i, x in enumerate(told) if x)
+        # Where the article goes on, the title is one of its own.
+        if all(out[i] or page.block_of(lines[i].element) not in _GOES_ON for i in range(last + 1, len(lines))):
+            out = [a or b for a, b in zip(out, told)]
+    return out
+
+
+#: Blocks that show that the article goes on.
+_GOES_ON = _TITLES | {"p", "pre", "blockquote"}
+
+
+def _comments(page: _Lines, held: list[float], total: float) -> list[bool]:
+    """The last title that announces comments with the list right after it, or, where the title begins a section, the section, if it holds less than half of the text."""
+    marks = [False] * len(page.names)
+    titles = [page.block_element(x.element) for x in page.lines if _COMMENTS.fullmatch(x.text)]
+    titles = [e for e in titles if e >= 0 and page.names[e] in _TITLES and page.names[e] != "h1"]
+    if not titles:
+        return marks
+    title = max(titles)
+    parent = page.parents[title]
+    siblings = [e for e, up in enumerate(page.parents) if up == parent]
+    after = siblings[siblings.index(title) + 1 :]
+    if siblings[0] == title and parent >= 0 and page.names[parent] in ("section", "div") and held[parent] < 0.5 * total:
+        marks[parent] = True
+    elif after and page.names[after[0]] in _LISTS and held[after[0]] < 0.5 * total:
+        marks[title] = marks[after[0]] = True
+    return marks
 
 
 #: The article holds this share of the regions' text; an <article> or <main> may hold less.
@@ -310,7 +354,10 @@ def main_text(html: str, sigma: float = 1.0, hints: bool = True, clustering: boo
     if articles:
         holder = max(articles)
         inside = page.below([e == holder for e in range(len(names))])
-        return [lines[i].text for i in open_ if lines[i].element >= 0 and inside[lines[i].element]]
+        kept = {i for i in open_ if lines[i].element >= 0 and inside[lines[i].element]}
+        kept |= _beside(page, holder, regions, sizes)
+        kept |= _headline(page, open_, kept)
+        return [lines[i].text for i in sorted(kept)]
     holder = _container(page, found, total)
     inside = page.below([holder is None or e == holder for e in range(len(names))])
     kept = [i for i in open_ if holder is None or (lines[i].element >= 0 and inside[lines[i].element])]
@@ -324,6 +371,39 @@ def main_text(html: str, sigma: float = 1.0, hints: bool = True, clustering: boo
     return [lines[i].text for i in kept]
 
 
+def _beside(page: _Lines, holder: int, regions: np.ndarray, sizes: list[float]) -> set[int]:
+    """Lines of the sections and paragraphs beside an <article> in <main> that are regions for the most part, hold no further article and are not mostly links."""
+    main = page.parents[holder]
+    if page.names[holder] != "article" or main < 0 or page.names[main] != "main":
+        return set()
+    text = page.sums(sizes)
+    found = page.sums([s if r else 0.0 for s, r in zip(sizes, regions)])
+    links = page.sums([float(min(x.links, s)) for x, s in zip(page.lines, sizes)])
+    articles = [name == "article" for name in page.names]
+    for e in range(len(articles) - 1, -1, -1):
+        if articles[e] and page.parents[e] >= 0:
+            articles[page.parents[e]] = True
+    own = page.below([
+        page.parents[e] == main and page.names[e] in _BESIDE and not articles[e] and found[e] > 0.5 * text[e] and links[e] < LINKED * text[e]
+        for e in range(len(page.names))
+    ])
+    return {i for i, x in enumerate(page.lines) if sizes[i] and x.element >= 0 and own[x.element]}
+
+
+#: What stands beside an article as a part of it.
+_BESIDE = frozenset("section p pre blockquote".split())
+
+
+def _headline(page: _Lines, open_: list[int], kept: set[int]) -> set[int]:
+    """Lines of the last <h1> before the article, if it has none of its own and the headline is not a link."""
+    heads = page.below([name == "h1" for name in page.names])
+    heads = [i for i in open_ if page.lines[i].element >= 0 and heads[page.lines[i].element]]
+    if not kept or kept.intersection(heads):
+        return set()
+    heads = [i for i in heads if i < min(kept) and page.lines[i].links < LINKED * len(page.lines[i].text)]
+    return {i for i in heads if page.block_element(page.lines[i].element) == page.block_element(page.lines[heads[-1]].element)}
+
+
 def _container(page: _Lines, found: list[float], total: float) -> int | None:
     """The innermost container with MOST of the regions' text; None where no element holds it."""
     blocks = [0] * len(page.names)  # blocks inside each element
