@@ -4,7 +4,8 @@ Blocks of equal token counts are given to sources, and inside a source to its
 shards, by Sainte-Lague's highest quotients (v / 1, v / 3, v / 5, ...). In each
 shard the documents are laid end to end in a seeded order and the token line is cut
 into blocks. A quota takes every block of its shard once a pass, and the blocks
-that are left of it are chosen by a seeded permutation of the shard's blocks.
+that are left of it are those with the least seeded hashes of the shard's blocks. The
+shard's row knows the hash up to which blocks are taken, so no block is a row.
 """
 
 from __future__ import annotations
@@ -111,8 +112,18 @@ def sainte_lague(votes: DataFrame, seats: str, group: list[str], key: list[str],
     )
 
 
-#: Fixed value: a prime above the number of blocks of any shard, so that multiplying by it permutes them.
-STEP = 1_000_000_007
+#: Low bits of a block's key: its number, so that keys never tie. A text has fewer blocks.
+NUMBER_BITS = 26
+
+
+def block_key(seed: int, source_rank: Column, shard: Column, block: Column) -> Column:
+    """Place of a block in the seeded order of its shard's blocks: the high bits of a hash, then the number."""
+    hashed = F.xxhash64(F.lit(seed), source_rank.cast("long"), shard.cast("long"), block.cast("long"))
+    return F.shiftleft(F.shiftright(hashed, NUMBER_BITS), NUMBER_BITS) + block
+
+
+#: Above the key of every block.
+LAST = 2**63 - 1
 #: Sources with fewer blocks have one block of their own target's size, for a rounded quota would be far from it.
 LEAST_BLOCKS = 8
 #: Shards of a group, and groups of a source at most.
@@ -187,8 +198,19 @@ def _mixed(docs, id_col, text_col, source_col, weights, share, most, block_words
     groups = filled.groupBy("source_rank", "source_quota", "group").agg(F.sum("shard_size").alias("group_size"))
     group_quotas = sainte_lague(groups, "source_quota", ["source_rank"], ["group"], "group_size").select("source_rank", "group", F.col("quota").alias("group_quota"))
     in_group = filled.join(group_quotas, ["source_rank", "group"])
+    numbers = F.sequence(zero, F.col("n_blocks") - 1)
+    keys = F.sort_array(F.transform(numbers, lambda b: block_key(seed, F.col("source_rank"), F.col("shard"), b)))
     shard_quotas = keep(
-        sainte_lague(in_group, "group_quota", ["source_rank", "group"], ["shard"], "shard_size").select("source_rank", "shard", "shard_size", "quota"), "mix-shards"
+        sainte_lague(in_group, "group_quota", ["source_rank", "group"], ["shard"], "shard_size")
+        .withColumn("want", F.least(F.col("quota") * F.col("block"), (F.col("shard_size") * most).cast("long")))
+        .withColumn("passes", F.when(F.col("shard_size") > 0, F.expr("want div shard_size")).otherwise(zero))
+        .withColumn("rest", F.col("want") - F.col("passes") * F.col("shard_size"))
+        .withColumn("n_blocks", F.when(F.col("block") > 0, F.expr("shard_size div block")).otherwise(zero))
+        .withColumn("whole", F.when(F.col("block") > 0, F.expr("rest div block")).otherwise(zero))
+        # The key of the block that is taken in part: those below it are taken whole.
+        .withColumn("bar", F.when(F.col("whole") < F.col("n_blocks"), F.element_at(keys, (F.col("whole") + 1).cast("int"))).otherwise(F.lit(LAST)))
+        .select("source_rank", "shard", "shard_size", "passes", "rest", "n_blocks", "whole", "bar"),
+        "mix-shards",
     )
 
     line = Window.partitionBy("source_rank", "shard").orderBy("order_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -196,20 +218,13 @@ def _mixed(docs, id_col, text_col, source_col, weights, share, most, block_words
         dealt.withColumn("from", F.coalesce(F.sum("size").over(line), zero))
         .join(shard_quotas, ["source_rank", "shard"])
         .withColumn("to", F.col("from") + F.col("size"))
-        .withColumn("want", F.least(F.col("quota") * F.col("block"), (F.col("shard_size") * most).cast("long")))
-        .withColumn("passes", F.when(F.col("shard_size") > 0, F.expr("want div shard_size")).otherwise(zero))
-        .withColumn("rest", F.col("want") - F.col("passes") * F.col("shard_size"))
-        .withColumn("n_blocks", F.when(F.col("block") > 0, F.expr("shard_size div block")).otherwise(zero))
-        .withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "source_rank", "shard"), F.greatest("n_blocks", F.lit(1))))
-        .withColumn("whole", F.when(F.col("block") > 0, F.expr("rest div block")).otherwise(zero))
     )
-    # Block b stands at place (b + 1) STEP + shift of the permutation: the first `whole` places are taken, the next one in part.
     # What is left of the line after whole blocks stands last.
-    place = lambda b: F.when(b < F.col("n_blocks"), F.pmod((b + 1) * STEP + F.col("shift"), F.col("n_blocks"))).otherwise(F.col("n_blocks"))
+    key = lambda b: F.when(b < F.col("n_blocks"), block_key(seed, F.col("source_rank"), F.col("shard"), b)).otherwise(F.lit(LAST))
     length = lambda b: F.least((b + 1) * F.col("block"), F.col("to"), "shard_size") - F.greatest(b * F.col("block"), "from")
     head = lambda b: F.greatest(zero, F.least(b * F.col("block") + F.col("rest") - F.col("whole") * F.col("block"), F.col("to")) - F.greatest(b * F.col("block"), "from"))
     own = F.sequence(F.expr("`from` div block"), F.expr("(`to` - 1) div block"))
-    worth = lambda b: F.when(place(b) < F.col("whole"), length(b)).when(place(b) == F.col("whole"), F.least(length(b), head(b))).otherwise(zero)
+    worth = lambda b: F.when(key(b) < F.col("bar"), length(b)).when(key(b) == F.col("bar"), F.least(length(b), head(b))).otherwise(zero)
     part = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.aggregate(own, zero, lambda total, b: total + worth(b))).otherwise(zero)
     return placed.withColumn("part", part).select(
         "doc_id", "source", "size", "source_size", "target",

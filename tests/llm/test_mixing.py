@@ -2,6 +2,8 @@ from collections import defaultdict
 
 from conftest import DATA
 from edge import ROWS, edge, empty
+from pyspark.sql import functions as F
+
 from quillspark.llm import mixing
 from quillspark.llm.queries import op4_mixing
 
@@ -45,10 +47,6 @@ def test_a_source_with_most_rows(spark):
     check(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long"), shard_words=5000).collect())
 
 
-def chosen(n_blocks, whole, shift):
-    return sorted(range(n_blocks), key=lambda b: ((b + 1) * mixing.STEP + shift) % n_blocks)[:whole]
-
-
 def test_blocks_against_brute_force(spark):
     """Every shard's line is laid out again, its blocks are cut and chosen one by one, and each document's words are counted."""
     docs = [(i, "w " * (i % 170), f"s{i % 3}") for i in range(900)]
@@ -57,21 +55,35 @@ def test_blocks_against_brute_force(spark):
     for r in rows:
         shards[r.source, r.shard].append(r)
     order = sorted({r.source for r in rows})
-    keys = spark.createDataFrame([(order.index(s), n) for s, n in shards], "a int, b long").selectExpr("a", "b", "xxhash64(17, CAST(a AS BIGINT), b) AS h")
-    seed = {(order[r.a], r.b): r.h for r in keys.collect()}
-    scattered = 0
+    keys = spark.createDataFrame([(order.index(s), n) for s, n in shards], "a long, b long").selectExpr("a", "b", "explode(sequence(0L, 99L)) AS k")
+    hashes = {(order[r.a], r.b, r.k): r.h >> 26 for r in keys.selectExpr("*", "xxhash64(17, a, b, k) AS h").collect()}
     for key, own in shards.items():
         own.sort(key=lambda r: (r.order_hash, r.doc_id))
         line = [i for i, r in enumerate(own) for _ in range(r.size)]
         part = sum(r.part for r in own)
         n, whole = len(line) // 64, part // 64
-        blocks = chosen(n, n, seed[key] % max(1, n))
-        scattered += any(b - a > 1 for a, b in zip(sorted(blocks[:whole]), sorted(blocks[:whole])[1:]))
+        blocks = sorted(range(n), key=lambda b: (hashes[(*key, b)], b))
         taken = [x for b in blocks[:whole] for x in line[b * 64 : b * 64 + 64]]
         last = blocks[whole] if whole < n else n
         taken += line[last * 64 : last * 64 + part - whole * 64]
         assert [taken.count(i) for i in range(len(own))] == [r.part for r in own]
-    assert len(shards) > 9 and scattered
+    assert len(shards) > 9
+
+
+def test_blocks_are_chosen_as_if_at_random(spark):
+    """Runs of chosen blocks are as many as chance makes them, whatever the number of blocks, and two seeds share the expected part."""
+    sizes = [3, 24, 100, 327, 334, 436, 501, 504, 654, 668, 763, 872, 981, 1024, 2000]
+    places = spark.createDataFrame([(n,) for n in sizes], "n long").selectExpr("n", "explode(sequence(0L, n - 1)) AS b")
+    keys = defaultdict(dict)
+    made = places.select("n", "b", *[mixing.block_key(s, F.lit(1), F.col("n"), F.col("b")).alias(f"k{s}") for s in (17, 18)])
+    for r in made.collect():
+        keys[r.n][r.b] = (r.k17, r.k18)
+    for n in sizes:
+        first, second = (set(sorted(range(n), key=lambda b: keys[n][b][s])[: n // 2]) for s in (0, 1))
+        assert len({k[0] for k in keys[n].values()}) == n
+        if n >= 100:
+            runs = sum(b - 1 not in first for b in first)
+            assert abs(runs - n / 4) < 5 * (n**0.5) / 4 and abs(len(first & second) - n / 4) < 5 * (n**0.5) / 4
 
 
 def test_many_and_tiny_sources(spark):
