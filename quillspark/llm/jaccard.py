@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix, run_hashes, scratch, staged, text_slices, word_runs
+from quillspark.llm.common import by_membership, mix, run_hashes, scratch, staged, text_slices, word_runs
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -286,27 +286,30 @@ def _linked(
     text = F.lower(F.col(text_col).cast("string"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     schema = "doc_id long, text_hash long, set_a long, set_b long, n_shingles long, bands array<bigint>"
-    # Rows are numbered once, in the table that is written.
-    described = staged(texts.mapInArrow(_describe(n, rows, bands), schema).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
     sets = ["set_a", "set_b", "n_shingles"]
-    copied = staged(described.filter("n_shingles > 0").groupBy(*sets).agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "jaccard-copies")
-    member = staged(
-        described.drop("bands").join(copied, sets, "left").select("row", "doc_id", "text_hash", "n_shingles", "set_a", F.coalesce("first", "row").alias("node")),
-        "jaccard-members",
-    )
-    alone = described.join(copied, sets, "left").filter("n_shingles > 0 AND row = COALESCE(first, row)")
-    banded = staged(alone.select(F.col("row").alias("node"), F.explode("bands").alias("band")), "jaccard-bands")
+    with scratch(docs.sparkSession) as keep:
+        # Rows are numbered once, in the table that is written.
+        described = staged(texts.mapInArrow(_describe(n, rows, bands), schema).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+        copied = staged(described.filter("n_shingles > 0").groupBy(*sets).agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "jaccard-copies")
+        named = described.join(copied, sets, "left").withColumn("node", F.coalesce("first", "row"))
+        own = F.when((F.col("row") == F.col("node")) & (F.col("n_shingles") > 0), F.col("bands"))
+        member = keep(named.select("row", "doc_id", "text_hash", "n_shingles", "set_a", "node", own.alias("bands")), "jaccard-members")
+    banded = member.select("node", F.explode("bands").alias("band"))
+    member = member.drop("bands")
     heads = staged(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "jaccard-heads")
-    banded = banded.join(heads, "band")
+    # Most bands have one member, so they are told apart before the shuffle.
+    banded = staged(by_membership(banded, [F.col("band")], heads, [F.col("band")]).join(heads, "band"), "jaccard-bands")
     edges = banded.filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
     candidate = components(edges, "jaccard-candidates")
 
     first = member.filter("row = node").select("node", "doc_id", "text_hash", "set_a", "n_shingles")
     routes = _routes(candidate, banded.drop("head"), first.select("node", "n_shingles"), threshold, block_docs, block_shingles)
-    wanted = first.drop("n_shingles").join(routes, "node").alias("w")
+    wanted = staged(first.drop("n_shingles").join(routes, "node"), "jaccard-wanted")
+    key = [F.col("text_hash"), F.col("doc_id")]
+    asked = by_membership(texts, key, wanted, key)
     same_text = (F.col("t.text_hash") == F.col("w.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
     route = "routes array<struct<group: bigint, same: boolean, block: bigint>>"
-    grams = texts.alias("t").join(wanted, same_text).select("w.node", "w.set_a", "w.routes", "t.text").mapInArrow(_grams(n), f"node long, {route}, grams binary")
+    grams = asked.alias("t").join(wanted.alias("w"), same_text).select("w.node", "w.set_a", "w.routes", "t.text").mapInArrow(_grams(n), f"node long, {route}, grams binary")
     dealt = grams.select("node", "grams", F.explode("routes").alias("r")).select("r.group", "r.same", "r.block", "node", "grams")
     found = staged(
         dealt.repartition(_partitions(docs), "group").sortWithinPartitions("group").mapInArrow(_verify(threshold), "node long, links long, head long"), "jaccard-links"
@@ -370,7 +373,9 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         same = (text_hash(rows) == keys["_jaccard_text"]) & rows[id_col].cast("long").eqNullSafe(keys["_jaccard_id"])
         return rows.join(keys, same, how)
 
-    kept = without(docs, "left_anti", judged.filter("NOT stays"))
+    going = judged.filter("NOT stays")
+    told = lambda how: by_membership(docs, [text_hash(docs), docs[id_col].cast("long")], going, [F.col("text_hash"), F.col("doc_id")], how)
+    kept = told("left_anti").unionByName(without(told("left_semi"), "left_anti", going))
     again = judged.filter("stays AND n > 1")
     if not again.limit(1).count():  # no row repeats both an id and a text
         return kept
