@@ -112,3 +112,13 @@ def fees(best: DataFrame, people: DataFrame) -> DataFrame:
     pairs = fee.join(people, ["cohort", "name"]).withColumn("_same", F.coalesce(same, F.lit(False)))
     counted = pairs.groupBy("cohort", "name").agg(F.count("*").alias("_n"), F.sum(F.col("_same").cast("int")).alias("_hits"))
     return pairs.join(counted, ["cohort", "name"]).filter((F.col("_n") == 1) | (F.col("_hits") != 1) | F.col("_same")).select("person_id", "amount")
+
+
+def fees_applied(people: DataFrame, found: DataFrame) -> DataFrame:
+    """`people` (person_id, fee, …) with the amounts of `found` (person_id, amount) as fees; who has none there keeps the old fee.
+
+    A null amount changes nothing; of several amounts of a person the largest counts. Amounts of unknown people go nowhere.
+    """
+    new = found.groupBy(F.col("person_id").alias("_person")).agg(F.max("amount").alias("_new"))
+    fee = F.coalesce("_new", "fee").alias("fee")
+    return people.join(new, F.col("person_id") == F.col("_person"), "left").select(*[fee if c == "fee" else F.col(c) for c in people.columns])

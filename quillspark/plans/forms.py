@@ -72,6 +72,12 @@ def fees_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.fees(best, people)
 
 
+def fees_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People of all cohorts after the fees of some cohorts are written: new amounts where there are any, else what they had."""
+    people = _people(spark, sf_dir).withColumn("fee", F.when(F.col("person_id") % 2 == 0, F.lit(500).cast("long")))
+    return match.fees_applied(people, fees_matched(spark, sf_dir).join(people.filter("cohort < 12"), "person_id", "left_semi")).select("person_id", "cohort", "fee")
+
+
 def fee_union_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracts with their own grade tables appended; people and money per source and amount."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
@@ -170,7 +176,7 @@ def display_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    unpivot_answers, unpivot_reviewers, column_profile, match_cascade, match_narrowed, fee_argmax, fees_matched, fee_union_histogram, mode_first_seen,
+    unpivot_answers, unpivot_reviewers, column_profile, match_cascade, match_narrowed, fee_argmax, fees_matched, fees_updated, fee_union_histogram, mode_first_seen,
     natural_sort_keys, name_cells, answer_cells, file_cells, display_cells,
 )}
 
@@ -212,6 +218,13 @@ ORACLES = {
         pairs AS (SELECT person_id, amount, p <> '' AND p = phone AS same, COUNT(*) OVER w AS n, COUNT(*) FILTER (p <> '' AND p = phone) OVER w AS hits
                   FROM fee JOIN people USING (cohort, name) WINDOW w AS (PARTITION BY cohort, name))
         SELECT person_id, amount FROM pairs WHERE n = 1 OR hits <> 1 OR same""",
+    "fees_updated": f"""
+        WITH people AS ({_PEOPLE}),
+        fee AS (SELECT cohort, name, CASE WHEN MAX(phone) LIKE '%3' THEN '' ELSE MAX(phone) END AS p, COUNT(*) * 1000 AS amount FROM people GROUP BY 1, 2),
+        pairs AS (SELECT person_id, amount, p <> '' AND p = phone AS same, COUNT(*) OVER w AS n, COUNT(*) FILTER (p <> '' AND p = phone) OVER w AS hits
+                  FROM fee JOIN people USING (cohort, name) WINDOW w AS (PARTITION BY cohort, name)),
+        new AS (SELECT person_id, MAX(amount) AS amount FROM pairs WHERE n = 1 OR hits <> 1 OR same GROUP BY 1)
+        SELECT person_id, cohort, COALESCE(CASE WHEN cohort < 12 THEN amount END, CASE WHEN person_id % 2 = 0 THEN 500 END) AS fee FROM people LEFT JOIN new USING (person_id)""",
     "fee_union_histogram": f"""
         WITH every AS (
             SELECT 'level' AS src, {_CASE(S.LEVEL_AMOUNTS, "l_linenumber")} AS amount FROM lineitem WHERE l_returnflag = 'A'

@@ -59,6 +59,15 @@ def extracted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.extract(docs.unionByName(pages)).select("path", F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
+def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files in UTF-8, cp949 and UTF-16, and one kind that is none of them, whose text is empty."""
+    c = table(spark, sf_dir, "customer")
+    text, kind = F.concat(F.lit("한글 "), F.col("c_name")), F.col("c_custkey") % 4
+    cp949 = F.concat(F.unhex(F.lit("C7D1B1DB20")), F.encode("c_name", "UTF-8"))  # the same Hangul as bytes of that code page
+    content = F.when(kind == 0, F.encode(text, "UTF-8")).when(kind == 1, cp949).when(kind == 2, F.encode(text, "UTF-16")).otherwise(F.unhex(F.lit("FF")))
+    return documents.extract(c.select(F.concat(F.lit("in/"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("path"), content.alias("content")))
+
+
 def composed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decomposed letters, invisible characters, blanks, groups and Latin letters at the end."""
     c = table(spark, sf_dir, "customer")
@@ -182,7 +191,7 @@ def question_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    sheet_rows, sheet_answers, sheet_reviews, extracted_files, composed_names, question_lookup, match_by_cohort, name_candidates, class_filter, fee_histogram, fee_totals,
+    sheet_rows, sheet_answers, sheet_reviews, extracted_files, encoded_files, composed_names, question_lookup, match_by_cohort, name_candidates, class_filter, fee_histogram, fee_totals,
     fee_extract_report, fees_checked, fees_rejected, small_cells, jobs_of_a_range, activity_log, essays_in_two_sections, question_order,
 )}
 
@@ -227,6 +236,7 @@ ORACLES = {
             UNION ALL SELECT 'in/p' || page_id || '.html', text FROM ({html})),
         s AS (SELECT path, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM t)
         SELECT path, length(text) AS n_chars, md5(text) AS text_md5 FROM s""".replace("{html}", texts.ORACLES["html_to_text"]),
+    "encoded_files": "SELECT 'in/' || c_custkey || '.txt' AS path, CASE WHEN c_custkey % 4 < 3 THEN '한글 ' || c_name ELSE '' END AS text FROM customer",
     "composed_names": """
         SELECT c_custkey, replace(nfc_normalize('1é' || c_name || chr(4352) || chr(4449)), ' ', '') AS name FROM customer""",
     "question_lookup": """

@@ -128,3 +128,11 @@ def test_replies(spark):
     got = [(r.valid, r[scoring.FINAL], r["선별_상태"], r["신뢰성_리스크"]) for r in scoring.parsed(df).orderBy("i").collect()]
     assert got[0] == (True, 5, "선별", "없음") and not got[1][0] and not got[2][0]
     assert got[3] == (True, 4, "선별", "높음") and got[4] == (True, 1, "제외", "없음")
+
+
+def test_fees_applied_keeps_old_fees_and_ignores_unknown_people(spark):
+    people = spark.createDataFrame([(1, 5, "a"), (2, None, "b"), (3, 7, "c"), (3, 8, "d")], "person_id long, fee long, note string")
+    found = spark.createDataFrame([(1, 10), (1, 30), (2, None), (3, 9), (4, 1), (None, 2)], "person_id long, amount long")
+    got = sorted(map(tuple, match.fees_applied(people, found).collect()))
+    assert got == [(1, 30, "a"), (2, None, "b"), (3, 9, "c"), (3, 9, "d")]
+    assert sorted(map(tuple, match.fees_applied(people, found.limit(0)).collect()), key=str) == sorted(map(tuple, people.collect()), key=str)
