@@ -3,7 +3,10 @@ import re
 
 from conftest import DATA
 from edge import ROWS, edge, empty
+from pyspark.sql import functions as F
+
 from quillspark.llm import jaccard
+from quillspark.llm.common import by_membership
 from quillspark.llm.queries import op3_ngram_jaccard_join
 
 
@@ -102,3 +105,15 @@ def test_bands_reach_the_recall():
     for threshold in (0.7, 0.8, 0.9):
         bands = jaccard.bands_for(threshold, 0.999)
         assert 1 - (1 - threshold**7) ** bands >= 0.999 > 1 - (1 - threshold**7) ** (bands - 1)
+
+
+def test_membership_loses_no_row_and_its_two_sides_are_a_partition(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, str(i % 40) if i % 3 else None, i) for i in range(400)], "word long, bits string, n long")
+    keys = rows.filter("n % 8 = 0").select("word", "bits")
+    own = [F.col("word"), F.col("bits")]
+    maybe = {r.n for r in by_membership(rows, [rows["word"], rows["bits"]], keys, own).collect()}
+    surely_not = {r.n for r in by_membership(rows, [rows["word"], rows["bits"]], keys, own, "left_anti").collect()}
+    wanted = {(r.word, r.bits) for r in keys.collect()}
+    assert {r.n for r in rows.collect() if (r.word, r.bits) in wanted} <= maybe
+    assert not maybe & surely_not and maybe | surely_not == set(range(400)) and surely_not
+    assert not by_membership(rows, [rows["word"]], keys.limit(0), [F.col("word")]).count()
