@@ -74,7 +74,7 @@ def by_membership(df: DataFrame, own: list[Column], keys: DataFrame, theirs: lis
     """The rows of `df` whose columns `own` may equal `theirs` of a row in `keys`: all that do, and some others; with left_anti, the rows that surely do not.
 
     The keys set bits of a table of fixed size, which is broadcast, so rows without a partner need no shuffle to find
-    that out. The more keys, the more other rows pass (4 % at one million, nearly all from a hundred million on); the join
+    that out. The more keys, the more other rows pass (3 % at one million, a quarter at ten million, nearly all from a hundred million on); the join
     that must follow decides in any case. Nulls match nulls.
     """
     place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(MEMBER_BITS))
