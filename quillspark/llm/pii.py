@@ -192,33 +192,41 @@ def _scores(model: Model, codes: np.ndarray) -> np.ndarray:
     n, steps = codes.shape
     hidden, embed = model.wh.shape[1], model.embed.shape[1]
     codes, vectors = np.ascontiguousarray(codes.T), np.ascontiguousarray(model.embed.T)
-    # sigmoid(x) = (1 + tanh(x / 2)) / 2: gates are kept doubled, and so are the hidden states, whose weights are halved.
-    half = np.where(np.arange(4 * hidden) < 3 * hidden, 0.5, 1).astype(np.float32)[:, None]
-    out = np.concatenate((model.out.T / 2, model.out_b[:, None]), axis=1)
+    # sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 2 sigmoid(2 x) - 1, as numpy's exp takes a fraction of the time of its tanh. Signs and factors
+    # are in the weights; cell states are kept times -2, hidden states halved, and so the weights of those are doubled.
+    factor = np.where(np.arange(4 * hidden) < 3 * hidden, -1, -2).astype(np.float32)[:, None]
+    out = np.concatenate((model.out.T * 2, model.out_b[:, None]), axis=1)
     score = np.empty((steps, len(TAGS), n), np.float32)
     states = np.empty((steps, hidden, n), np.float32)
     both = np.ones((2 * hidden + 1, n), np.float32)
     for d, order in enumerate((range(steps), range(steps - 1, -1, -1))):
-        weights = half * np.concatenate((model.wh[d].T / 2, model.wx[d].T, model.b[d][:, None]), axis=1)
+        weights = factor * np.concatenate((model.wh[d].T * 2, model.wx[d].T, model.b[d][:, None]), axis=1)
         given = np.ones((hidden + embed + 1, n), np.float32)
         h, x = given[:hidden], given[hidden:-1]
         h[:] = 0
         c, tc, z = np.zeros((hidden, n), np.float32), np.empty((hidden, n), np.float32), np.empty((4 * hidden, n), np.float32)
-        gates, i, f, o, g = z[: 3 * hidden], z[:hidden], z[hidden : 2 * hidden], z[2 * hidden : 3 * hidden], z[3 * hidden :]
-        for t in order:
-            np.take(vectors, codes[t], axis=1, out=x, mode="clip")
-            np.tanh(np.matmul(weights, given, out=z), out=z)
-            gates += 1
-            c *= f
-            i *= g
-            c += i
-            c *= 0.5
-            np.multiply(o, np.tanh(c, out=tc), out=h)
-            if d == 0:
-                states[t] = h
-            else:
-                both[:hidden], both[hidden:-1] = states[t], h
-                np.matmul(out, both, out=score[t])
+        i, f, o, g = z[:hidden], z[hidden : 2 * hidden], z[2 * hidden : 3 * hidden], z[3 * hidden :]
+        with np.errstate(over="ignore"):  # 1 / (1 + infinity) is the 0 it should be
+            for t in order:
+                np.take(vectors, codes[t], axis=1, out=x, mode="clip")
+                np.exp(np.matmul(weights, given, out=z), out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                g *= -4
+                g += 2
+                c *= f
+                i *= g
+                c += i
+                np.exp(c, out=tc)
+                tc += 1
+                np.reciprocal(tc, out=tc)
+                tc -= 0.5
+                np.multiply(o, tc, out=h)
+                if d == 0:
+                    states[t] = h
+                else:
+                    both[:hidden], both[hidden:-1] = states[t], h
+                    np.matmul(out, both, out=score[t])
     return score
 
 

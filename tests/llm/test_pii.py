@@ -90,6 +90,16 @@ def test_emissions_equal_the_equations(model):
     assert np.allclose(pii.emissions(model, codes), [plain_emissions(model, c) for c in codes], atol=1e-3)
 
 
+def test_emissions_of_large_weights_without_the_slow_tanh(model, monkeypatch):
+    """Saturated gates, whose exponentials are infinite, equal the equations; numpy's tanh, most of the network's time, is not called."""
+    codes = np.random.Generator(np.random.PCG64(6)).integers(0, pii.N_CHARS, (3, pii.WINDOW))
+    large = model._replace(embed=model.embed * 40, b=model.b * 10)
+    with np.errstate(over="ignore"):
+        expected = [plain_emissions(large, c) for c in codes]
+    monkeypatch.delattr(np, "tanh")
+    assert np.allclose(pii.emissions(large, codes), expected, atol=1e-2)
+
+
 def decoded_whole(model, text):
     """Every window over every character, averaged, and the plain best path over the whole text, with no constraint."""
     codes, total, seen = pii.char_codes(text), np.zeros((len(text), len(pii.TAGS))), np.zeros((len(text), 1))
