@@ -10,7 +10,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Hashable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +18,8 @@ from quillspark.operators.editing import sentences
 
 #: Sentences of a document, on either side, that may hold a token which makes them candidates for each other.
 RARE = 20
-#: Rows that a task gathers before it hands them on.
-ROWS = 20_000
+#: Rows and characters that a task gathers before it hands them on.
+ROWS, CHARS = 5_000, 1 << 21
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -99,24 +99,47 @@ def changes(a: Sequence[str], b: Sequence[str]) -> Iterator[tuple[str, int, int,
         i, j, run = k + 1, m + 1, run + 1
 
 
-def _hunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["key", "hunk", "kind", "before_at", "before_n", "after_at", "after_n", "before", "after"]
+def _batches(rows: Iterator[tuple[tuple, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows, each beside its number of characters, in batches of ROWS rows or about CHARS characters; a document's rows may part anywhere."""
+    out: list[tuple] = []
+    size = 0
+    for row, chars in rows:
+        out.append(row)
+        size += chars
+        if len(out) >= ROWS or size >= CHARS:
+            yield _batch(out, schema)
+            out, size = [], 0
+    if out:
+        yield _batch(out, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, before, after) of one row after the other; only one document's texts are Python objects at a time."""
     for batch in batches:
-        out: list[tuple] = []
-        for key, before, after in zip(batch["key"], batch["before"], batch["after"]):
+        for row in zip(*batch.columns):
+            yield tuple(x.as_py() for x in row)
+
+
+_HUNK = pa.schema([("key", pa.string()), ("hunk", pa.int32()), ("kind", pa.string()), *[(c, pa.int32()) for c in ("before_at", "before_n", "after_at", "after_n")], *[(c, pa.list_(pa.string())) for c in ("before", "after")]])
+
+
+def _hunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple[tuple, int]]:
+        for key, before, after in _documents(batches):
             a, b = ([] if x is None else x.split("\n") for x in (before, after))
             for n, (kind, i, k, j, m) in enumerate(changes(a, b)):
-                kept = kind == "kept"
-                out.append((key, n, kind, i, k, j, m, [] if kept else a[i : i + k], [] if kept else b[j : j + m]))
-            if len(out) >= ROWS:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=columns)
+                old, new = ([], []) if kind == "kept" else (a[i : i + k], b[j : j + m])
+                yield (key, n, kind, i, k, j, m, old, new), sum(map(len, old)) + sum(map(len, new))
+
+    return _batches(rows(), _HUNK)
 
 
 def _side_by_side(before: DataFrame, after: DataFrame, key: str, value: Column) -> DataFrame:
-    """key (as text, since pandas would turn whole numbers beside a null into floats), before, after; keys that only one side has have null on the other."""
+    """key (as text, of whatever type), before, after; keys that only one side has have null on the other."""
     old, new = (df.select(F.col(key).cast("string").alias("key"), value.alias(side)) for df, side in ((before, "before"), (after, "after")))
     return old.join(new, "key", "full")
 
@@ -129,7 +152,7 @@ def hunks(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame
     them divides the texts, and what lies between is divided likewise, so a line that moved is deleted in one place and inserted in another.
     """
     schema = "key string, hunk int, kind string, before_at int, before_n int, after_at int, after_n int, before array<string>, after array<string>"
-    made = _side_by_side(before, after, key, F.col(text).cast("string")).mapInPandas(_hunks, schema)
+    made = _side_by_side(before, after, key, F.col(text).cast("string")).mapInArrow(_hunks, schema)
     return made.withColumn("key", F.col("key").cast(before.schema[key].dataType))
 
 
@@ -176,21 +199,18 @@ def told_apart(a: Sequence[str], b: Sequence[str], least: float) -> list[tuple[s
     return out + [("missing", i, None, 0.0) for i in old if i not in done[0]] + [("added", None, j, 0.0) for j in new if j not in done[1]]
 
 
+_SENTENCE = pa.schema([("key", pa.string()), ("kind", pa.string()), ("before_at", pa.int32()), ("after_at", pa.int32()), ("before", pa.string()), ("after", pa.string()), ("similarity", pa.float64())])
+
+
 def _reported(least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["key", "kind", "before_at", "after_at", "before", "after", "similarity"]
-        for batch in batches:
-            out: list[tuple] = []
-            for key, a, b in zip(batch["key"], batch["before"], batch["after"]):
-                a, b = ([] if x is None else list(x) for x in (a, b))
-                out += [(key, kind, i, j, None if i is None else a[i], None if j is None else b[j], alike) for kind, i, j, alike in told_apart(a, b, least)]
-                if len(out) >= ROWS:
-                    yield pd.DataFrame(out, columns=columns).astype({"before_at": "Int32", "after_at": "Int32"})
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns).astype({"before_at": "Int32", "after_at": "Int32"})
-
-    return run
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
+        for key, before, after in _documents(batches):
+            a, b = before or [], after or []
+            for kind, i, j, alike in told_apart(a, b, least):
+                old, new = None if i is None else a[i], None if j is None else b[j]
+                yield (key, kind, i, j, old, new, alike), len(old or "") + len(new or "")
+
+    return lambda batches: _batches(rows(batches), _SENTENCE)
 
 
 def sentence_report(before: DataFrame, after: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
@@ -203,5 +223,5 @@ def sentence_report(before: DataFrame, after: DataFrame, key: str, text: str, le
     Keys stand once on each side; texts that are null or not there have no sentences. Both texts of a document meet once, in one row.
     """
     schema = "key string, kind string, before_at int, after_at int, before string, after string, similarity double"
-    made = _side_by_side(before, after, key, sentences(F.col(text).cast("string"))).mapInPandas(_reported(least), schema)
+    made = _side_by_side(before, after, key, sentences(F.col(text).cast("string"))).mapInArrow(_reported(least), schema)
     return made.withColumn("key", F.col("key").cast(before.schema[key].dataType))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,22 @@ def test_hunks_cover_both_sides_and_rebuild_the_revision(spark):
     assert revision.hunks(before.limit(0), after.limit(0), "id", "t").count() == 0
 
 
+def test_what_a_task_gathers_is_bounded_by_characters():
+    """Texts of half a million characters that change wholly: each goes on before many more are read, and no batch holds more than a few."""
+    taken = []
+
+    def batches():
+        for n in range(40):
+            taken.append(n)
+            text = [chr(97 + n % 26) * 1000 + str(i) for i in range(500)]
+            yield pa.RecordBatch.from_pydict({"key": [str(n)], "before": ["\n".join(text)], "after": ["new"]})
+
+    made = revision._hunks(batches())
+    first = next(made)
+    assert len(taken) < 10 and first.nbytes < 2 * revision.CHARS
+    assert sum(len(b) for b in [first, *made]) == 40
+
+
 def test_registered_hunks_give_the_revision(spark):
     before, after = editorial._proofs(spark, DATA)
     made = editorial.revision_hunks(spark, DATA)
