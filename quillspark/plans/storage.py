@@ -156,7 +156,9 @@ def _packed(member: pd.Series, content: pd.Series) -> pd.Series:
 
 
 def _file(df: DataFrame, extension: str, member: str, content) -> DataFrame:
-    return df.select(F.concat(F.col("c_custkey").cast("string"), F.lit(extension)).alias("path"), _packed(F.lit(member), content).alias("content"))
+    # A file costs far more work than its row has bytes, so rows are dealt over all cores, twice, not by the size of the scan.
+    dealt = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "c_custkey")
+    return dealt.select(F.concat(F.col("c_custkey").cast("string"), F.lit(extension)).alias("path"), _packed(F.lit(member), content).alias("content"))
 
 
 def packed_files(spark: SparkSession, sf_dir: str) -> DataFrame:

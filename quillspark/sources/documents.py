@@ -105,6 +105,8 @@ def composed_name(c: Column) -> Column:
     return normal_name(nfc(c), zero_width=True, inner_spaces=True)
 
 
+#: Characters of cells that a task gathers before it hands them on.
+MOST_CHARS = 1 << 22
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -147,19 +149,26 @@ def _sheet_rows(data: bytes, sheet: int) -> Iterator[tuple[int, list[str | None]
 def workbook_rows(files: DataFrame, sheet: int = 1, batch: int = 5000) -> DataFrame:
     """path, row, cells of one worksheet of listed workbooks (values only); broken workbooks give no rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows: list = []
+            for path, data in zip(b.column(0), b.column(1)):
                 try:
                     for number, cells in _sheet_rows(data.as_py(), sheet):
-                        rows.append((path, number, cells))
-                        if len(rows) >= batch:
-                            yield _rows(rows)
-                            rows = []
+                        yield path.as_py(), number, cells
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
                     pass
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Small workbooks share a batch; large rows end one.
+        rows: list[tuple] = []
+        size = 0
+        for row in found(batches):
+            rows.append(row)
+            size += sum(len(x) for x in row[2] if x)
+            if len(rows) >= batch or size >= MOST_CHARS:
                 yield _rows(rows)
+                rows, size = [], 0
+        yield _rows(rows)
 
     return files.select("path", "content").mapInArrow(run, "path string, row int, cells array<string>")
 

@@ -5,10 +5,12 @@ import struct
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import scoring
+from quillspark.plans import storage
 from quillspark.sources import documents, hwp, schema, seed, sinks, tables
 from quillspark.streaming import intake
 
@@ -92,6 +94,21 @@ def test_documents(spark, tmp_path):
     assert got == {"a.hwpx": "first <1>\nsec\nond\nthird", "b.docx": "one &\ntwo", "c.txt": "한글", "d.docx": "", "g.hwp": "본문", "h.hwp": "", "e.html": "a b\nd\nd\nc <"}
 
 
+SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1"><v>1</v></c></row><row r="2"><c r="A2"><v>2</v></c></row></sheetData></worksheet>'
+
+
+def test_small_packed_files_are_dealt_over_all_cores_and_share_batches(spark):
+    """One small scan task makes many files; reading them is the work of all cores, and their rows do not go on file by file."""
+    c = spark.range(64).selectExpr("id AS c_custkey").coalesce(1)
+    files = storage._file(c, ".xlsx", "xl/worksheets/sheet1.xml", F.lit(SHEET))
+    assert files.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    rows = documents.workbook_rows(files.coalesce(1))
+    assert rows.count() == 128
+    assert rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").count() < 10
+    assert sorted(r.row for r in documents.workbook_rows(files, batch=3).collect()) == [1] * 64 + [2] * 64
+    assert documents.workbook_rows(files.limit(0)).count() == 0
+
+
 def test_workbook(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     sheet = f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>1</v></c><c r="C1"><v>4.5</v></c></row><row r="3"><c r="B3" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>'
