@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars as S
+from quillspark.functions import text as T
 
 
 def column(spark, make, values, kind="string"):
@@ -96,3 +97,18 @@ def test_small_cells(spark):
     assert column(spark, S.parameter_number, ["7", " 8 ", "", "x", None]) == [7, 8, None, None, None]
     assert column(spark, S.student_type_of, ["성적향상자", "우수", None]) == ["성적향상", "성적우수", "성적우수"]
     assert column(spark, S.needs_normalising, ["김A", "김(", "김철수"]) == [True, True, False]
+
+
+def test_strip_takes_what_the_property_white_space_holds(spark):
+    """Every character of the basic plane at both ends, beside the regular expression that reads the property."""
+    chars = spark.range(1, 0x10000).filter("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    texts = chars.select(F.explode(F.array(F.concat("c", F.lit("a b"), "c"), F.concat("c", "c"), F.concat(F.lit(" a"), "c", F.lit("　\n")))).alias("t"))
+    assert texts.filter(~S.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s++|(?<!\s)\s++$", ""))).count() == 0
+
+
+def test_a_line_is_trimmed_once_and_not_in_every_condition(spark):
+    lines = spark.range(3).selectExpr("id AS doc", "'k' AS key", "0 AS pos", "concat('  line ', id, '　') AS line")
+    made = T.stripped(lines, "doc", "key", spark.createDataFrame([("k", "line 1", 3)], "key string, line string, c long"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") + plan.count("regexp_replace(") == 1
+    assert sorted(tuple(r) for r in made.collect()) == [(0, "line 0"), (2, "line 2")]
