@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
@@ -174,6 +175,25 @@ def test_what_a_task_gathers_is_bounded_by_characters():
     assert sum(len(b) for b in [first, *made]) == 40
 
 
+def test_documents_of_one_batch_leave_in_bounded_parts():
+    """Many changed documents arrive in one batch; their hunks leave in several, and Python objects never stand for the whole batch."""
+    lines = [chr(97 + i % 26) * 200 for i in range(200)]
+    old = ["\n".join(f"{n} {i} {x}" for i, x in enumerate(lines)) for n in range(400)]
+    new = ["\n".join(x.split("\n")[:100]) + "\n" + "\n".join(x.split("\n")[100:]).upper() for x in old]
+    batch = pa.RecordBatch.from_pydict({"key": [str(n) for n in range(400)], "before": old, "after": new})
+    sizes, parts = [], {}
+    tracemalloc.start()
+    for made in revision._hunks(iter([batch])):
+        sizes.append(made.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sizes) > 1 and max(sizes) < 2 * revision.CHARS and peak < 8 * revision.CHARS < batch.nbytes
+    for made in revision._hunks(iter([batch])):
+        for key, kind, at, n, after in zip(*(made.column(c).to_pylist() for c in ("key", "kind", "before_at", "before_n", "after"))):
+            parts.setdefault(int(key), []).extend(old[int(key)].split("\n")[at : at + n] if kind == "kept" else after)
+    assert ["\n".join(parts[n]) for n in range(400)] == new
+
+
 def test_registered_hunks_give_the_revision(spark):
     before, after = editorial._proofs(spark, DATA)
     made = editorial.revision_hunks(spark, DATA)
