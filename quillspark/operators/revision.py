@@ -138,10 +138,23 @@ def _hunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batches(rows(), _HUNK)
 
 
+def _keyed(df: DataFrame, key: str, value: Column, none: str, side: str) -> DataFrame:
+    """key as text of whatever type behind a mark, or `none` where it is null; the value as `side`. The same rows asked for again are the same shuffle."""
+    return df.select(_marked(key, none).alias("key"), value.alias(side))
+
+
+def _marked(key: str, none: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(none))
+
+
+def _unmarked() -> Column:
+    return F.when(F.startswith("key", F.lit("=")), F.expr("substring(key, 2)"))
+
+
 def _side_by_side(before: DataFrame, after: DataFrame, key: str, value: Column) -> DataFrame:
-    """key (as text, of whatever type), before, after; keys that only one side has have null on the other."""
-    old, new = (df.select(F.col(key).cast("string").alias("key"), value.alias(side)) for df, side in ((before, "before"), (after, "after")))
-    return old.join(new, "key", "full")
+    """key (as text, of whatever type), before, after; keys that only one side has, and keys that are null, have null on the other."""
+    both = _keyed(before, key, value, "<", "before").join(_keyed(after, key, value, ">", "after"), "key", "full")
+    return both.select(_unmarked().alias("key"), "before", "after")
 
 
 def hunks(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame:
@@ -157,13 +170,17 @@ def hunks(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame
 
 
 def applied(before: DataFrame, made: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text: the revision, from the original and its hunks alone; null where no line is left. One document's hunks meet in one row."""
-    steps = made.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("hunk", "kind", "before_at", "before_n", "after"))).alias("_steps"))
-    old = before.select(F.col(key).alias("_k"), F.split(F.col(text).cast("string"), "\n").alias("_lines"))
-    both = steps.join(old, F.col("key").eqNullSafe(F.col("_k")), "left")
+    """key, text: the revision, from the original and its hunks alone; null where no line is left. One document's hunks meet in one row.
+
+    Originals are keyed as in `hunks`, so where both stand in one plan they are shuffled once, and hunks are grouped and joined on one shuffle.
+    """
+    step = F.struct("hunk", "kind", "before_at", "before_n", "after")
+    steps = made.groupBy(_marked("key", "<").alias("key")).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    both = steps.join(_keyed(before, key, F.col(text).cast("string"), "<", "before"), "key", "left")
     none = F.array().cast("array<string>")
-    new = F.flatten(F.transform("_steps", lambda s: F.when(s.kind == "kept", F.slice(F.coalesce("_lines", none), s.before_at + 1, s.before_n)).when(s.kind == "deleted", none).otherwise(s.after)))
-    return both.select(F.col("key").alias(key), F.when(F.size(new) > 0, F.array_join(new, "\n")).alias(text))
+    both = both.select("key", "_steps", F.coalesce(F.split("before", "\n"), none).alias("_lines"))
+    new = F.flatten(F.transform("_steps", lambda s: F.when(s.kind == "kept", F.slice("_lines", s.before_at + 1, s.before_n)).when(s.kind == "deleted", none).otherwise(s.after)))
+    return both.select(_unmarked().cast(made.schema["key"].dataType).alias(key), F.when(F.size(new) > 0, F.array_join(new, "\n")).alias(text))
 
 
 def _tokens(sentence: str) -> set[str]:

@@ -200,6 +200,19 @@ def test_registered_hunks_give_the_revision(spark):
     assert {tuple(r) for r in revision.applied(before, made, "doc_id", "text").collect()} == {tuple(r) for r in after.collect()}
 
 
+def test_originals_are_shuffled_once_to_rebuild_the_revision(spark):
+    """Before, after and hunks: three shuffles, the first of them read twice."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = editorial.revision_applied(spark, DATA)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert (len(re.findall(r"[-:] Exchange ", plan)), plan.count("ReusedExchange [")) == (3, 1)
+
+
 def report(old, new, least=0.5):
     """Sentences told apart one pair at a time."""
     out = set()
